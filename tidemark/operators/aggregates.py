@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.calendar import week_year, year_week
-from tidemark.operators.ordered import Series, attach, keyed, positions, running
+from tidemark.operators.ordered import attach, keyed
+from tidemark.sources.shared import as_table
 
 
 def weekly_mean(df: DataFrame, keys: Sequence[str], ts: str, cols: Sequence[str],
@@ -67,45 +68,41 @@ def top_correlations(corr: DataFrame, target: str, n: int, by: str = "positive")
     return others.orderBy(order, "feature").limit(n)
 
 
-def quantiles(df: DataFrame, keys: Sequence[str], col: str, probs: Sequence[float],
-              block_rows: int = 1 << 16) -> DataFrame:
+def quantiles(df: DataFrame, keys: Sequence[str], col: str, probs: Sequence[float]) -> DataFrame:
     """Exact, linearly interpolated quantiles: one row ``(keys, prob, value)`` each.
 
     The built-in exact percentile gathers all distinct values of a group in one task.
-    Here values are counted, ordered by range partitions, and their counts summed
-    along the order in blocks; only rows at the wanted ranks are kept.
+    Here equal values are counted, cut into range partitions, and the partition totals
+    tell which partitions hold a wanted rank; only those are ordered.
     """
     df, on = keyed(df, keys)
-    s = Series(tuple(on), (col,), block_rows)
     counts = df.filter(F.col(col).isNotNull()).groupBy(*on, col).agg(
         F.count(F.lit(1)).alias("_count"))
-    ranked = running(positions(counts, s), s, sums={"_upto": "_count"})
-    totals = counts.groupBy(*s.keys).agg(F.sum("_count").alias("_total"))
-    at = F.col("prob") * (F.col("_total") - 1)
-    wanted = totals.withColumn("prob", F.explode(F.array(*[F.lit(float(p)) for p in probs]))).select(
-        *s.keys, "prob", F.floor(at).alias("_low"), F.ceil(at).alias("_high"),
-        (at - F.floor(at)).alias("_part"))
-    # one array of wanted ranks per key, spread over the blocks of the series
-    lists = wanted.groupBy(*s.keys).agg(F.collect_list(
-        F.struct("prob", "_low", "_high", "_part")).alias("_wanted"))
-    per_block = ranked.withColumn("_blk", F.floor((F.col("rn") - 1) / block_rows))
-    blocks = per_block.groupBy(*s.keys, "_blk").agg(
-        F.min(F.col("_upto") - F.col("_count")).alias("_from"), F.max("_upto").alias("_to"))
-    hits = blocks.join(lists, list(s.keys)).select(
-        *s.keys, "_blk", F.filter("_wanted", lambda w: (w["_high"] >= F.col("_from")) & (
-            w["_low"] < F.col("_to"))).alias("_wanted")).filter(F.size("_wanted") > 0)
-    near = per_block.join(hits, [*s.keys, "_blk"]).withColumn("_w", F.explode("_wanted"))
-    first, upto = F.col("_upto") - F.col("_count"), F.col("_upto")
-
-    def holds(rank: str) -> Column:
-        return (F.col(f"_w.{rank}") >= first) & (F.col(f"_w.{rank}") < upto)
-
-    low = F.max(F.when(holds("_low"), F.col(col)))
-    high = F.max(F.when(holds("_high"), F.col(col)))
-    found = near.filter(holds("_low") | holds("_high")).groupBy(*s.keys, "_w.prob", "_w._part").agg(
-        low.alias("_lo"), high.alias("_hi"))
-    return found.select(*keys, "prob", (
-        F.col("_lo") + F.col("_part") * (F.col("_hi") - F.col("_lo"))).alias("value"))
+    ranged = as_table(counts.repartitionByRange(*on, col).withColumn(
+        "_part", F.spark_partition_id()), "ranged")
+    by_key = Window.partitionBy(*on)
+    totals = ranged.groupBy(*on, "_part").agg(F.sum("_count").alias("_w")).select(
+        *on, "_part", "_w", F.sum("_w").over(by_key).alias("_total"),
+        F.coalesce(F.sum("_w").over(by_key.orderBy("_part").rowsBetween(
+            Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    wanted = []
+    for p in probs:
+        at = F.lit(float(p)) * (F.col("_total") - 1)
+        wanted += [F.struct(F.lit(float(p)).alias("prob"), F.lit(False).alias("upper"),
+                            F.floor(at).alias("rank"), (at - F.floor(at)).alias("share")),
+                   F.struct(F.lit(float(p)).alias("prob"), F.lit(True).alias("upper"),
+                            F.ceil(at).alias("rank"), (at - F.floor(at)).alias("share"))]
+    held = totals.select(*on, "_part", "_before", F.filter(F.array(*wanted), lambda q: (
+        q["rank"] >= F.col("_before")) & (q["rank"] < F.col("_before") + F.col("_w"))).alias("_wanted")
+    ).filter(F.size("_wanted") > 0)
+    upto = F.col("_before") + F.sum("_count").over(Window.partitionBy(*on, "_part").orderBy(col))
+    found = ranged.join(held, [*on, "_part"]).withColumn("_upto", upto).withColumn(
+        "_q", F.explode(F.filter("_wanted", lambda q: (q["rank"] < F.col("_upto")) & (
+            q["rank"] >= F.col("_upto") - F.col("_count")))))
+    low, high = (F.max(F.when(F.col("_q.upper") == side, F.col(col))) for side in (False, True))
+    return found.groupBy(*on, F.col("_q.prob").alias("prob"), F.col("_q.share").alias("_share")).agg(
+        low.alias("_lo"), high.alias("_hi")).select(
+        *keys, "prob", (F.col("_lo") + F.col("_share") * (F.col("_hi") - F.col("_lo"))).alias("value"))
 
 
 def _with_quantiles(df: DataFrame, keys: Sequence[str], col: str, aggs: dict[str, Column],

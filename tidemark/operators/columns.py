@@ -6,11 +6,11 @@ from collections.abc import Sequence
 
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.operators.ordered import attach
+from tidemark.operators.ordered import Series, attach, keyed, positions
 
 NUMERIC = (T.IntegerType, T.LongType, T.FloatType, T.DoubleType)
 
@@ -49,13 +49,15 @@ def vector_to_columns(df: DataFrame, vector: str, k: int, prefix: str = "PC",
     return values.select(*keep, *[F.col("_v")[i].alias(f"{prefix}{i + 1}") for i in range(k)])
 
 
-def label_codes(df: DataFrame, col: str) -> DataFrame:
+def label_codes(df: DataFrame, col: str, block_rows: int | None = None) -> DataFrame:
     """Distinct values of ``col`` with their code 0..n-1 in sorted order.
 
-    For class labels, whose number of distinct values is small by nature.
+    Class labels are few, so one window numbers them; ``block_rows`` numbers any
+    count of distinct values in blocks.
     """
-    return df.select(col).filter(F.col(col).isNotNull()).distinct().withColumn(
-        "code", (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(col)) - 1).cast("int"))
+    values, keys = keyed(df.select(col).filter(F.col(col).isNotNull()).distinct(), [])
+    ranked = positions(values, Series(tuple(keys), (col,), block_rows))
+    return ranked.select(col, (F.col("rn") - 1).cast("int").alias("code"))
 
 
 def label_encode(df: DataFrame, codes: DataFrame, col: str, spread: Sequence[str],
