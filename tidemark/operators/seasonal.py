@@ -29,6 +29,7 @@ from tidemark.operators.metrics import fold_summary, regression_metrics
 from tidemark.operators.ordered import Series, attach, framed
 from tidemark.operators.ranking import best_rows
 from tidemark.operators.stationarity import difference_weights, differenced_variants
+from tidemark.sources.shared import as_table
 
 # 97.5 % point of the normal distribution
 Z95 = 1.959963984540054
@@ -378,6 +379,7 @@ def walk_forward(df: DataFrame, s: Series, col: str, season: int, p: float = 0.5
     fitted on all rows before it and forecasts its whole slice; a fold that cannot be
     fitted has no rows.
     """
+    df = as_table(df.select(*s.keys, *[c for c in s.order if c not in (*s.keys, "rn")], "rn", "n", col), "series")
     folds = expanding_folds(df, p, k)
     train = folds.filter("role = 'train'").withColumn(
         "n", F.floor(F.col("n") * F.lit(p)) + F.floor(
@@ -389,7 +391,8 @@ def walk_forward(df: DataFrame, s: Series, col: str, season: int, p: float = 0.5
     test = folds.filter("role = 'test'")
     sizes = test.groupBy(*by_fold.keys).agg(F.count(F.lit(1)).alias("steps"), (F.min("rn") - 1).alias("n_train"))
     fold_orders = orders.join(sizes, list(s.keys))
-    design = design_rows(train, by_fold, col, season, bounds)
+    # written once: fit, state and residual lags all read it
+    design = as_table(design_rows(train, by_fold, col, season, bounds), "design")
     model = fit_seasonal(design, by_fold, fold_orders, season, bounds)
     ahead = forecast(train, design, by_fold, col, model, sizes, season, bounds)
     placed = ahead.join(sizes, list(by_fold.keys)).select(

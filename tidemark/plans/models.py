@@ -8,13 +8,12 @@ from tidemark.operators import residuals as res
 from tidemark.operators import seasonal as sea
 from tidemark.operators import stationarity as sta
 from tidemark.operators.ordered import Series, difference, positions
-from tidemark.plans.registry import big, bigs, query, r, rs
+from tidemark.plans.registry import query, r, rs
 from tidemark.plans.series import ACF, prio
-from tidemark.plans.tables import DAILY, PARTS, WEEKLY, load, production, weekly, with_views
+from tidemark.plans.tables import DAILY, PARTS, load, production, with_views
+from tidemark.sources.shared import as_table
 
 SEASON = 7
-# the daily views hold one row per calendar day, so this bounds their length
-LONGEST_DAILY = 36_525
 
 
 def logged(spark, sf_dir):
@@ -171,8 +170,8 @@ def m4(spark, sf_dir):
 
 @query("m4_fit_default_diagnostics")
 def m4_default(spark, sf_dir):
-    df = logged(spark, sf_dir)
-    design = sea.design_rows(df, DAILY, "y", SEASON, sea.Bounds())
+    df = as_table(logged(spark, sf_dir), "series")
+    design = as_table(sea.design_rows(df, DAILY, "y", SEASON, sea.Bounds()), "design")
     model = sea.fit_seasonal(design, DAILY, sea.default_orders(df, ["series"], SEASON), SEASON)
     resid = sea.model_residuals(design, DAILY, model, SEASON)
     diag = res.residual_diagnostics(resid, Series(("series",), ("rn",)), "resid")
@@ -185,8 +184,8 @@ def m4_default(spark, sf_dir):
     {rs("phi ** h * y + 1.959963984540054 * sqrt(s2 * (1 - phi ** (2 * h)) / (1 - phi * phi))", "upper", 6)}
     FROM ar1 a JOIN last ON a.series = last.series, range(1, 15) t(h)"""))
 def m5(spark, sf_dir):
-    df = logged(spark, sf_dir)
-    design = sea.design_rows(df, DAILY, "y", SEASON, sea.Bounds())
+    df = as_table(logged(spark, sf_dir), "series")
+    design = as_table(sea.design_rows(df, DAILY, "y", SEASON, sea.Bounds()), "design")
     model = sea.fit_seasonal(design, DAILY, _ar1_orders(df, ["series"]), SEASON)
     f = sea.forecast(df, design, DAILY, "y", model, 14, SEASON)
     return f.select("series", "step", r("predicted", "predicted", 6), r("lower", "lower", 6), r("upper", "upper", 6))
