@@ -7,18 +7,20 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.ordered import attach
 from tidemark.operators.ranking import top_k
 
 
 def shapley_linear(rows: DataFrame, coefficients: DataFrame, background: DataFrame,
-                   on: Sequence[str]) -> DataFrame:
+                   on: Sequence[str], spread: Sequence[str]) -> DataFrame:
     """Exact Shapley values of a linear model: ``beta * (value - background mean)``.
 
     ``rows`` and ``background`` hold ``value`` per ``on`` (keys, feature, lag);
-    ``coefficients`` holds ``beta``.
+    ``coefficients`` holds ``beta``. ``spread`` columns tell explained rows apart.
     """
     means = background.groupBy(*on).agg(F.avg("value").alias("base"))
-    return rows.join(coefficients, list(on)).join(means, list(on)).withColumn(
+    params = coefficients.join(means, list(on))
+    return attach(rows, params, on, spread, how="inner").withColumn(
         "phi", F.col("beta") * (F.col("value") - F.col("base")))
 
 

@@ -9,7 +9,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.ordered import Series
+from tidemark.operators.ordered import Series, attach
 
 
 def filter_equals(df: DataFrame, col: str, value: object, required: bool = False) -> DataFrame:
@@ -20,12 +20,18 @@ def filter_equals(df: DataFrame, col: str, value: object, required: bool = False
     return kept
 
 
-def keep_keys(df: DataFrame, keys: DataFrame, key: str | Sequence[str], bounded: bool = False) -> DataFrame:
-    """Rows whose key is in ``keys``. ``bounded`` says that ``keys`` was cut by a limit,
-    and so may be broadcast."""
+def keep_keys(df: DataFrame, keys: DataFrame, key: str | Sequence[str], bounded: bool = False,
+              spread: Sequence[str] = ()) -> DataFrame:
+    """Rows whose key is in ``keys``.
+
+    ``bounded`` says that ``keys`` was cut by a limit, and so may be broadcast. For
+    other key sets, ``spread`` columns split the rows of a hot key.
+    """
     on = [key] if isinstance(key, str) else list(key)
     members = keys.select(*on)
-    return df.join(F.broadcast(members) if bounded else members, on, "left_semi")
+    if bounded:
+        return df.join(F.broadcast(members), on, "left_semi")
+    return attach(df, members, on, spread, how="left_semi") if spread else df.join(members, on, "left_semi")
 
 
 def top_ranked(df: DataFrame, order: Sequence[Column | str], k: int) -> DataFrame:
@@ -56,7 +62,7 @@ def series_status(df: DataFrame, s: Series, n: int) -> DataFrame:
 def min_length(df: DataFrame, s: Series, n: int) -> DataFrame:
     """Rows of series longer than ``n`` rows."""
     ok = series_status(df, s, n).filter("status = 'ok'")
-    return df.join(ok.select(*s.keys), list(s.keys), "left_semi")
+    return keep_keys(df, ok, s.keys, spread=s.order)
 
 
 def head_rows(df: DataFrame, s: Series, n: int) -> DataFrame:

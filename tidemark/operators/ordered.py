@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from tidemark.sources.shared import as_table
 
-SALTS = 8
+SALTS = 16
 
 
 @dataclass(frozen=True)
@@ -44,8 +44,10 @@ def attach(rows: DataFrame, stats: DataFrame, keys: Sequence[str], spread: Seque
     """Put the one-row-per-key columns of ``stats`` beside every row.
 
     The rows of one key are spread over ``salts`` join keys by a hash of the
-    ``spread`` columns, so that a hot key is not one join partition. A small
-    ``stats`` is broadcast by Spark under its own size threshold.
+    ``spread`` columns, so that a hot key is not one join partition. The salted
+    partitioning never serves a later grouping, so adaptive execution is free to
+    split partitions that are still too large. A small ``stats`` is broadcast by
+    Spark under its own size threshold, known statically or at run time.
     """
     salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
     copies = stats.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(salts)])))

@@ -67,13 +67,14 @@ def stopped_boosting(validation: str = "is_validation", tolerance: float = 0.01,
 
 def walk_forward_ml(df: DataFrame, s: Series, features: Sequence[str], target: str, length: int,
                     estimator: Estimator, p: float = 0.5, k: int = 3, context: str = "fold",
-                    fit_on: str = "all") -> tuple[DataFrame, DataFrame]:
+                    fit_on: str = "all", model_dir: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Expanding-window validation in original units: forecasts and metrics per series and fold.
 
     Features are standardised and the target put to 0..1 per series, on all rows or on
     the first training part (``split = 'train'``). With ``context="fold"`` a test window
     lies wholly in its slice, so each slice loses its first ``length`` rows; with
-    ``"history"`` windows reach back before it. k models are fitted, one job each.
+    ``"history"`` windows reach back before it. k models are fitted, one after the
+    other, and saved under ``model_dir/fold=<n>`` if given.
     """
     if context not in ("fold", "history"):
         raise ValueError(f"unknown context {context!r}")
@@ -90,6 +91,8 @@ def walk_forward_ml(df: DataFrame, s: Series, features: Sequence[str], target: s
     for fold in range(1, k + 1):
         start = train_n + size * (fold - 1)
         model = estimator.fit(windows.filter(F.col("rn") <= start))
+        if model_dir is not None:
+            model.write().overwrite().save(f"{model_dir}/fold={fold}")
         test = windows.filter((F.col("rn") > start + lost) & (F.col("rn") <= start + size))
         parts.append(model.transform(test).select(
             *s.keys, *[c for c in s.order if c not in s.keys], "rn", F.lit(fold).alias("fold"),

@@ -7,7 +7,7 @@ from collections.abc import Callable, Mapping, Sequence
 from multiprocessing.pool import ThreadPool
 
 from pyspark.ml import Estimator
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators.metrics import fold_summary
@@ -49,25 +49,28 @@ def run(df: DataFrame, s: Series, features: Sequence[str], target: str, params:
 
 
 def random_search(df: DataFrame, s: Series, features: Sequence[str], target: str,
-                  space: Mapping[str, Sequence], estimator: Callable[[Mapping], Estimator],
-                  n_trials: int = 10, seed: int = 0, p: float = 0.5, k: int = 3,
+                  space: Mapping[str, Sequence], estimator: Callable[[Mapping], Estimator] | None = None,
+                  objective: Callable[[Mapping], DataFrame] | None = None, n_trials: int = 10, seed: int = 0, p: float = 0.5, k: int = 3,
                   parallelism: int = 4) -> DataFrame:
     """One row per trial with its parameters and mean fold RMSE.
 
-    Trials are independent; a few run at a time so that their jobs share the cluster.
+    ``objective`` maps the parameters of a trial to one row with ``rmse``; without one,
+    the trial's ``estimator`` is validated by :func:`run`. Trials are independent; a few
+    run at a time so that their jobs share the cluster. One row per trial comes back.
     """
     spark: SparkSession = df.sparkSession
 
-    def objective(trial: dict) -> DataFrame:
-        params = {name: v for name, v in trial.items() if name != "trial"}
+    def validated(params: Mapping) -> DataFrame:
         summary = run(df, s, features, target, params, estimator, p, k)
-        return summary.filter("metric = 'rmse'").select(
-            F.lit(trial["trial"]).alias("trial"),
-            *[F.lit(v).alias(name) for name, v in params.items()], F.col("mean").alias("rmse"))
+        return summary.filter("metric = 'rmse'").select(F.col("mean").alias("rmse"))
+
+    def score(trial: dict) -> dict:
+        params = {name: v for name, v in trial.items() if name != "trial"}
+        return trial | {"rmse": float((objective or validated)(params).first()["rmse"])}
 
     with ThreadPool(min(parallelism, n_trials)) as pool:
-        rows = pool.map(lambda t: objective(t).collect(), draw_trials(space, n_trials, seed))
-    return spark.createDataFrame([row for part in rows for row in part])
+        rows = pool.map(score, draw_trials(space, n_trials, seed))
+    return spark.createDataFrame([Row(**row) for row in rows])
 
 
 def best_trial(trials: DataFrame, by: Sequence[str] = ()) -> DataFrame:

@@ -119,13 +119,15 @@ def m8(spark, sf_dir):
         "trees", F.lit(fitted.stages[0].getNumTrees))
 
 
-@query("m9_walk_forward_ml", with_views("prio", f"""z AS (SELECT *, (sold - avg(sold) OVER s) / stddev_pop(sold) OVER s AS zx, min(revenue) OVER s AS lo, max(revenue) OVER s AS hi,
+WALK = """z AS (SELECT *, (sold - avg(sold) OVER s) / stddev_pop(sold) OVER s AS zx, min(revenue) OVER s AS lo, max(revenue) OVER s AS hi,
     n // 2 AS tr, (n - n // 2) // 3 AS size FROM prio WINDOW s AS (PARTITION BY series)),
     l AS (SELECT *, lag(zx) OVER (PARTITION BY series ORDER BY rn) AS x, (revenue - lo) / (hi - lo) AS u FROM z),
     f AS (SELECT l.*, fold, tr + (fold - 1) * size AS start FROM l, range(1, 4) t(fold) WHERE rn > 1),
     fit AS (SELECT fold, regr_slope(u, x) AS b, regr_intercept(u, x) AS a FROM f WHERE rn <= start GROUP BY 1),
-    e AS (SELECT series, f.fold, revenue AS y, (a + b * x) * (hi - lo) + lo AS p FROM f JOIN fit ON f.fold = fit.fold WHERE rn > start + 1 AND rn <= start + size)
-    SELECT series, CAST(fold AS INT) AS fold, count(*) AS n, {rs("sqrt(avg((y - p) ** 2))", "rmse", 3)}, {rs("avg(abs(y - p))", "mae", 3)},
+    e AS (SELECT series, f.fold, revenue AS y, (a + b * x) * (hi - lo) + lo AS p FROM f JOIN fit ON f.fold = fit.fold WHERE rn > start + 1 AND rn <= start + size)"""
+
+
+@query("m9_walk_forward_ml", with_views("prio", f"""{WALK} SELECT series, CAST(fold AS INT) AS fold, count(*) AS n, {rs("sqrt(avg((y - p) ** 2))", "rmse", 3)}, {rs("avg(abs(y - p))", "mae", 3)},
     {rs("1 - sum((y - p) ** 2) / (var_pop(y) * count(*))", "r2", 6)} FROM e GROUP BY 1, 2"""))
 def m9(spark, sf_dir):
     _, scores = regress.walk_forward_ml(prio(spark, sf_dir), DAILY, ["sold"], "revenue", 1, LinearRegression())
@@ -155,14 +157,18 @@ def m11(spark, sf_dir):
     return metrics.accuracy(scored, ["product"], "failure", "prediction")
 
 
-@query("m12_score_external")
+@query("m12_score_external", with_views("prio inspection", f"""{LINEAR}, o AS (SELECT rn, n, accepted / 250 AS y, lag(accepted / 250) OVER (ORDER BY rn) AS x FROM inspection),
+    oe AS (SELECT row_number() OVER (ORDER BY rn) AS i, count(*) OVER () AS m, y, a + b * x AS p FROM o, fit WHERE x IS NOT NULL AND y IS NOT NULL),
+    bm AS (SELECT avg((y - p) ** 2) AS l FROM oe WHERE i < m GROUP BY floor((i - 1) / 1000))
+    SELECT 'all' AS series, (SELECT {rs("avg(l)", "loss", 6).removesuffix(" AS loss")} FROM bm) AS loss, count(*) AS n, {rs("avg((y - p) ** 2)", "mse", 6)},
+    {rs("1 - sum((y - p) ** 2) / (var_pop(y) * count(*))", "r2", 6)} FROM oe"""))
 def m12(spark, sf_dir):
     model, windows = _linear_windows(spark, sf_dir)
     fitted = model.fit(windows.filter("split = 'train'"))
     other = positions(inspection(spark, sf_dir), DAILY).withColumn("sold", F.col("accepted") / 250)
     new = model.windows(other, DAILY)
     loss, scores = regress.score_external(fitted, new, DAILY)
-    return loss.join(scores, "series")
+    return loss.join(scores, "series").select("series", r("loss", "loss", 6), "n", r("mse", "mse", 6), r("r2", "r2", 6))
 
 
 SEARCH_SPACE = {
@@ -181,13 +187,18 @@ def _elastic(params):
 @query("m13_random_search")
 def m13(spark, sf_dir):
     df = as_table(prio(spark, sf_dir), "series")
-    return search.random_search(df, DAILY, ["sold", "revenue"], "revenue", SEARCH_SPACE, _elastic, 10, 42)
+    return search.random_search(df, DAILY, ["sold", "revenue"], "revenue", SEARCH_SPACE, _elastic, n_trials=10, seed=42)
 
 
-@query("m14_fixed_run")
+@query("m14_fixed_run", with_views("prio", f"""{WALK}, m AS (SELECT series, fold, avg(abs(y - p)) AS mae, sqrt(avg((y - p) ** 2)) AS rmse,
+    1 - sum((y - p) ** 2) / (var_pop(y) * count(*)) AS r2 FROM e GROUP BY 1, 2)
+    SELECT 'mae' AS metric, {rs("avg(mae)", "mean", 3)}, {rs("stddev_pop(mae)", "std", 3)} FROM m
+    UNION ALL SELECT 'rmse', round(avg(rmse), 3) + 0.0, round(stddev_pop(rmse), 3) + 0.0 FROM m
+    UNION ALL SELECT 'r2', round(avg(r2), 3) + 0.0, round(stddev_pop(r2), 3) + 0.0 FROM m"""))
 def m14(spark, sf_dir):
-    params = {"sequence_length": 7, "regParam": 0.001, "elasticNetParam": 0.3, "maxIter": 100}
-    return search.run(prio(spark, sf_dir), DAILY, ["sold", "revenue"], "revenue", params, _elastic)
+    params = {"sequence_length": 1, "regParam": 0.0, "elasticNetParam": 0.0, "maxIter": 100}
+    out = search.run(prio(spark, sf_dir), DAILY, ["sold"], "revenue", params, _elastic)
+    return out.filter("metric <> 'mse'").select("metric", r("mean", "mean", 3), r("std", "std", 3))
 
 
 TRIALS = """tr AS (SELECT series, len AS sequence_length, sqrt(avg((a.revenue - b.revenue) ** 2)) AS rmse FROM (SELECT * FROM prio, (VALUES (7), (14), (21)) v(len)) a
@@ -227,7 +238,7 @@ def linear_phi(spark, sf_dir):
     tall = long_steps(samples, MEASURES, LENGTH, [*IDS, "split", "test", "year_week", "label"])
     slopes = tall.filter("split = 'train'").groupBy(*STEP).agg(F.regr_slope("label", "value").alias("beta"))
     test = tall.filter("split = 'test'")
-    return att.shapley_linear(test.filter("test <= 50"), slopes, test.filter("test <= 20").select(*STEP, "value"), STEP)
+    return att.shapley_linear(test.filter("test <= 50"), slopes, test.filter("test <= 20").select(*STEP, "value"), STEP, ["sample"])
 
 
 @query("x1_shapley_linear", with_views("production weekly", f"""{PHI} SELECT product, sample, feature, CAST(lag AS INT) AS lag, {rs("phi * 1000", "phi", 6)} FROM phi"""))

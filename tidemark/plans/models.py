@@ -32,6 +32,22 @@ def h1_lag0(spark, sf_dir):
     return t.select("series", "n", "n_obs", "used_lag", r("statistic", "statistic"))
 
 
+# the level's coefficient after taking the lagged difference out of both sides
+LAG1 = """l AS (SELECT series, n, rn, ln(revenue) AS y, lag(ln(revenue), 1) OVER w AS y1, lag(ln(revenue), 2) OVER w AS y2 FROM prio
+    WINDOW w AS (PARTITION BY series ORDER BY rn)),
+    d AS (SELECT series, n, y - y1 AS dy, y1, y1 - y2 AS d1 FROM l WHERE rn > 2),
+    r AS (SELECT series, regr_slope(dy, d1) AS b1, regr_intercept(dy, d1) AS a1, regr_slope(y1, d1) AS b2, regr_intercept(y1, d1) AS a2 FROM d GROUP BY 1),
+    u AS (SELECT d.series, n, dy - a1 - b1 * d1 AS u, y1 - a2 - b2 * d1 AS v FROM d JOIN r ON d.series = r.series),
+    t AS (SELECT series, max(n) AS n, count(*) AS m, sum(u * v) / sum(v * v) AS b, sum(v * v) AS vv, sum(u * u) AS uu FROM u GROUP BY 1)"""
+
+
+@query("h1_adf_lag1", with_views("prio", f"""{LAG1} SELECT series, n, m AS n_obs, CAST(1 AS INT) AS used_lag,
+    {rs("b / sqrt((uu - b * b * vv) / (m - 3) / vv)", "statistic")}, {rs("-2.86154 - 2.8903 / m - 4.234 / m ** 2 - 40.040 / m ** 3", "crit_5", 6)} FROM t"""))
+def h1_lag1(spark, sf_dir):
+    t = sta.adf_test(logged(spark, sf_dir), DAILY, "y", max_lag=1, autolag=False)
+    return t.select("series", "n", "n_obs", "used_lag", r("statistic", "statistic"), r("crit_5", "crit_5", 6))
+
+
 @query("h1_adf_test")
 def h1(spark, sf_dir):
     return sta.adf_test(logged(spark, sf_dir), DAILY, "y")

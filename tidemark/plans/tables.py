@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators.aggregates import weekly_mean
-from tidemark.operators.ordered import Series, attach, positions
+from tidemark.operators.ordered import Series, positions
 
 BLOCK_ROWS = 1 << 14
 
@@ -54,7 +54,9 @@ def production(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("l_returnflag") == "R").cast("int").alias("failure"))
     part = load(spark, sf_dir, "part").select(
         F.col("p_partkey").alias("part_id"), F.col("p_type").alias("product"))
-    return attach(li, part, ["part_id"], ["l_orderkey", "l_linenumber", "price"], how="inner")
+    # the part table grows with the data, so it is neither hinted nor copied: Spark broadcasts
+    # it below its threshold, and splits the partition of a hot part in a sort-merge join
+    return li.join(part, "part_id")
 
 
 def weekly(spark: SparkSession, sf_dir: str, mode: str = "calendar_year") -> DataFrame:
