@@ -50,14 +50,17 @@ def target_correlations(df: DataFrame, target: str, cols: Sequence[str],
     ``(keys, feature, corr, n)``; missing where either side is constant.
     """
     aggs: list[Column] = []
+    y = F.col(target)
     for c in cols:
-        aggs += [F.corr(c, target).alias(f"r_{c}"),
-                 F.count_if(F.col(c).isNotNull() & F.col(target).isNotNull()).alias(f"n_{c}")]
+        x = F.col(c)
+        own, other = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
+        # the built-in corr fails on a constant column under ANSI arithmetic
+        r = F.try_divide(F.covar_pop(x, y), F.sqrt(F.var_pop(own)) * F.sqrt(F.var_pop(other)))
+        aggs += [r.alias(f"r_{c}"), F.count_if(x.isNotNull() & y.isNotNull()).alias(f"n_{c}")]
     wide = df.groupBy(*keys).agg(*aggs)
     rows = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"r_{c}").alias("corr"),
                               F.col(f"n_{c}").alias("n")) for c in cols])
-    return wide.select(*keys, F.explode(rows).alias("_p")).select(
-        *keys, "_p.feature", F.when(~F.isnan("_p.corr"), F.col("_p.corr")).alias("corr"), "_p.n")
+    return wide.select(*keys, F.explode(rows).alias("_p")).select(*keys, "_p.feature", "_p.corr", "_p.n")
 
 
 def top_correlations(corr: DataFrame, target: str, n: int, by: str = "positive") -> DataFrame:

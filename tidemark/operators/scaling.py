@@ -27,6 +27,8 @@ def standard_params(df: DataFrame, keys: Sequence[str], cols: Sequence[str],
 
 def standard_scale(df: DataFrame, s: Series, cols: Sequence[str], fit_on: str = "all") -> DataFrame:
     """(x - mean) / population std per series; a constant column becomes 0."""
+    if not cols:
+        return df
     out = attach(df, standard_params(df, s.keys, cols, fit_on), s.keys, s.order)
     return out.withColumns({
         c: F.when(F.col(f"_std_{c}") == 0, F.col(c) - F.col(f"_mean_{c}")).otherwise(

@@ -206,7 +206,7 @@ def fit_orders(design: DataFrame, keys: Sequence[str], candidates: DataFrame, se
             for row in pdf.to_dict("records"):
                 order = {c: int(row[c]) for c in ORDER}
                 terms = _inputs(order, season)
-                rec = {"terms": terms, "status": "too_short", "n_obs": None}
+                rec = {"terms": terms, "status": "too_short", "n_obs": None, "coefs": None}
                 k = len(terms) + 1
                 if row["gram"] is not None and row["n_obs"] > k:
                     n = int(row["n_obs"])

@@ -12,7 +12,7 @@ from tidemark.operators import attribution as att
 from tidemark.operators import metrics, ordered, ranking, reduction, regress, search, shapley
 from tidemark.operators.columns import assemble, flatten_steps, long_steps, step_labels
 from tidemark.operators.filters import head_rows, keep_keys
-from tidemark.operators.folds import ordered_split
+from tidemark.operators.folds import cut_point, ordered_split, validation_tail
 from tidemark.operators.ordered import Series, attach, positions
 from tidemark.plans.projections import WINDOW_STEPS, sampled_parts
 from tidemark.plans.registry import big, day, days, query, r, rs
@@ -76,8 +76,8 @@ def a20(spark, sf_dir):
 # ---- window regressors -------------------------------------------------------------------------
 
 LINEAR = """l AS (SELECT *, lag(sold) OVER (PARTITION BY series ORDER BY rn) AS x FROM prio),
-    fit AS (SELECT regr_slope(sold, x) AS b, regr_intercept(sold, x) AS a FROM l WHERE rn > 1 AND rn <= floor(n * 0.7)),
-    e AS (SELECT series, rn, sold AS y, a + b * x AS p FROM l, fit WHERE rn > floor(n * 0.7))"""
+    fit AS (SELECT regr_slope(sold, x) AS b, regr_intercept(sold, x) AS a FROM l WHERE rn > 1 AND rn <= floor(n * 0.7::DOUBLE)),
+    e AS (SELECT series, rn, sold AS y, a + b * x AS p FROM l, fit WHERE rn > floor(n * 0.7::DOUBLE))"""
 
 
 def _linear_windows(spark, sf_dir):
@@ -108,7 +108,6 @@ def m7_forest(spark, sf_dir):
 
 @query("m8_early_stopped_boosting")
 def m8(spark, sf_dir):
-    from tidemark.operators.folds import cut_point, validation_tail
     gbt = regress.stopped_boosting(maxIter=20, maxDepth=3, seed=42, tolerance=0.01)
     model = regress.SequenceRegressor(gbt, ("sold",), "sold", 7)
     windows = ordered_split(model.windows(prio(spark, sf_dir), DAILY), 0.7)
@@ -208,7 +207,7 @@ TRIALS = """tr AS (SELECT series, len AS sequence_length, sqrt(avg((a.revenue -
 
 def _naive_trials(spark, sf_dir):
     """Seasonal naive forecasts with three lengths, one trial per series and length."""
-    df = ordered.lags(prio(spark, sf_dir), DAILY, "revenue", [7, 14, 21], "p").filter("rn > floor(n * 0.5)")
+    df = ordered.lags(prio(spark, sf_dir), DAILY, "revenue", [7, 14, 21], "p").filter(F.col("rn") > cut_point(0.5))
     rows = ranking.grid({"sequence_length": [7, 14, 21]}, df).withColumn(
         "predicted", F.coalesce(*[F.when(F.col("sequence_length") == n, F.col(f"p{n}")) for n in (7, 14, 21)]))
     scores = metrics.regression_metrics(rows, ["series", "sequence_length"], "revenue")
@@ -223,7 +222,7 @@ def t7(spark, sf_dir):
 # ---- attribution -------------------------------------------------------------------------------
 
 PHI = f"""{WINDOW_STEPS},
-    tall AS (SELECT product, sample, lag, CAST(floor((n - 10) * 0.7) AS BIGINT) AS nt, year_week, label, unnest(['quantity', 'price', 'discount', 'tax']) AS feature,
+    tall AS (SELECT product, sample, lag, CAST(floor((n - 10) * 0.7::DOUBLE) AS BIGINT) AS nt, year_week, label, unnest(['quantity', 'price', 'discount', 'tax']) AS feature,
     unnest([quantity, price, discount, tax]) AS value FROM steps),
     coef AS (SELECT product, feature, lag, regr_slope(label, value) AS beta FROM tall WHERE sample <= nt GROUP BY 1, 2, 3),
     base AS (SELECT product, feature, lag, avg(value) AS base FROM tall WHERE sample > nt AND sample <= nt + 20 GROUP BY 1, 2, 3),
@@ -318,7 +317,7 @@ def x2(spark, sf_dir):
 
 
 @query("x2_additivity", with_views("production weekly", f"""SELECT product, rn - 10 AS sample, 0.0::DOUBLE AS gap, 40::BIGINT AS inputs FROM weekly
-    WHERE rn - 10 > floor((n - 10) * 0.7) AND rn - 10 <= floor((n - 10) * 0.7) + 50"""))
+    WHERE rn - 10 > floor((n - 10) * 0.7::DOUBLE) AND rn - 10 <= floor((n - 10) * 0.7::DOUBLE) + 50"""))
 def x2_additivity(spark, sf_dir):
     # the values of a row add up to its prediction minus the mean background prediction
     model, rows, background = _window_model(spark, sf_dir, LinearRegression(regParam=0.01))
@@ -378,7 +377,7 @@ def s3(spark, sf_dir):
 
 
 @query("s4_attribution_sink", with_views("production weekly", f"""{PHI}, {BY_FEATURE}, per AS (SELECT product, arg_min(year_week, rn) || ' to ' || arg_max(year_week, rn) AS period
-    FROM weekly WHERE rn > 10 AND rn - 10 > floor((n - 10) * 0.7) GROUP BY 1)
+    FROM weekly WHERE rn > 10 AND rn - 10 > floor((n - 10) * 0.7::DOUBLE) GROUP BY 1)
     SELECT i.product AS "ProductDesignation", feature AS "Feature", {rs("importance * 1000", "SHAP_Importance", 6)}, period AS "Test_Period" FROM imp i JOIN per ON i.product = per.product"""))
 def s4(spark, sf_dir):
     imp = att.attribution_by_feature(linear_phi(spark, sf_dir), ["product"])
@@ -390,9 +389,9 @@ def s4(spark, sf_dir):
 
 
 @query("s5_predictions_sink", with_views("production weekly", f"""l AS (SELECT *, lag(quantity) OVER (PARTITION BY product ORDER BY rn) AS prev FROM weekly)
-    SELECT product, year_week AS week, {rs("quantity", "actual", 6)}, {rs("prev", "predicted", 6)} FROM l WHERE rn > floor(n * 0.7)"""))
+    SELECT product, year_week AS week, {rs("quantity", "actual", 6)}, {rs("prev", "predicted", 6)} FROM l WHERE rn > floor(n * 0.7::DOUBLE)"""))
 def s5(spark, sf_dir):
-    df = ordered.lags(weekly(spark, sf_dir), WEEKLY, "quantity", [1], "prev").filter("rn > floor(n * 0.7)")
+    df = ordered.lags(weekly(spark, sf_dir), WEEKLY, "quantity", [1], "prev").filter("rn > floor(n * 0.7::DOUBLE)")
     path = fresh_path(spark, "predictions")
     io.write_predictions(df.select("product", "year_week", F.col("quantity").alias("actual"), F.col("prev1").alias("predicted")),
                          path, ["product"])

@@ -249,7 +249,7 @@ def p20(spark, sf_dir):
         r(F.sqrt(F.abs(discount)), "root", 6), r(F.exp("l_tax"), "grown", 6))
 
 
-@query("p21_split_fraction", with_views("production weekly", f"""SELECT product, CASE WHEN rn <= floor(n * 0.7) THEN 'train'
+@query("p21_split_fraction", with_views("production weekly", f"""SELECT product, CASE WHEN rn <= floor(n * 0.7::DOUBLE) THEN 'train'
     ELSE 'test' END AS split, count(*) AS "rows", {rs("100.0 * count(*) / max(n)", "percent")} FROM weekly GROUP BY 1, 2"""))
 def p21(spark, sf_dir):
     out = split_counts(ordered_split(weekly(spark, sf_dir), 0.7), ["product"])

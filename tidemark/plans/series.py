@@ -67,7 +67,7 @@ def w6(spark, sf_dir):
 
 @query("w7_split_cumsum", with_views("prio", f"""SELECT series, {days("ts")}, split, {rs("total", "total", 3)} FROM (SELECT *,
     CASE WHEN split = 'train' THEN 2 ELSE 1 END * sum(sold) OVER (PARTITION BY series, split ORDER BY rn) AS total FROM (
-    SELECT *, CASE WHEN rn <= round_even(0.7 * n, 0) THEN 'train' ELSE 'test' END AS split FROM prio))"""))
+    SELECT *, CASE WHEN rn <= round_even(0.7::DOUBLE * n, 0) THEN 'train' ELSE 'test' END AS split FROM prio))"""))
 def w7(spark, sf_dir):
     df = folds.ordered_split(prio(spark, sf_dir), 0.3, "half_even")
     return ordered.split_cumsum(df, DAILY, ["sold"]).select("series", day("ts"), "split", r("sold_cum", "total", 3))
@@ -179,7 +179,7 @@ def w16(spark, sf_dir):
 
 
 @query("w17_test_period", with_views("production weekly", """SELECT product, arg_min(year_week, rn) AS first_label,
-    arg_max(year_week, rn) AS last_label, count(*) AS samples FROM weekly WHERE rn > 10 AND rn - 10 > floor((n - 10) * 0.7) GROUP BY 1"""))
+    arg_max(year_week, rn) AS last_label, count(*) AS samples FROM weekly WHERE rn > 10 AND rn - 10 > floor((n - 10) * 0.7::DOUBLE) GROUP BY 1"""))
 def w17(spark, sf_dir):
     return test_period(test_sequences(spark, sf_dir))
 
@@ -202,7 +202,7 @@ def test_period(seq):
 
 
 @query("w18_validation_tail", with_views("prio", """SELECT series, is_validation, count(*) AS "rows" FROM (SELECT series,
-    rn > floor(floor(n * 0.7) * (1 - 0.2)) AS is_validation FROM prio WHERE rn <= floor(n * 0.7)) GROUP BY 1, 2"""))
+    rn > floor(floor(n * 0.7::DOUBLE) * (1 - 0.2)) AS is_validation FROM prio WHERE rn <= floor(n * 0.7::DOUBLE)) GROUP BY 1, 2"""))
 def w18(spark, sf_dir):
     df = folds.ordered_split(prio(spark, sf_dir), 0.7).filter("split = 'train'").withColumn(
         "train_n", folds.cut_point(0.7))
@@ -353,11 +353,11 @@ METRICS = """metrics AS (SELECT series, fold, count(*) AS n, avg((revenue - prev
     avg(abs((revenue - prev) / (revenue + 1e-8))) * 100 AS mape FROM folds WHERE role = 'test' GROUP BY 1, 2)"""
 
 
-@query("a9_regression_metrics", with_views("prio", f"""{FOLDS}, {METRICS} SELECT series, CAST(fold AS INT) AS fold, n, {rs("mse", "mse", 1)}, {rs("rmse", "rmse", 3)},
+@query("a9_regression_metrics", with_views("prio", f"""{FOLDS}, {METRICS} SELECT series, CAST(fold AS INT) AS fold, n, {rs("mse / 1e6", "mse")}, {rs("rmse", "rmse", 3)},
     {rs("mae", "mae", 3)} FROM metrics"""))
 def a9(spark, sf_dir):
     m = metrics.regression_metrics(fold_forecasts(spark, sf_dir), ["series", "fold"])
-    return m.select("series", "fold", "n", r("mse", "mse", 1), r("rmse", "rmse", 3), r("mae", "mae", 3))
+    return m.select("series", "fold", "n", r(F.col("mse") / 1e6, "mse"), r("rmse", "rmse", 3), r("mae", "mae", 3))
 
 
 @query("a10_r_squared", with_views("prio", f"{FOLDS}, {METRICS} SELECT series, CAST(fold AS INT) AS fold, {rs('r2', 'r2', 6)} FROM metrics"))
@@ -423,7 +423,7 @@ def a21(spark, sf_dir):
 
 
 @query("a22_split_counts", with_views("gaps", """SELECT split, event_type, count(*) AS "rows" FROM (SELECT e.event_type,
-    CASE WHEN g.rn <= floor(g.n * 0.7) THEN 'train' ELSE 'test' END AS split FROM gaps g JOIN events e ON g.event_id = e.event_id) GROUP BY 1, 2"""))
+    CASE WHEN g.rn <= floor(g.n * 0.7::DOUBLE) THEN 'train' ELSE 'test' END AS split FROM gaps g JOIN events e ON g.event_id = e.event_id) GROUP BY 1, 2"""))
 def a22(spark, sf_dir):
     df = folds.ordered_split(positions(load(spark, sf_dir, "events"), EVENTS), 0.7)
     return metrics.split_counts(df, extra=["event_type"]).select("split", "event_type", "rows")
@@ -432,11 +432,11 @@ def a22(spark, sf_dir):
 # ---- the flagship: weekly means, AR(1) on the first part, one-step forecasts on the rest --------
 
 @query("weekly_ar1_backtest", with_views("production weekly", f"""l AS (SELECT *, lag(quantity) OVER (PARTITION BY product ORDER BY rn) AS prev FROM weekly),
-    b AS (SELECT product, regr_slope(quantity, prev) AS slope, regr_intercept(quantity, prev) AS icept FROM l WHERE rn <= floor(n * 0.7) GROUP BY 1)
+    b AS (SELECT product, regr_slope(quantity, prev) AS slope, regr_intercept(quantity, prev) AS icept FROM l WHERE rn <= floor(n * 0.7::DOUBLE) GROUP BY 1)
     SELECT l.product, count(*) AS n, {rs("avg((quantity - icept - slope * prev) ** 2)", "mse")}, {rs("sqrt(avg((quantity - icept - slope * prev) ** 2))", "rmse")},
     {rs("avg(abs(quantity - icept - slope * prev))", "mae")},
     {rs("1 - sum((quantity - icept - slope * prev) ** 2) / (var_pop(quantity) * count(*))", "r2")} FROM l JOIN b ON l.product = b.product
-    WHERE rn > floor(n * 0.7) GROUP BY 1"""))
+    WHERE rn > floor(n * 0.7::DOUBLE) GROUP BY 1"""))
 def weekly_ar1(spark, sf_dir):
     df = ordered.lags(weekly(spark, sf_dir), WEEKLY, "quantity", [1], "prev")
     df = folds.ordered_split(df, 0.7)
