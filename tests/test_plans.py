@@ -1,6 +1,9 @@
 """Physical plans: what reaches the scan, what is shuffled, what stays in the JVM."""
 
+import os
 import re
+import subprocess
+import sys
 from types import SimpleNamespace
 
 import pytest
@@ -82,3 +85,23 @@ def test_written_table_keeps_rows_and_schema(spark):
 def test_try_load(spark):
     assert io.try_load(spark, f"{SF_DIR}/absent.parquet") is None
     assert io.try_load(spark, f"{SF_DIR}/part.parquet").agg(F.count("*")).first()[0] > 0
+
+
+def test_python_workers_need_no_copy_of_the_package():
+    """A driver started elsewhere can run the operators that use Python workers."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = f"""
+import sys; sys.path.insert(0, {root!r})
+from tidemark.session import local_session
+from tidemark.operators.residuals import _chi2_tails
+from tidemark.operators.gram import gramian
+spark = local_session(2, 2)
+df = spark.createDataFrame([("a", float(i), i * i + 1.0) for i in range(9)], "k string, x double, y double")
+assert df.limit(1).select(_chi2_tails("y", "y")).count() == 1
+names = ["x", "y"] * 7
+wide = df.select("k", *[df[c].alias(f"{{c}}{{i}}") for i, c in enumerate(names)])
+print("rows", len(gramian(wide, ["k"], wide.columns[1:]).collect()))
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, "-c", code], cwd="/", env=env, capture_output=True, text=True, timeout=180)
+    assert "rows 1" in out.stdout, out.stderr[-2000:]

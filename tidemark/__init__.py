@@ -1 +1,8 @@
 """Time-series preparation, forecasting and attribution on Spark DataFrames."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# functions that run in Python workers travel by value, so executors need no copy of the package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
