@@ -25,14 +25,12 @@ def gramian(df: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> DataFram
     """
     width = len(cols)
     if width * (width + 1) // 2 <= MAX_SUMS:
-        sums = df.groupBy(*keys).agg(
-            F.count(F.lit(1)).alias("n_obs"),
-            *[F.sum(F.col(cols[i]) * F.col(cols[j])).alias(f"_g{i}_{j}")
-              for i in range(width) for j in range(i, width)])
-        cells = [F.col(f"_g{min(i, j)}_{max(i, j)}") for i in range(width) for j in range(width)]
-        return sums.select(*keys, "n_obs", F.array(*cells).alias("gram"))
+        # both triangles name the same sum, which Spark then computes once
+        cells = [f"sum(`{cols[min(i, j)]}` * `{cols[max(i, j)]}`)" for i in range(width) for j in range(width)]
+        return df.groupBy(*keys).agg(
+            F.count(F.lit(1)).alias("n_obs"), F.expr(f"array({', '.join(cells)})").alias("gram"))
 
-    rows = df.select(*keys, *[F.col(c).cast("double").alias(f"_x{i}") for i, c in enumerate(cols)])
+    rows = df.selectExpr(*[f"`{k}`" for k in keys], *[f"CAST(`{c}` AS DOUBLE) AS _x{i}" for i, c in enumerate(cols)])
     names = [f"_x{i}" for i in range(width)]
     schema = T.StructType([df.schema[k] for k in keys] + [
         T.StructField("_n", T.LongType()), T.StructField("_g", T.ArrayType(T.DoubleType()))])

@@ -50,7 +50,7 @@ def attach(rows: DataFrame, stats: DataFrame, keys: Sequence[str], spread: Seque
     Spark under its own size threshold, known statically or at run time.
     """
     salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
-    copies = stats.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
+    copies = stats.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return salted.join(copies, [*keys, "_salt"], how).drop("_salt")
 
 

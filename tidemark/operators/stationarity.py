@@ -136,13 +136,12 @@ def adf_test(df: DataFrame, s: Series, col: str, max_lag: int | None = None, aut
     by_rn = Series(s.keys, ("rn",), s.block_rows)
 
     def made(w: WindowSpec) -> dict[str, Column]:
-        out = {"_level": F.lag("_z", 1).over(w), "_x": F.col("_z") - F.lag("_z", 1).over(w)}
-        for i in range(1, width + 1):
-            out[f"_dz{i}"] = F.coalesce(F.lag("_z", i).over(w) - F.lag("_z", i + 1).over(w), F.lit(0.0))
-        return out
+        return {f"_z{i}": F.lag("_z", i).over(w) for i in range(1, width + 2)}
 
-    design = framed(z, by_rn, width + 1, 0, made).withColumn("_one", F.lit(1.0))
-    usable = design.filter((F.col("rn") >= F.col("_bound") + 2) & F.col("_x").isNotNull())
+    usable = framed(z, by_rn, width + 1, 0, made).filter(
+        "rn >= _bound + 2 AND _z IS NOT NULL AND _z1 IS NOT NULL").selectExpr(
+        *[f"`{k}`" for k in keys], "1.0D AS _one", "_z1 AS _level", "_z - _z1 AS _x",
+        *[f"coalesce(_z{i} - _z{i + 1}, 0.0D) AS _dz{i}" for i in range(1, width + 1)])
     names = ["_one", "_level", *[f"_dz{i}" for i in range(1, width + 1)], "_x"]
     heads = z.filter(F.col("rn") <= F.col("_bound") + 1).groupBy(*keys).agg(
         F.transform(F.sort_array(F.collect_list(F.struct("rn", "_z"))), lambda v: v["_z"]).alias("head"))
