@@ -82,6 +82,17 @@ def test_written_table_keeps_rows_and_schema(spark):
     assert out.schema.names == df.schema.names and out.agg(F.sum("v")).first()[0] == 2475.0
 
 
+def test_written_tables_can_be_dropped(spark):
+    # on its own record: other tests still read theirs
+    kept, shared._written = shared._written, []
+    try:
+        path = shared.as_table(spark.range(3), "y").inputFiles()[0]
+        assert shared.drop_tables(spark) == 1 and not shared._written
+        assert not os.path.exists(path.removeprefix("file://"))
+    finally:
+        shared._written = kept
+
+
 def test_try_load(spark):
     assert io.try_load(spark, f"{SF_DIR}/absent.parquet") is None
     assert io.try_load(spark, f"{SF_DIR}/part.parquet").agg(F.count("*")).first()[0] > 0

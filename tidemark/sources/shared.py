@@ -8,6 +8,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+# paths of the tables written by this process
+_written: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named in ``spark.checkpoint.dir``.
 
@@ -39,4 +43,15 @@ def as_table(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_tables(spark: SparkSession) -> int:
+    """Remove the tables this process has written; frames that read them end with it."""
+    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    count = 0
+    while _written:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        count += bool(path.getFileSystem(conf).delete(path, True))
+    return count
