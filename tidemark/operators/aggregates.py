@@ -98,6 +98,8 @@ def quantiles(df: DataFrame, keys: Sequence[str], col: str, probs: Sequence[floa
     held = totals.select(*on, "_part", "_before", F.filter(F.array(*wanted), lambda q: (
         q["rank"] >= F.col("_before")) & (q["rank"] < F.col("_before") + F.col("_w"))).alias("_wanted")
     ).filter(F.size("_wanted") > 0)
+    if not keys:
+        held = F.broadcast(held)  # at most two ranks per probability
     upto = F.col("_before") + F.sum("_count").over(Window.partitionBy(*on, "_part").orderBy(col))
     found = ranged.join(held, [*on, "_part"]).withColumn("_upto", upto).withColumn(
         "_q", F.explode(F.filter("_wanted", lambda q: (q["rank"] < F.col("_upto")) & (

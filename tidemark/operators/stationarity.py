@@ -178,16 +178,16 @@ def adf_test(df: DataFrame, s: Series, col: str, max_lag: int | None = None, aut
 
 
 def make_stationary(df: DataFrame, s: Series, col: str, season: int, max_d: int = 3,
-                    longest: int | None = None) -> DataFrame:
+                    longest: int | None = None, max_lag: int | None = None, autolag: bool = True) -> DataFrame:
     """The differencing each series needs: ``(keys, seasonal_diff, n_diff, p_value)``.
 
     A series that is not stationary takes the seasonal difference if that lowers the
     p-value, then regular differences until stationary, at most ``max_d``. All variants
     are tested in one pass; the last difference is applied without a test.
-    ``p_value`` is that of the last test made.
+    ``p_value`` is that of the last test made. The lag arguments are those of :func:`adf_test`.
     """
     tall = differenced_variants(df, s, col, season, max_d - 1, 1)
-    tests = adf_test(tall, s.keyed_by("d", "sd"), "w", longest=longest)
+    tests = adf_test(tall, s.keyed_by("d", "sd"), "w", max_lag, autolag, longest)
     per_key = tests.groupBy(*s.keys).agg(
         *[F.max(F.when((F.col("d") == d) & (F.col("sd") == b), F.col("p_value"))).alias(f"_p{d}_{b}")
           for b in (0, 1) for d in range(max_d)],
