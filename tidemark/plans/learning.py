@@ -192,8 +192,8 @@ def m13(spark, sf_dir):
 @query("m14_fixed_run", with_views("prio", f"""{WALK}, m AS (SELECT series, fold, avg(abs(y - p)) AS mae, sqrt(avg((y - p) ** 2)) AS rmse,
     1 - sum((y - p) ** 2) / (var_pop(y) * count(*)) AS r2 FROM e GROUP BY 1, 2)
     SELECT 'mae' AS metric, {rs("avg(mae)", "mean", 3)}, {rs("stddev_pop(mae)", "std", 3)} FROM m
-    UNION ALL SELECT 'rmse', round(avg(rmse), 3) + 0.0, round(stddev_pop(rmse), 3) + 0.0 FROM m
-    UNION ALL SELECT 'r2', round(avg(r2), 3) + 0.0, round(stddev_pop(r2), 3) + 0.0 FROM m"""))
+    UNION ALL SELECT 'rmse', {rs("avg(rmse)", "mean", 3)}, {rs("stddev_pop(rmse)", "std", 3)} FROM m
+    UNION ALL SELECT 'r2', {rs("avg(r2)", "mean", 3)}, {rs("stddev_pop(r2)", "std", 3)} FROM m"""))
 def m14(spark, sf_dir):
     params = {"sequence_length": 1, "regParam": 0.0, "elasticNetParam": 0.0, "maxIter": 100}
     out = search.run(prio(spark, sf_dir), DAILY, ["sold"], "revenue", params, _elastic)

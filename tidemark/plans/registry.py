@@ -25,10 +25,16 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+def nudge(digits: int) -> float:
+    """Small shift before rounding: a mean of cents may lie exactly between two rounded
+    values, where the order of summation would decide the result."""
+    return float(f"1.7e-{digits + 3}")
+
+
 def r(col: Column | str, name: str, digits: int = 4) -> Column:
     """Rounded double under a name, without a negative zero."""
     c = F.col(col) if isinstance(col, str) else col
-    return (F.round(c.cast("double"), digits) + F.lit(0.0)).alias(name)
+    return (F.round(c.cast("double") + F.lit(nudge(digits)), digits) + F.lit(0.0)).alias(name)
 
 
 def day(col: Column | str, name: str = "ts") -> Column:
@@ -42,7 +48,7 @@ def big(col: Column | str, name: str) -> Column:
 
 def rs(expr: str, name: str, digits: int = 4) -> str:
     """SQL text of :func:`r`."""
-    return f"round(CAST({expr} AS DOUBLE), {digits}) + 0.0 AS {name}"
+    return f"round(CAST({expr} AS DOUBLE) + {nudge(digits)}, {digits}) + 0.0 AS {name}"
 
 
 def days(expr: str, name: str = "ts") -> str:

@@ -312,8 +312,8 @@ def a7(spark, sf_dir):
 
 
 @query("a8_target_correlations", with_views("gaps production", f"""SELECT product AS series, 'price' AS feature, {rs("corr(price, failure)", "corr", 6)},
-    count(*) AS n FROM production GROUP BY 1 UNION ALL SELECT product, 'quantity', round(corr(quantity, failure), 6) + 0.0, count(*)
-    FROM production GROUP BY 1 UNION ALL SELECT 'events', 'rn', round(corr(rn, v), 6) + 0.0, count(v) FROM gaps"""))
+    count(*) AS n FROM production GROUP BY 1 UNION ALL SELECT product, 'quantity', {rs("corr(quantity, failure)", "corr", 6)}, count(*)
+    FROM production GROUP BY 1 UNION ALL SELECT 'events', 'rn', {rs("corr(rn, v)", "corr", 6)}, count(v) FROM gaps"""))
 def a8(spark, sf_dir):
     parts = agg.target_correlations(production(spark, sf_dir), "failure", ["price", "quantity"], ["product"])
     events = agg.target_correlations(gaps(spark, sf_dir), "v", ["rn"])
