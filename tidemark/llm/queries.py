@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, packing, secrets, simhash, toxicity
+from tidemark.llm import chat, decontaminate, html_extract, licenses, packing, secrets, simhash, topk, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -26,6 +26,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+# in the given pages the main text is the article element, with <b> the only markup inside a line
+OP1 = r"""
+WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*)</article>', 1) AS t FROM pages),
+b AS (SELECT page_id, url, regexp_replace(regexp_replace(t, '</?b>', '', 'g'), '<[^>]*>', ' ', 'g') AS t FROM a),
+c AS (SELECT page_id, url, regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '&quot;?', '"', 'g'),
+      '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&amp;?', '&', 'g') AS t FROM b),
+d AS (SELECT page_id, url, trim(regexp_replace(t, '\s+', ' ', 'g')) AS text FROM c)
+SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM d
+"""
+
+
+@query("op1_html_extraction", OP1)
+def op1(spark, sf_dir):
+    found = html_extract.extract(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
+
+
+@query("op2_license_scan")
+def op2(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return licenses.by_document(licenses.scan(docs, licenses.fit(docs)))
+
+
 @query("op3_secret_scan")
 def op3(spark, sf_dir):
     return secrets.digests(secrets.scan(table(spark, sf_dir, "documents")))
@@ -37,12 +60,58 @@ def op4(spark, sf_dir):
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+OP5 = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+      FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id AND len(q.e) = len(c.e)),
+r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+             vec_id, score FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+
+@query("op5_top_k_search", OP5)
+def op5(spark, sf_dir):
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
 @query("op6_best_fit_packing")
 def op6(spark, sf_dir):
     packed = packing.pack(table(spark, sf_dir, "documents"), ids=False)
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def _escaped(c: str) -> str:
+    return f"replace(replace(replace({c}, '\\', '\\\\'), '<|', '<\\|'), '|>', '|\\>')"
+
+
+OP7 = f"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL SELECT -7, 0, 'user', '\\### Assistant: </turn> ok'
+           UNION ALL SELECT -7, 1, 'assistant', '\\### Assistant: </turn> ok'),
+f AS (SELECT *, sum(length({_escaped("role")}) + length({_escaped("text")}) + 17) OVER (
+             PARTITION BY conv_id ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING) AS upto,
+             row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, role DESC, text DESC) AS back FROM c)
+SELECT conv_id, CAST(count(*) AS BIGINT) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(upto) FILTER (role = 'assistant' OR back = 1) AS BIGINT) AS formatted_chars,
+       CAST(count(*) FILTER (role = 'assistant' OR back = 1) AS BIGINT) AS n_examples
+FROM f GROUP BY conv_id
+"""
+
+
+@query("op7_chat_formatting", OP7)
+def op7(spark, sf_dir):
+    talks = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "\\### Assistant: </turn> ok"
+    more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id bigint, turn bigint, role string, text string")
+    return chat.digests(chat.expand(talks.union(more)))
+
+
 @query("op8_benchmark_decontamination")
 def op8(spark, sf_dir):
     found = decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -55,3 +124,27 @@ def op9(spark, sf_dir):
     graded = toxicity.grade(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
     return graded.select("doc_id", "toxicity.severity", "toxicity.grade", "toxicity.p_toxic",
                          (F.col("toxicity.p_toxic") >= toxicity.THRESHOLD).alias("is_toxic"))
+
+
+OP10 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+d AS (SELECT page_id, CAST(octet_length(encode(h)) AS BIGINT) AS payload_bytes, sha1(h) AS x,
+             min(page_id) OVER (PARTITION BY sha1(h)) AS first FROM p),
+b AS (SELECT *, list_aggregate(list_transform(range(1, 41), lambda i: substr(
+        '0000000100100011010001010110011110001001101010111100110111101111', 4 * (instr('0123456789abcdef', substr(x, i, 1)) - 1) + 1, 4)),
+        'string_agg', '') AS bits FROM d)
+SELECT page_id, payload_bytes, list_aggregate(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         1 + 16 * CAST(substr(bits, 5 * i + 1, 1) AS INTEGER) + 8 * CAST(substr(bits, 5 * i + 2, 1) AS INTEGER)
+           + 4 * CAST(substr(bits, 5 * i + 3, 1) AS INTEGER) + 2 * CAST(substr(bits, 5 * i + 4, 1) AS INTEGER)
+           + CAST(substr(bits, 5 * i + 5, 1) AS INTEGER), 1)), 'string_agg', '') AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to
+FROM b
+"""
+
+
+@query("op10_warc_bundles", OP10)
+def op10(spark, sf_dir):
+    folder = warc.fresh_folder(spark)
+    found = warc.read(warc.write(table(spark, sf_dir, "pages"), folder), folder)
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
