@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,15 +21,25 @@ def pick(df: DataFrame, **wanted: str) -> DataFrame:
     return df.select(*out)
 
 
-def strings(column: pa.Array) -> list[str]:
-    """Texts of an Arrow column, null as empty."""
-    return [t or "" for t in column.to_pylist()]
+def strings(column: pa.Array, step: int = 256) -> Iterator[str]:
+    """Texts of an Arrow column, null as empty; few at a time are held as Python objects."""
+    for at in range(0, len(column), step):
+        for t in column.slice(at, step).to_pylist():
+            yield t or ""
+
+
+def some(column: pa.Array, step: int = 256) -> Iterator[str | None]:
+    """Texts of an Arrow column with their nulls."""
+    for at in range(0, len(column), step):
+        yield from column.slice(at, step).to_pylist()
 
 
-def utf8(column: pa.Array) -> list[bytes]:
+def utf8(column: pa.Array, step: int = 256) -> Iterator[bytes]:
     """Texts of an Arrow column as UTF-8, null as empty."""
     kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()
-    return [t or b"" for t in column.cast(kind).to_pylist()]
+    for at in range(0, len(column), step):
+        for t in column.slice(at, step).cast(kind).to_pylist():
+            yield t or b""
 
 
 def row_hash(df: DataFrame) -> Column:

@@ -25,7 +25,7 @@ _known: dict[str, int] = {}
 def word_hashes(text: str) -> np.ndarray:
     """A 64-bit hash of every word: runs of letters, digits and underscores in lower case."""
     words = _WORD.findall(text.lower())
-    if len(_known) > 400_000:
+    if len(_known) > 150_000:
         _known.clear()
     for w in set(words):
         if w not in _known:

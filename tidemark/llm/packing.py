@@ -22,7 +22,7 @@ SHARD_CHARS, SHARD_DOCS = 32_000_000, 16_000
 # ranks of byte_bpe_50k.json
 VOCABULARY = "byte_bpe_50k.tiktoken"
 # a worker's cache starts anew at this size; longer parts are not kept in it
-CACHED_PARTS, CACHED_CHARS = 500_000, 64
+CACHED_PARTS, CACHED_CHARS = 150_000, 64
 _SIGNS = ".,!?;:"
 _BETWEEN = re.compile(r"\s \s")
 
@@ -128,7 +128,7 @@ def pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity
                     raw = ids[at:at + n].tobytes()
                     rows.append((doc, k, at, n, raw, zlib.crc32(raw)))
                     size += n
-                    if size > 2_000_000:
+                    if size > 1_000_000:
                         yield out(rows)
                         rows, size = [], 0
             if rows:
@@ -209,7 +209,7 @@ def place(items: DataFrame, shards: int, capacity: int = CAPACITY, open_bins: in
                                               pa.array(offset, pa.int64())], names=[*names, "sequence_id", "offset"])
 
     dealt = items.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(shards)))
-    return (dealt.repartition(max(1, shards), "shard")
+    return (dealt.repartitionById(max(1, shards), F.col("shard").cast("int"))
             .sortWithinPartitions("shard", F.desc("length"), "doc_id", "piece", "ids_crc32")
             .mapInArrow(run, f"{schema}, sequence_id bigint, offset bigint"))
 

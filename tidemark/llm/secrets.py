@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import pick, spare, strings
+from tidemark.llm.common import pick, some, spare, strings
 
 # fixed patterns of the base kinds, with the least length of the secret in each
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -174,7 +174,7 @@ def redact(docs: DataFrame, text: str = "text", n_chars: str | None = "n_chars",
     Overlapping spans are replaced as one. Rows without a secret, null texts too, stay as they are.
     """
     def clean(column: pa.Array) -> pa.Array:
-        return pa.array([_redacted(t, least) if t else t for t in column.to_pylist()], pa.string())
+        return pa.array([_redacted(t, least) if t else t for t in some(column)], pa.string())
 
     name = spare(docs, "clean_text")
     done = docs.withColumn(name, F.arrow_udf(clean, "string", F.ArrowUDFType.SCALAR)(F.col(f"`{text}`")))
