@@ -9,6 +9,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,7 +19,12 @@ from tidemark.sources.shared import as_table
 # bound of the training sample by class, and of the features that get a weight
 TOXIC_ROWS, CLEAN_ROWS, FEATURES = 2000, 4000, 5000
 # severity bands of toxic documents, and the probability from which a document is toxic
-BANDS, THRESHOLD = 3, 0.5
+BANDS, THRESHOLD = 3, 0.3
+# standard errors by which a feature's frequencies in both classes have to differ; a feature counts if at least one in RARE
+# documents of the sample has it
+CLEAR, RARE = 4.5, 300
+# least hashes of a text that are compared to find near copies within the sample
+SKETCHES = 4
 _WORD = re.compile(r"\w+")
 
 
@@ -33,6 +39,14 @@ def features(text: str) -> dict[str, float]:
     return {f: float(np.log1p(n)) for part in (counts, stems) for f, n in part.items()}
 
 
+def sketch(text: str) -> list[int]:
+    """Least hashes of the text's runs of five words, by several seeds; near copies have most of them in common."""
+    words = text.lower().split()
+    runs = {" ".join(words[k:k + 5]) for k in range(max(1, len(words) - 4))}
+    h = np.fromiter(map(xxhash.xxh64_intdigest, runs), np.uint64, len(runs))
+    return [int((h * np.uint64(2 * k + 0x9E3779B97F4A7C15) >> np.uint64(1)).min()) for k in range(SKETCHES)]
+
+
 @dataclass(frozen=True)
 class Ordinal:
     """P(grade > j) = sigmoid(score - cuts[j]), ``score`` the sum of weights; ``cuts`` ascend."""
@@ -58,7 +72,7 @@ class Ordinal:
 
 
 def fit_cumulative(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, grades: np.ndarray, n_features: int,
-                   n_grades: int, penalty: float = 0.02, steps: int = 250) -> tuple[np.ndarray, np.ndarray]:
+                   n_grades: int, penalty: float = 0.5, steps: int = 400) -> tuple[np.ndarray, np.ndarray]:
     """Weights and ascending cuts by full-batch Adam on the penalised likelihood of ordered grades."""
     n = len(grades)
     share = np.clip(np.cumsum(np.bincount(grades, minlength=n_grades))[:-1] / max(1, n), 1e-3, 1 - 1e-3)
@@ -80,8 +94,9 @@ def fit_cumulative(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, grade
         g_cuts = np.array([(-(d_hi * (grades == j)) + d_lo * (grades == j + 1)).sum() for j in range(n_grades - 1)]) / n
         g_free = np.concatenate([[g_cuts.sum()], [g_cuts[k:].sum() * np.exp(free[k]) for k in range(1, n_grades - 1)]])
         g = np.concatenate([np.bincount(cols, values * g_score[rows], minlength=n_features) + penalty * w / n, g_free])
-        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        theta = theta - 0.1 * (m / (1 - 0.9 ** t)) / (np.sqrt(v / (1 - 0.999 ** t)) + 1e-8)
+        m, v = 0.9 * m + 0.1 * g, 0.97 * v + 0.03 * g * g
+        rate = 0.15 * min(1.0, 2 * (1 - t / (steps + 1)))  # steady, then down to nothing
+        theta = theta - rate * (m / (1 - 0.9 ** t)) / (np.sqrt(v / (1 - 0.97 ** t)) + 1e-8)
     free = theta[n_features:]
     return theta[:n_features], np.concatenate([free[:1], free[0] + np.cumsum(np.exp(free[1:]))])
 
@@ -97,16 +112,32 @@ def _sample(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label_id
         drawn = part if drawn is None else drawn.union(part)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        # few documents at a time: each has many features
+        for b in (whole.slice(at, 64) for whole in batches for at in range(0, whole.num_rows, 64)):
             got = [features(t) for t in strings(b.column(2))]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), pa.array([list(g) for g in got], pa.list_(pa.string())),
-                 pa.array([list(g.values()) for g in got], pa.list_(pa.float64()))], names=["id", "toxic", "names", "values"])
+                 pa.array([list(g.values()) for g in got], pa.list_(pa.float64())),
+                 pa.array([sketch(t) for t in strings(b.column(2))], pa.list_(pa.int64()))],
+                names=["id", "toxic", "names", "values", "sketch"])
 
     # at most toxic_rows + clean_rows rows of two numbers: small enough to send to every executor
     return (pick(docs, id=f"{doc_id} bigint", text=f"{text} string").join(F.broadcast(drawn), "id")
             .select("id", "toxic", "text").dropDuplicates(["id"])
-            .mapInArrow(run, "id bigint, toxic int, names array<string>, values array<double>"))
+            .mapInArrow(run, "id bigint, toxic int, names array<string>, values array<double>, sketch array<bigint>"))
+
+
+def _without_copies(sample: DataFrame) -> DataFrame:
+    """The sample with one of each group of near copies: else their every word would look like a mark of their class."""
+    seen: list[set] = [set() for _ in range(SKETCHES)]
+    kept = []
+    # a few numbers for each row of the bounded sample
+    for r in sample.select("id", "toxic", "sketch").orderBy(F.desc("toxic"), "id").collect():
+        if not any(s in known for s, known in zip(r.sketch, seen)):
+            kept.append((r.id,))
+        for s, known in zip(r.sketch, seen):
+            known.add(s)
+    return sample.join(F.broadcast(sample.sparkSession.createDataFrame(kept, "id bigint")), "id", "left_semi").drop("sketch")
 
 
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label_id: str = "doc_id",
@@ -115,20 +146,21 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     """A model of severity grades 0 (clean) to ``bands`` from labels 0/1.
 
     Labels tell only toxic from clean. The grade of a labelled toxic document is its band, of ``bands`` of equal
-    size, by the share of marker features in its text; markers are features far more frequent among toxic documents.
-    The sample has at most ``toxic_rows`` and ``clean_rows`` documents, the model at most ``most`` features, chosen by
-    how far their frequencies in both classes lie apart. Nulls in labels are left out; of conflicting labels toxic
+    size, by the sum of its marker features; markers are features far more frequent among toxic documents.
+    The sample has at most ``toxic_rows`` and ``clean_rows`` documents, the model at most ``most`` features, those whose
+    frequencies in both classes lie farthest apart, and clearly so. Nulls in labels are left out; of conflicting labels toxic
     counts. Without labels of both classes the model finds nothing toxic.
     """
-    sample = as_table(_sample(docs, labels, doc_id, text, label_id, toxic, toxic_rows, clean_rows), "toxicity-sample")
+    sample = as_table(_sample(docs, labels, doc_id, text, label_id, toxic, toxic_rows, clean_rows), "toxicity-drawn")
+    sample = as_table(_without_copies(sample), "toxicity-sample")
     size = {r[0]: r[1] for r in sample.groupBy("toxic").count().collect()}
     n1, n0 = size.get(1, 0), size.get(0, 0)
     if not n1 or not n0:
         return Ordinal({}, tuple(float(50 + j) for j in range(bands)))
     counts = sample.select("toxic", F.explode("names").alias("f")).groupBy("f").agg(
-        F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b")).where(f"a + b >= {3 if n1 + n0 > 300 else 2}")
+        F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b")).where(f"a + b >= {max(2, (n1 + n0) // RARE)}")
     gap = (F.col("a") / n1 - F.col("b") / n0) / F.sqrt((F.col("a") + F.col("b") + 1) / (n1 + n0) * (1 / n1 + 1 / n0))
-    top = counts.withColumn("z", gap).orderBy(F.abs("z").desc(), "f").limit(most).collect()
+    top = counts.withColumn("z", gap).where(f"abs(z) >= {CLEAR}").orderBy(F.abs("z").desc(), "f").limit(most).collect()
     place = {r.f: k for k, r in enumerate(top)}
     markers = {r.f for r in top if r.z > 2 and (r.a + 0.1) / n1 > 8 * (r.b + 0.1) / n0}
 
@@ -137,19 +169,18 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
             out = []
             for y, names, values in zip(*(b.column(i).to_pylist() for i in range(3))):
                 kept = [(place[f], v) for f, v in zip(names, values) if f in place]
-                marked = sum(np.expm1(v) for f, v in zip(names, values) if f in markers)
-                out.append((y, [k for k, _ in kept], [v for _, v in kept], marked / max(1.0, sum(map(np.expm1, values)))))
+                out.append((y, [k for k, _ in kept], [v for _, v in kept], sum(v for f, v in zip(names, values) if f in markers)))
             kinds = [pa.int32(), pa.list_(pa.int32()), pa.list_(pa.float64()), pa.float64()]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)],
-                                                 names=["toxic", "cols", "values", "share"])
+                                                 names=["toxic", "cols", "values", "marked"])
 
     # at most toxic_rows + clean_rows rows
     table = sample.orderBy("id").select("toxic", "names", "values").mapInArrow(
-        run, "toxic int, cols array<int>, values array<double>, share double").toArrow()
+        run, "toxic int, cols array<int>, values array<double>, marked double").toArrow()
     y = table["toxic"].to_numpy()
-    share = table["share"].to_numpy()
-    grades = np.where(y > 0, 1 + np.searchsorted(np.quantile(share[y > 0], np.arange(1, bands) / bands), share, side="left"), 0)
+    marked = table["marked"].to_numpy()
+    grades = np.where(y > 0, 1 + np.searchsorted(np.quantile(marked[y > 0], np.arange(1, bands) / bands), marked, side="left"), 0)
     lengths = np.array([len(c) for c in table["cols"].to_pylist()])
     rows = np.repeat(np.arange(len(y)), lengths)
     cols = np.array([c for x in table["cols"].to_pylist() for c in x], np.int64)
