@@ -131,7 +131,7 @@ class Forest:
         return belief / belief.sum(axis=1, keepdims=True), joint
 
 
-def train(pages: list[tuple[dom.Page, list[int]]], steps: int = STEPS, penalty: float = 0.02) -> Model:
+def train(pages: list[tuple[dom.Page, list[int]]], steps: int = STEPS, penalty: float = 0.005) -> Model:
     """Maximum likelihood of the labels of whole trees: the gradient is what is seen less what the marginals expect."""
     features: dict[str, int] = {}
     kinds: dict[str, int] = {}

@@ -67,26 +67,26 @@ class Writer:
         # paragraphs of one page are alike: few or very many, of one word or of many
         lengths = r.choice([((1, 4, 12, 30), (30, 60, 120)), ((1,), (2, 4)), ((2, 5), (6, 12))])
         plain = r.random() < 0.4
-        for _ in range(r.choice([0, 1, 1, 2, 3, 5, 8, 14, 50, 120])):
+        for _ in range(r.choice([0, 1, 1, 2, 3, 5, 8, 14, 40, 90])):
             kind = 0 if plain else r.random()
-            if kind < 0.7:
+            if kind < 0.6:
                 p = self.node(top, r.choice(["p", "p", "p", "p", "div", "pre", "blockquote"]), 1)
                 if r.random() < 0.15:
                     self.node(p, "br", 1)
                 self.inline(p, 1, r.choice(lengths[0]), r.choice(lengths[1]))
-            elif kind < 0.8:
+            elif kind < 0.68:
                 self.inline(self.node(top, r.choice(["h2", "h3", "h4"]), 1), 1, 1, 10)
-            elif kind < 0.88:
+            elif kind < 0.76:
                 items = self.node(top, r.choice(["ul", "ol"]), 1)
                 for _ in range(r.randint(1, 6)):
                     self.inline(self.node(items, "li", 1), 1, 2, 25)
-            elif kind < 0.92:
+            elif kind < 0.8:
                 rows = self.node(top, "table", 1)
                 for _ in range(r.randint(1, 4)):
                     row = self.node(rows, "tr", 1)
                     for _ in range(r.randint(1, 4)):
                         self.inline(self.node(row, r.choice(["td", "th"]), 1), 1, 1, 6)
-            elif kind < 0.95:
+            elif kind < 0.85:
                 figure = self.node(top, "figure", 1)
                 self.node(figure, "img", 1)
                 self.inline(self.node(figure, "figcaption", 1), 1, 2, 15)
@@ -123,8 +123,9 @@ def labelled_page(seed: int) -> tuple[Page, list[int]]:
     """A page of a random layout and the label of every node: 1 for the article, 0 for the rest."""
     r = random.Random(seed)
     w = Writer(r)
-    root = w.node(w.node(-1, "#page", 0), "html", 0)
-    parent = w.node(root, "body", 0)
+    parent = w.node(-1, "#page", 0)
+    if r.random() < 0.7:  # others are fragments
+        parent = w.node(w.node(parent, "html", 0), "body", 0)
     while r.random() < 0.35:
         parent = w.node(parent, "div", 0, {r.choice(["class", "id"]): r.choice(["wrap", "container", "page", "row", "layout", "site"])})
     before = [k for k in ("header", "menu", "notice", "advert", "form", "sidebar") if r.random() < 0.5]
