@@ -23,6 +23,20 @@ def nan_to_null(col: Column) -> Column:
     return F.when(~F.isnan(col), col)
 
 
+def missing(df: DataFrame, col: str) -> Column:
+    """Whether a column has no value: null, or NaN in a column of floating point."""
+    floating = isinstance(df.schema[col].dataType, (T.DoubleType, T.FloatType))
+    return F.col(f"`{col}`").isNull() | F.isnan(f"`{col}`") if floating else F.col(f"`{col}`").isNull()
+
+
+def nan_as_null(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
+    """NaN to null in those of ``cols`` (by default all) that hold floating point; other columns pass."""
+    wanted = df.columns if cols is None else [c for c in cols if c in df.columns]
+    made = {c: nan_to_null(F.col(f"`{c}`")) for c in wanted
+            if isinstance(df.schema[c].dataType, (T.DoubleType, T.FloatType))}
+    return df.withColumns(made) if made else df
+
+
 def decimal_comma(df: DataFrame, cols: Sequence[str], strict: bool = False) -> DataFrame:
     """Text with a decimal comma to double, for those of ``cols`` that exist.
 

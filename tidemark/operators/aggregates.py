@@ -7,8 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.clean import missing
 from tidemark.functions.calendar import week_year, year_week
-from tidemark.operators.ordered import attach, keyed
+from tidemark.operators.ordered import attach, join_keys, keyed
 from tidemark.sources.shared import as_table
 
 
@@ -39,7 +40,7 @@ def unpivot_row(df: DataFrame, cols: Sequence[str], keys: Sequence[str] = (),
 
 def null_profile(df: DataFrame) -> DataFrame:
     """Missing count of each column that has any, in one pass."""
-    counts = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in df.columns])
+    counts = df.agg(*[F.count_if(missing(df, c)).alias(c) for c in df.columns])
     return unpivot_row(counts, df.columns, value="missing").filter("missing > 0")
 
 
@@ -79,6 +80,10 @@ def quantiles(df: DataFrame, keys: Sequence[str], col: str, probs: Sequence[floa
     tell which partitions hold a wanted rank; only those are ordered.
     """
     df, on = keyed(df, keys)
+    return _quantiles(df, on, col, probs, bounded=not keys).select(*keys, "prob", "value")
+
+
+def _quantiles(df: DataFrame, on: list[str], col: str, probs: Sequence[float], bounded: bool) -> DataFrame:
     counts = df.filter(F.col(col).isNotNull()).groupBy(*on, col).agg(
         F.count(F.lit(1)).alias("_count"))
     ranged = as_table(counts.repartitionByRange(*on, col).withColumn(
@@ -98,16 +103,16 @@ def quantiles(df: DataFrame, keys: Sequence[str], col: str, probs: Sequence[floa
     held = totals.select(*on, "_part", "_before", F.filter(F.array(*wanted), lambda q: (
         q["rank"] >= F.col("_before")) & (q["rank"] < F.col("_before") + F.col("_w"))).alias("_wanted")
     ).filter(F.size("_wanted") > 0)
-    if not keys:
+    if bounded:
         held = F.broadcast(held)  # at most two ranks per probability
     upto = F.col("_before") + F.sum("_count").over(Window.partitionBy(*on, "_part").orderBy(col))
-    found = ranged.join(held, [*on, "_part"]).withColumn("_upto", upto).withColumn(
+    found = join_keys(ranged, held, [*on, "_part"]).withColumn("_upto", upto).withColumn(
         "_q", F.explode(F.filter("_wanted", lambda q: (q["rank"] < F.col("_upto")) & (
             q["rank"] >= F.col("_upto") - F.col("_count")))))
     low, high = (F.max(F.when(F.col("_q.upper") == side, F.col(col))) for side in (False, True))
     return found.groupBy(*on, F.col("_q.prob").alias("prob"), F.col("_q.share").alias("_share")).agg(
         low.alias("_lo"), high.alias("_hi")).select(
-        *keys, "prob", (F.col("_lo") + F.col("_share") * (F.col("_hi") - F.col("_lo"))).alias("value"))
+        *on, "prob", (F.col("_lo") + F.col("_share") * (F.col("_hi") - F.col("_lo"))).alias("value"))
 
 
 def _with_quantiles(df: DataFrame, keys: Sequence[str], col: str, aggs: dict[str, Column],
@@ -117,9 +122,9 @@ def _with_quantiles(df: DataFrame, keys: Sequence[str], col: str, aggs: dict[str
             F.percentile_approx(col, p, 10000).alias(k) for k, p in names.items()])
     df, on = keyed(df, keys)
     base = df.groupBy(*on).agg(*[v.alias(k) for k, v in aggs.items()])
-    wide = quantiles(df, on, col, list(names.values())).groupBy(*on).agg(*[
+    wide = _quantiles(df, on, col, list(names.values()), bounded=not keys).groupBy(*on).agg(*[
         F.max(F.when(F.col("prob") == p, F.col("value"))).alias(k) for k, p in names.items()])
-    return base.join(wide, on, "left").select(*keys, *aggs, *names)
+    return join_keys(base, wide, on, "left").select(*keys, *aggs, *names)
 
 
 def summary(df: DataFrame, col: str, keys: Sequence[str] = (), exact: bool = True) -> DataFrame:
@@ -146,22 +151,24 @@ def problem_type(df: DataFrame, target: str, keys: Sequence[str] = (), max_class
 def density_histogram(df: DataFrame, col: str, bins: int = 20, keys: Sequence[str] = ()) -> DataFrame:
     """Equal-width bins over min..max with density, and the normal density at the bin centre.
 
-    The last bin is closed. Bins without rows are left out, as are constant groups.
+    Every group with a value has all ``bins`` bins, empty ones too; the last bin is closed. A constant group spans
+    half a unit to either side of its value and has no normal density.
     """
     df, on = keyed(df, keys)
+    lo, hi = F.min(col).cast("double"), F.max(col).cast("double")
     stats = df.groupBy(*on).agg(
-        F.min(col).alias("_lo"), F.max(col).alias("_hi"), F.count(col).alias("_n"),
-        F.avg(col).alias("_mu"), F.stddev_samp(col).alias("_sd")).filter("_hi > _lo")
-    # count equal values first: every later step then sees each value once
-    counts = df.filter(F.col(col).isNotNull()).groupBy(*on, col).agg(F.count(F.lit(1)).alias("_c"))
-    rows = attach(counts, stats, on, [col], how="inner")
+        F.when(hi > lo, lo).otherwise(lo - 0.5).alias("_lo"), F.when(hi > lo, hi).otherwise(hi + 0.5).alias("_hi"),
+        F.count(col).alias("_n"), F.avg(col).alias("_mu"), F.stddev_samp(col).alias("_sd")).filter("_n > 0")
     width = (F.col("_hi") - F.col("_lo")) / bins
+    rows = attach(df.filter(F.col(col).isNotNull()).select(*on, col), stats.select(*on, "_lo", "_hi"), on, [col], how="inner")
     at = F.least(F.floor((F.col(col) - F.col("_lo")) / width), F.lit(bins - 1))
-    binned = rows.groupBy(*on, "_lo", "_hi", "_n", "_mu", "_sd", at.alias("bin")).agg(
-        F.sum("_c").alias("count"))
+    # at most ``bins`` partial counts of a group leave a map task
+    counts = rows.groupBy(*on, at.alias("bin")).agg(F.count(F.lit(1)).alias("_c"))
+    every = stats.withColumn("bin", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(bins - 1).cast("bigint"))))
+    binned = join_keys(every, counts, [*on, "bin"], "left").withColumn("count", F.coalesce("_c", F.lit(0).cast("bigint")))
     centre = F.col("_lo") + (F.col("bin") + 0.5) * width
-    z = (centre - F.col("_mu")) / F.col("_sd")
+    z = F.try_divide(centre - F.col("_mu"), F.col("_sd"))
     return binned.select(
         *keys, "bin", (F.col("_lo") + F.col("bin") * width).alias("bin_start"), "count",
         (F.col("count") / (F.col("_n") * width)).alias("density"),
-        (F.exp(-z * z / 2) / (F.col("_sd") * F.sqrt(2 * F.pi()))).alias("normal_density"))
+        F.try_divide(F.exp(-z * z / 2), F.col("_sd") * F.sqrt(2 * F.pi())).alias("normal_density"))

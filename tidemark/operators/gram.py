@@ -12,8 +12,8 @@ from pyspark.sql import types as T
 
 # beyond this many sums the aggregate no longer fits generated code
 MAX_SUMS = 90
-# groups held back by one task before it sends their partial matrices on
-MAX_HELD = 2000
+# cells of the partial matrices that one task holds back before it sends them on
+MAX_CELLS = 8_000_000
 
 
 def gramian(df: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> DataFrame:
@@ -37,7 +37,7 @@ def gramian(df: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> DataFram
     key_list = list(keys)
 
     def flush(held: dict) -> pd.DataFrame:
-        out = pd.DataFrame(list(held), columns=key_list)
+        out = pd.DataFrame({k: pd.Series(list(v), dtype=object) for k, v in zip(key_list, zip(*held))})
         out["_n"] = [n for n, _ in held.values()]
         out["_g"] = [g.ravel() for _, g in held.values()]
         return out
@@ -45,11 +45,13 @@ def gramian(df: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> DataFram
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict = {}
         for pdf in batches:
-            for key, part in pdf.groupby(key_list, sort=False):
+            for key, part in pdf.groupby(key_list, sort=False, dropna=False):
+                # a null key is one group, whatever object stands for it
+                key = tuple(None if pd.isna(k) else k for k in key)
                 x = part[names].to_numpy()
                 n, g = held.get(key, (0, 0.0))
                 held[key] = (n + len(x), g + x.T @ x)
-            if len(held) > MAX_HELD:
+            if len(held) * width * width > MAX_CELLS:
                 yield flush(held)
                 held = {}
         if held:

@@ -9,6 +9,8 @@ calendar, and wrong for raw rows, where one key may hold a third of the table.
 * a number - the series is cut into blocks of that many consecutive rows and each
   block is one group. Bounded frames see copies of the neighbouring rows; running
   values are carried over from per-block totals. Results are the same.
+
+A null key is a key like any other, in both forms.
 """
 
 from __future__ import annotations
@@ -31,6 +33,8 @@ class Series:
     keys: tuple[str, ...]
     order: tuple[str, ...]
     block_rows: int | None = None
+    # SQL of a value that never falls along the order, such as the hour: rows are numbered bucket by bucket
+    bucket: str | None = None
 
     def window(self) -> WindowSpec:
         return Window.partitionBy(*self.keys).orderBy(*self.order)
@@ -39,6 +43,16 @@ class Series:
         return replace(self, keys=(*self.keys, *more))
 
 
+def join_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on equal keys, null being equal to null; ``right`` brings its other columns.
+
+    The keys are compared as one struct, whose fields may be null, so the join stays an equality join
+    and shares its partitioning with a window over the same struct.
+    """
+    at = F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)])
+    return left.withColumn("_on", at).join(right.withColumn("_on", at).drop(*keys), "_on", how).drop("_on")
+
+
 def attach(rows: DataFrame, stats: DataFrame, keys: Sequence[str], spread: Sequence[str],
            how: str = "left", salts: int = SALTS) -> DataFrame:
     """Put the one-row-per-key columns of ``stats`` beside every row.
@@ -51,7 +65,7 @@ def attach(rows: DataFrame, stats: DataFrame, keys: Sequence[str], spread: Seque
     """
     salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
     copies = stats.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(copies, [*keys, "_salt"], how).drop("_salt")
+    return join_keys(salted, copies, [*keys, "_salt"], how).drop("_salt")
 
 
 def keyed(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, list[str]]:
@@ -64,6 +78,8 @@ def positions(df: DataFrame, s: Series) -> DataFrame:
     if s.block_rows is None:
         return df.withColumn("rn", F.row_number().over(s.window()).cast("long")).withColumn(
             "n", F.count(F.lit(1)).over(Window.partitionBy(*s.keys)))
+    if s.bucket is not None:
+        return _bucket_positions(df, s)
     ordered = as_table(
         df.repartitionByRange(*s.keys, *s.order)
         .sortWithinPartitions(*s.keys, *s.order)
@@ -74,17 +90,38 @@ def positions(df: DataFrame, s: Series) -> DataFrame:
     part_keys = [*s.keys, "_part"]
     sizes = ordered.groupBy(*part_keys).agg(
         F.count(F.lit(1)).alias("_m"), F.min("_pos").alias("_first"))
-    by_key = Window.partitionBy(*s.keys)
-    starts = sizes.select(
-        *part_keys, "_first",
-        F.coalesce(F.sum("_m").over(by_key.orderBy("_part").rowsBetween(
-            Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"),
-        F.sum("_m").over(by_key).alias("n"))
-    return ordered.join(starts, part_keys).withColumn(
+    starts = _offsets(sizes, s.keys, "_part", "_first")
+    return join_keys(ordered, starts, part_keys).withColumn(
         "rn", F.col("_before") + F.col("_pos") - F.col("_first") + 1
     ).select(*df.columns, "rn", "n")
 
 
+def _offsets(sizes: DataFrame, keys: Sequence[str], part: str, *more: str) -> DataFrame:
+    """Rows of a key before each of its parts (``_before``) and in all of them (``n``)."""
+    by_key = Window.partitionBy(*keys)
+    return sizes.select(
+        *keys, part, *more,
+        F.coalesce(F.sum("_m").over(by_key.orderBy(part).rowsBetween(
+            Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"),
+        F.sum("_m").over(by_key).alias("n"))
+
+
+def _bucket_positions(df: DataFrame, s: Series) -> DataFrame:
+    """Numbers inside each (key, bucket), then what comes before the bucket is added.
+
+    Rows are shuffled once; the counts are summed in the map tasks, one row per key and bucket.
+    """
+    rows = df.withColumn("_bucket", F.expr(s.bucket))
+    sizes = rows.groupBy(*s.keys, "_bucket").agg(F.count(F.lit(1)).alias("_m"))
+    keys = [*s.keys, "_bucket"]
+    at = F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)])
+    starts = _offsets(sizes, s.keys, "_bucket").select(at.alias("_on"), "_before", "n")
+    # the window and the join share the partitioning by the struct of key and bucket
+    inside = F.row_number().over(Window.partitionBy("_on").orderBy(*s.order))
+    return (rows.withColumn("_on", at).withColumn("_inside", inside).join(starts, "_on")
+            .withColumn("rn", F.col("_before") + F.col("_inside")).select(*df.columns, "rn", "n"))
+
+
 def _block(s: Series) -> Column:
     return F.floor((F.col("rn") - 1) / F.lit(s.block_rows)).cast("long")
 
@@ -144,7 +181,7 @@ def running(df: DataFrame, s: Series, sums: Mapping[str, str] | None = None,
         *[F.last(f"_t_{new}", ignorenulls=True).over(earlier).alias(f"_c_{new}")
           for new in fills])
     inside = df.withColumns(over(Window.partitionBy(*block_keys).orderBy("rn")))
-    out = inside.join(carries, block_keys)
+    out = join_keys(inside, carries, block_keys)
     joined = {new: F.when(F.col(f"_c_{new}").isNull(), F.col(new)).otherwise(
         F.col(f"_c_{new}") + F.coalesce(F.col(new), F.lit(0))) for new in sums}
     joined |= {new: F.coalesce(F.col(new), F.col(f"_c_{new}")) for new in fills}

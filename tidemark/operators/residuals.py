@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.operators.ordered import Series, autocorrelation
+from tidemark.operators.ordered import join_keys, Series, autocorrelation
 
 
 def chi2_tail(q: float, dof: int) -> float:
@@ -64,4 +64,4 @@ def residual_diagnostics(df: DataFrame, s: Series, col: str) -> DataFrame:
     """Ljung-Box and Jarque-Bera p-values with the moments, one row per series."""
     lb = ljung_box(df, s, col).select(*s.keys, "lb_stat", "lb_pvalue")
     jb = jarque_bera(df, s.keys, col).select(*s.keys, "jb_stat", "jb_pvalue")
-    return residual_moments(df, s.keys, col).join(jb, list(s.keys)).join(lb, list(s.keys), "left")
+    return join_keys(join_keys(residual_moments(df, s.keys, col), jb, s.keys), lb, s.keys, "left")

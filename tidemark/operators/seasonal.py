@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 from tidemark.operators.folds import expanding_folds
 from tidemark.operators.gram import gramian, solve
 from tidemark.operators.metrics import fold_summary, regression_metrics
-from tidemark.operators.ordered import Series, attach, framed
+from tidemark.operators.ordered import Series, attach, framed, join_keys
 from tidemark.operators.ranking import best_rows
 from tidemark.operators.stationarity import difference_weights, differenced_variants
 from tidemark.sources.shared import as_table
@@ -165,7 +165,7 @@ def design_rows(df: DataFrame, s: Series, col: str, season: int, bounds: Bounds)
     lagged = framed(tall, own, m, 0, back).withColumn("_m", _own_order(m))
     grams = gramian(lagged.filter("rn > _m"), own.keys, [*ar, "w"])
     orders = tall.groupBy(*own.keys).agg(F.max("n").alias("n")).select(*own.keys, _own_order(m).alias("_m"))
-    coefs = _long_coefficients(grams.join(orders, list(own.keys)), own.keys, m)
+    coefs = _long_coefficients(join_keys(grams, orders, own.keys), own.keys, m)
     expected = sum((F.col("_ar")[i] * F.col(f"_a{i + 1}") for i in range(1, m)), F.col("_ar")[0] * F.col("_a1"))
     with_shock = attach(lagged, coefs, own.keys, ["rn"], how="inner").withColumn(
         "shock", F.when(F.col("rn") > F.col("_m"), F.col("w") - expected).otherwise(0.0)).withColumns(
@@ -224,7 +224,7 @@ def fit_orders(design: DataFrame, keys: Sequence[str], candidates: DataFrame, se
             base = pdf.drop(columns=["n_obs", "gram"]).reset_index(drop=True)
             yield pd.concat([base, fitted.astype({"n_obs": "Int64"})], axis=1)[schema.names]
 
-    return candidates.join(grams, [*keys, "d", "sd"], "left").select(
+    return join_keys(candidates, grams, [*keys, "d", "sd"], "left").select(
         *candidates.columns, "n_obs", "gram").mapInPandas(score, schema)
 
 
@@ -317,10 +317,10 @@ def forecast(df: DataFrame, design: DataFrame, s: Series, col: str, model: DataF
 
     on = [*keys, "d", "sd"]
     ok = model.filter("status = 'ok'").select(*on, "p", "q", "sp", "sq", "sigma2", "terms", "coefs")
-    state = ok.join(tail(df, col, keys, "_y"), keys).join(
-        tail(design, "w", on, "_w"), on).join(tail(design, "shock", on, "_e"), on)
-    state = state.withColumn("_h", F.lit(steps)) if isinstance(steps, int) else state.join(
-        steps.select(*keys, F.col("steps").alias("_h")), keys)
+    state = join_keys(ok, tail(df, col, keys, "_y"), keys)
+    state = join_keys(join_keys(state, tail(design, "w", on, "_w"), on), tail(design, "shock", on, "_e"), on)
+    state = state.withColumn("_h", F.lit(steps)) if isinstance(steps, int) else join_keys(
+        state, steps.select(*keys, F.col("steps").alias("_h")), keys)
     schema = T.StructType([state.schema[k] for k in keys] + [
         T.StructField(c, T.ArrayType(T.DoubleType())) for c in ("_predicted", "_lower", "_upper")])
 
@@ -390,18 +390,18 @@ def walk_forward(df: DataFrame, s: Series, col: str, season: int, p: float = 0.5
     by_fold = s.keyed_by("fold")
     test = folds.filter("role = 'test'")
     sizes = test.groupBy(*by_fold.keys).agg(F.count(F.lit(1)).alias("steps"), (F.min("rn") - 1).alias("n_train"))
-    fold_orders = orders.join(sizes, list(s.keys))
+    fold_orders = join_keys(orders, sizes, s.keys)
     # written once: fit, state and residual lags all read it
     design = as_table(design_rows(train, by_fold, col, season, bounds), "design")
     model = fit_seasonal(design, by_fold, fold_orders, season, bounds)
     ahead = forecast(train, design, by_fold, col, model, sizes, season, bounds)
-    placed = ahead.join(sizes, list(by_fold.keys)).select(
+    placed = join_keys(ahead, sizes, by_fold.keys).select(
         *by_fold.keys, (F.col("n_train") + F.col("step")).alias("rn"), "predicted", "lower", "upper")
-    forecasts = test.select(*by_fold.keys, "rn", F.col(col).alias("actual")).join(
-        placed, [*by_fold.keys, "rn"])
+    forecasts = join_keys(test.select(*by_fold.keys, "rn", F.col(col).alias("actual")),
+                          placed, [*by_fold.keys, "rn"])
     scores = regression_metrics(forecasts, by_fold.keys).withColumnRenamed("n", "n_test")
-    scores = scores.join(model.select(*by_fold.keys, "aic"), list(by_fold.keys)).join(
-        sizes.select(*by_fold.keys, "n_train"), list(by_fold.keys))
+    scores = join_keys(join_keys(scores, model.select(*by_fold.keys, "aic"), by_fold.keys),
+                       sizes.select(*by_fold.keys, "n_train"), by_fold.keys)
     return forecasts, scores
 
 

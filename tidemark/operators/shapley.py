@@ -31,10 +31,15 @@ def class_score(model) -> Score:
     return lambda df: model.transform(df).withColumn("fx", vector_to_array("probability"))
 
 
-def background_rows(df: DataFrame, group: Sequence[str], order: Sequence[str], n: int = 20) -> DataFrame:
-    """First ``n`` vectors per group as one list: ``(group, _bg)``; at most ``n`` entries each."""
+def background_rows(df: DataFrame, group: Sequence[str], order: Sequence[str], n: int = 20,
+                    shuffled: bool = True) -> DataFrame:
+    """``n`` vectors per group as one list: ``(group, _bg)``; at most ``n`` entries each.
+
+    They are drawn by a hash of the ``order`` columns, or are the first ones by them if not ``shuffled``.
+    """
+    by = [F.xxhash64(*order), *order] if shuffled else list(order)
     first = df.withColumn("_r", F.row_number().over(
-        Window.partitionBy(*group).orderBy(*order))).filter(F.col("_r") <= n)
+        Window.partitionBy(*group).orderBy(*by))).filter(F.col("_r") <= n)
     return first.groupBy(*group).agg(F.collect_list(vector_to_array("features")).alias("_bg"))
 
 

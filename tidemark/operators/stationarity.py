@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.operators.gram import gramian, solve
-from tidemark.operators.ordered import Series, attach, framed
+from tidemark.operators.ordered import Series, attach, framed, join_keys
 
 # Fixed published values, regression with constant, one series.
 # P-value: normal distribution of a polynomial in the statistic (MacKinnon 1994).
@@ -145,8 +145,8 @@ def adf_test(df: DataFrame, s: Series, col: str, max_lag: int | None = None, aut
     names = ["_one", "_level", *[f"_dz{i}" for i in range(1, width + 1)], "_x"]
     heads = z.filter(F.col("rn") <= F.col("_bound") + 1).groupBy(*keys).agg(
         F.transform(F.sort_array(F.collect_list(F.struct("rn", "_z"))), lambda v: v["_z"]).alias("head"))
-    inputs = stats.select(*keys, "n", F.col("_bound").alias("bound")).join(
-        gramian(usable, keys, names), keys, "left").join(heads, keys, "left")
+    inputs = join_keys(join_keys(stats.select(*keys, "n", F.col("_bound").alias("bound")),
+                                 gramian(usable, keys, names), keys, "left"), heads, keys, "left")
 
     crit = list(CRITICAL)
     schema = T.StructType([df.schema[k] for k in keys] + [

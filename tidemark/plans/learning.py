@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.sql import functions as F
 
@@ -99,7 +99,7 @@ def m7_linear(spark, sf_dir):
 @query("m7_sequence_regressor_forest")
 def m7_forest(spark, sf_dir):
     model = regress.SequenceRegressor(
-        RandomForestRegressor(numTrees=20, maxDepth=4, seed=42), ("sold", "revenue"), "revenue", 7)
+        RandomForestRegressor(numTrees=100, maxDepth=4, seed=42), ("sold", "revenue"), "revenue", 7)
     windows = ordered_split(model.windows(prio(spark, sf_dir), DAILY), 0.7)
     fitted = model.fit(windows.filter("split = 'train'"))
     return metrics.regression_metrics(
@@ -136,8 +136,8 @@ def m9(spark, sf_dir):
 @query("m10_auto_classifier")
 def m10(spark, sf_dir):
     df = ordered.lags(prio(spark, sf_dir), DAILY, "revenue", [1], "prev").withColumn(
-        "up", (F.col("revenue") > F.coalesce("prev1", F.lit(0.0))).cast("int"))
-    windows = ordered_split(regress.window_vectors(df, DAILY, ["sold", "revenue"], "up", 7), 0.7)
+        "up", (F.col("revenue") > F.col("prev1")).cast("int"))
+    windows = ordered_split(regress.window_vectors(df, DAILY, ["sold", "revenue"], "up", 7).filter("label IS NOT NULL"), 0.7)
     estimator = regress.auto_estimator(windows, "label", numTrees=20)
     fitted = estimator.fit(windows.filter("split = 'train'"))
     return metrics.accuracy(fitted.transform(windows.filter("split = 'test'")), ["series"], "label", "prediction")
@@ -150,9 +150,9 @@ def _sampled_rows(spark, sf_dir):
 
 @query("m11_forest")
 def m11(spark, sf_dir):
-    rows = _sampled_rows(spark, sf_dir)
-    model = regress.forest(rows, MEASURES, "failure")
-    scored = model.transform(rows)
+    # trained on the sampled parts, scored on all
+    model = regress.forest(_sampled_rows(spark, sf_dir), MEASURES, "failure")
+    scored = model.transform(production(spark, sf_dir))
     return metrics.accuracy(scored, ["product"], "failure", "prediction")
 
 
@@ -225,19 +225,18 @@ PHI = f"""{WINDOW_STEPS},
     tall AS (SELECT product, sample, lag, CAST(floor((n - 10) * 0.7::DOUBLE) AS BIGINT) AS nt, year_week, label, unnest(['quantity', 'price', 'discount', 'tax']) AS feature,
     unnest([quantity, price, discount, tax]) AS value FROM steps),
     coef AS (SELECT product, feature, lag, regr_slope(label, value) AS beta FROM tall WHERE sample <= nt GROUP BY 1, 2, 3),
-    base AS (SELECT product, feature, lag, avg(value) AS base FROM tall WHERE sample > nt AND sample <= nt + 20 GROUP BY 1, 2, 3),
-    phi AS (SELECT t.product, t.sample, t.feature, t.lag, t.value, t.year_week, beta * (value - base) AS phi FROM tall t
+    base AS (SELECT product, feature, lag, avg(value) AS base FROM tall WHERE sample > nt GROUP BY 1, 2, 3),
+    phi AS (SELECT t.product, t.sample, t.feature, t.lag, t.value, t.year_week, beta * base AS expected, beta * (value - base) AS phi FROM tall t
     JOIN coef c ON t.product = c.product AND t.feature = c.feature AND t.lag = c.lag
-    JOIN base b ON t.product = b.product AND t.feature = b.feature AND t.lag = b.lag WHERE t.sample > nt AND t.sample <= nt + 50)"""
+    JOIN base b ON t.product = b.product AND t.feature = b.feature AND t.lag = b.lag WHERE t.sample > nt)"""
 
 
 def linear_phi(spark, sf_dir):
-    """Attribution of a linear scorer with one slope per (product, feature, lag), first 50 test windows."""
-    samples = weekly_samples(spark, sf_dir).withColumn("test", F.col("sample") - F.floor((F.col("n") - LENGTH) * 0.7))
-    tall = long_steps(samples, MEASURES, LENGTH, [*IDS, "split", "test", "year_week", "label"])
+    """Attribution of a linear scorer with one slope per (product, feature, lag): all test windows, against all of them."""
+    tall = long_steps(weekly_samples(spark, sf_dir), MEASURES, LENGTH, [*IDS, "split", "year_week", "label"])
     slopes = tall.filter("split = 'train'").groupBy(*STEP).agg(F.regr_slope("label", "value").alias("beta"))
     test = tall.filter("split = 'test'")
-    return att.shapley_linear(test.filter("test <= 50"), slopes, test.filter("test <= 20").select(*STEP, "value"), STEP, ["sample"])
+    return att.shapley_linear(test, slopes, test.select(*STEP, "value"), STEP, ["sample"])
 
 
 @query("x1_shapley_linear", with_views("production weekly", f"""{PHI} SELECT product, sample, feature, CAST(lag AS INT) AS lag, {rs("phi * 1000", "phi", 6)} FROM phi"""))
@@ -298,14 +297,13 @@ def x6(spark, sf_dir):
 
 
 def _window_model(spark, sf_dir, estimator):
-    """Model on weekly windows, its first 50 test windows and 20 background windows per product."""
+    """Model on weekly windows, all its test windows and 20 of them, drawn by hash, as background per product."""
     seq = flatten_steps(weekly_samples(spark, sf_dir), MEASURES).select(
         *IDS, "split", F.col("label").cast("double").alias("label"), "features")
     seq = as_table(seq, "windows")
     model = estimator.fit(seq.filter("split = 'train'"))
     test = seq.filter("split = 'test'")
-    rows = head_rows(test, Series(("product",), ("sample",)), 50)
-    return model, rows, shapley.background_rows(test, ["product"], ["sample"], 20)
+    return model, test, shapley.background_rows(test, ["product"], ["sample"], 20)
 
 
 @query("x2_shapley_sampled")
@@ -317,7 +315,7 @@ def x2(spark, sf_dir):
 
 
 @query("x2_additivity", with_views("production weekly", f"""SELECT product, rn - 10 AS sample, 0.0::DOUBLE AS gap, 40::BIGINT AS inputs FROM weekly
-    WHERE rn - 10 > floor((n - 10) * 0.7::DOUBLE) AND rn - 10 <= floor((n - 10) * 0.7::DOUBLE) + 50"""))
+    WHERE rn - 10 > floor((n - 10) * 0.7::DOUBLE)"""))
 def x2_additivity(spark, sf_dir):
     # the values of a row add up to its prediction minus the mean background prediction
     model, rows, background = _window_model(spark, sf_dir, LinearRegression(regParam=0.01))
@@ -337,6 +335,43 @@ def _forest_phi(spark, sf_dir, trees=20):
     return shapley.shapley_exact(rows, background, ["row_id"], ["all"], MEASURES, shapley.class_score(model), outputs=2)
 
 
+POLYNOMIAL = """keys AS (SELECT DISTINCT p_partkey AS part_id FROM part ORDER BY md5('42-' || CAST(p_partkey AS VARCHAR)), part_id LIMIT 100),
+    rows AS (SELECT part_id, l_orderkey, l_linenumber, max(quantity) AS q, max(discount) AS d FROM production WHERE part_id IN (SELECT part_id FROM keys) GROUP BY 1, 2, 3),
+    bg AS (SELECT q, d FROM rows ORDER BY md5(concat_ws('-', part_id, l_orderkey, l_linenumber)), part_id, l_orderkey, l_linenumber LIMIT 20),
+    m AS (SELECT avg(q) AS mq, avg(d) AS md, avg(q * d) AS mqd FROM bg)"""
+
+
+def _polynomial(spark, sf_dir, score, explain):
+    """Rows of the sampled parts explained under a scorer known in closed form, against 20 rows in md5 order."""
+    rows = _sampled_rows(spark, sf_dir).groupBy("part_id", "l_orderkey", "l_linenumber").agg(
+        F.max("quantity").alias("q"), F.max("discount").alias("d"))
+    rows = assemble(rows, ["q", "d"]).withColumn("all", F.lit(0)).withColumn(
+        "draw", F.md5(F.concat_ws("-", "part_id", "l_orderkey", "l_linenumber").cast("binary")))
+    ids = ["part_id", "l_orderkey", "l_linenumber"]
+    background = shapley.background_rows(rows, ["all"], ["draw", *ids], 20, shuffled=False)
+    scorer = lambda df: df.withColumn("_v", vector_to_array("features")).withColumn(
+        "fx", F.array(score(F.col("_v")[0], F.col("_v")[1]))).drop("_v")
+    phi = explain(rows, background, ids, ["all"], ["q", "d"], scorer)
+    return phi.select(*ids, "feature", r("phi", "phi"), r("base_value", "base_value"), r("fx", "fx"))
+
+
+@query("x2_linear_exact", with_views("production", f"""{POLYNOMIAL} SELECT part_id, l_orderkey, l_linenumber, feature,
+    {rs("CASE WHEN feature = 'q' THEN 2 * (q - mq) ELSE -300 * (d - md) END", "phi")}, {rs("2 * mq - 300 * md", "base_value")}, {rs("2 * q - 300 * d", "fx")}
+    FROM rows, m, (SELECT unnest(['q', 'd']) AS feature)"""))
+def x2_linear(spark, sf_dir):
+    # sampled orders are exact for a linear scorer
+    return _polynomial(spark, sf_dir, lambda q, d: 2 * q - 300 * d,
+                       lambda *a: shapley.shapley_sampled(*a, n_perm=3, seed=1))
+
+
+@query("x3_product_exact", with_views("production", f"""{POLYNOMIAL} SELECT part_id, l_orderkey, l_linenumber, feature,
+    {rs("CASE WHEN feature = 'q' THEN 2 * (q - mq) + 5 * ((q * md - mqd) + (q * d - d * mq)) ELSE 5 * ((d * mq - mqd) + (q * d - q * md)) END", "phi")},
+    {rs("2 * mq + 10 * mqd", "base_value")}, {rs("2 * q + 10 * q * d", "fx")}
+    FROM rows, m, (SELECT unnest(['q', 'd']) AS feature)"""))
+def x3_product(spark, sf_dir):
+    return _polynomial(spark, sf_dir, lambda q, d: 2 * q + 10 * q * d, shapley.shapley_exact)
+
+
 @query("x3_forest_shapley")
 def x3(spark, sf_dir):
     return _forest_phi(spark, sf_dir)
@@ -355,12 +390,17 @@ def x3_balance(spark, sf_dir):
 
 
 @query("x4_explain_row", with_views("production weekly", f"""{PHI}, one AS (SELECT product, min(sample) AS sample FROM phi GROUP BY 1)
-    SELECT product, sample, feature || '_t-' || lag AS name, {rs("phi * 1000", "phi", 6)} FROM phi JOIN one USING (product, sample) WHERE product = 'PROMO'"""))
+    SELECT product, sample, feature || '_t-' || lag AS name, {rs("phi * 1000", "phi", 6)}, {rs("sum(expected) OVER () * 1000", "base_value", 6)}
+    FROM phi JOIN one USING (product, sample) WHERE product = 'PROMO'"""))
 def x4(spark, sf_dir):
     phi = step_labels(linear_phi(spark, sf_dir))
-    base = phi.groupBy("product").agg(F.avg("label").alias("base_value"), F.min("sample").alias("_first"))
+    # the scorer's mean output over the background: one term per input, the same for every sample
+    first = phi.groupBy("product").agg(F.min("sample").alias("_first"))
+    base = phi.join(first, "product").filter("sample = _first").groupBy("product").agg(
+        F.sum(F.col("beta") * F.col("base")).alias("base_value"), F.min("_first").alias("_first"))
     parts = att.explain_row(phi, base, {"product": "PROMO"}, ["product"]).filter("sample = _first")
-    return parts.select("product", "sample", "name", r(F.col("phi") * 1000, "phi", 6))
+    return parts.select("product", "sample", "name", r(F.col("phi") * 1000, "phi", 6),
+                        r(F.col("base_value") * 1000, "base_value", 6))
 
 
 # ---- sinks -------------------------------------------------------------------------------------

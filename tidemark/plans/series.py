@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidemark.functions.clean import nan_as_null
 from tidemark.operators import aggregates as agg
 from tidemark.operators import folds, metrics, ordered, scaling
 from tidemark.operators.filters import series_status
@@ -29,8 +30,17 @@ def gaps(spark, sf_dir):
     row_number() OVER (PARTITION BY part_id ORDER BY ts, l_orderkey, l_linenumber, price) AS rn,
     count(*) OVER (PARTITION BY part_id) AS n FROM production"""))
 def w2(spark, sf_dir):
-    return positions(production(spark, sf_dir), PARTS).select(
-        "part_id", "l_orderkey", r("price", "price", 2), "rn", "n")
+    df = production(spark, sf_dir).select("part_id", "ts", "l_orderkey", "l_linenumber", "price")
+    return positions(df, PARTS).select("part_id", "l_orderkey", r("price", "price", 2), "rn", "n")
+
+
+@query("w2_null_keys", with_views("production", f"""k AS (SELECT *, CASE WHEN part_id % 3 > 0 THEN part_id END AS k FROM production)
+    SELECT k AS part_id, l_orderkey, {rs("price", "price", 2)}, row_number() OVER (PARTITION BY k ORDER BY ts, l_orderkey, l_linenumber, price) AS rn,
+    count(*) OVER (PARTITION BY k) AS n FROM k"""))
+def w2_null_keys(spark, sf_dir):
+    # a third of the rows has no key: one series like any other
+    df = production(spark, sf_dir).select("ts", "l_orderkey", "l_linenumber", "price", F.when(F.col("part_id") % 3 > 0, F.col("part_id")).alias("part_id"))
+    return positions(df, PARTS).select("part_id", "l_orderkey", r("price", "price", 2), "rn", "n")
 
 
 @query("w3_difference", with_views("prio", f"""SELECT series, {days("ts")}, {rs("d1", "d1")}, {rs("d2", "d2")} FROM (
@@ -79,6 +89,16 @@ def w8(spark, sf_dir):
     return ordered.forward_fill(gaps(spark, sf_dir), EVENTS, ["v"]).select("user_id", "event_id", r("v", "v"))
 
 
+@query("w8_forward_fill_nan", with_views("gaps", f"""SELECT user_id, event_id, {rs("last_value(v IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)", "v")}
+    FROM gaps"""))
+def w8_nan(spark, sf_dir):
+    # what is missing comes as NaN
+    e = load(spark, sf_dir, "events").select("event_id", "user_id", "ts", F.when(
+        F.col("event_type") == "error", F.lit(float("nan"))).otherwise(F.col("value")).alias("v"))
+    df = positions(nan_as_null(e), EVENTS)
+    return ordered.forward_fill(df, EVENTS, ["v"]).select("user_id", "event_id", r("v", "v"))
+
+
 @query("w9_sequences_next", with_views("prio", f"""SELECT a.series, a.rn - 7 AS sample, {days("a.ts")}, {rs("a.sold", "label")},
     {rs("sum(b.sold)", "total")}, {rs("max(CASE WHEN b.rn = a.rn - 7 THEN b.revenue END)", "oldest")},
     {rs("max(CASE WHEN b.rn = a.rn - 1 THEN b.revenue END)", "latest")}
@@ -285,9 +305,18 @@ def a3(spark, sf_dir):
                     r("q50", "q50", 3), r("q75", "q75", 3), r("max", "max"))
 
 
-@query("a4_null_profile", """SELECT 'v' AS "column", count(*) AS missing FROM events WHERE event_type = 'error'""")
+@query("a4_null_profile", """SELECT * FROM (SELECT 'v' AS "column", count(*) AS missing FROM events WHERE event_type = 'error'
+    UNION ALL SELECT 'user_id', count(*) FROM events WHERE user_id % 5 = 0
+    UNION ALL SELECT 'kind', count(*) FROM events WHERE event_type = 'view'
+    UNION ALL SELECT 'half', count(*) FROM events WHERE event_type = 'error' OR event_id % 2 = 0) WHERE missing > 0""")
 def a4(spark, sf_dir):
-    return agg.null_profile(gap_events(spark, sf_dir))
+    # nulls in several columns, and a column with nulls and NaN
+    e = load(spark, sf_dir, "events")
+    value = F.when(F.col("event_type") != "error", F.col("value"))
+    return agg.null_profile(e.select(
+        "event_id", value.alias("v"), F.when(F.col("user_id") % 5 != 0, F.col("user_id")).alias("user_id"),
+        F.nullif("event_type", F.lit("view")).alias("kind"),
+        F.when(F.col("event_id") % 2 == 0, F.lit(float("nan"))).otherwise(value).alias("half")))
 
 
 @query("a5_profile", f"""SELECT l_returnflag, count(*) AS n_rows, CAST(11 AS BIGINT) AS n_cols, {days("min(l_shipdate)", "first_ts")},
@@ -404,13 +433,17 @@ def a15(spark, sf_dir):
     return metrics.batch_mean_loss(df, EVENTS, "loss", 25).select("user_id", r("loss", "loss"), "batches")
 
 
-@query("a19_density_histogram", with_views("production", f"""s AS (SELECT product, min(price) AS lo, max(price) AS hi, count(*) AS n, avg(price) AS mu,
-    stddev_samp(price) AS sd FROM production GROUP BY 1), b AS (SELECT p.product, least(floor((price - lo) / ((hi - lo) / 20)), 19) AS bin, lo, hi, n, mu, sd,
-    count(*) AS c FROM production p JOIN s ON p.product = s.product GROUP BY ALL)
+@query("a19_density_histogram", with_views("production", f"""p AS (SELECT product, price FROM production UNION ALL SELECT 'constant', 5.0 FROM production WHERE part_id < 50),
+    s0 AS (SELECT product, min(price) AS lo, max(price) AS hi, count(*) AS n, avg(price) AS mu, stddev_samp(price) AS sd FROM p GROUP BY 1),
+    s AS (SELECT product, CASE WHEN hi > lo THEN lo ELSE lo - 0.5 END AS lo, CASE WHEN hi > lo THEN hi ELSE hi + 0.5 END AS hi, n, mu, nullif(sd, 0) AS sd FROM s0),
+    h AS (SELECT p.product, least(floor((price - lo) / ((hi - lo) / 20)), 19) AS bin, count(*) AS c FROM p JOIN s ON p.product = s.product GROUP BY ALL),
+    b AS (SELECT s.*, t.bin, coalesce(c, 0) AS c FROM s CROSS JOIN range(20) t(bin) LEFT JOIN h ON h.product = s.product AND h.bin = t.bin)
     SELECT product, {bigs("bin", "bin")}, {rs("lo + bin * ((hi - lo) / 20)", "bin_start", 5)}, {bigs("c", "count")}, {rs("c / (n * ((hi - lo) / 20)) * 1e6", "density", 4)},
     {rs("exp(-(((lo + (bin + 0.5) * ((hi - lo) / 20) - mu) / sd) ** 2) / 2) / (sd * sqrt(2 * pi())) * 1e6", "normal_density", 4)} FROM b"""))
 def a19(spark, sf_dir):
-    h = agg.density_histogram(production(spark, sf_dir), "price", 20, ["product"])
+    rows = production(spark, sf_dir)
+    more = rows.filter("part_id < 50").select(F.lit("constant").alias("product"), F.lit(5.0).alias("price"))
+    h = agg.density_histogram(rows.select("product", "price").union(more), "price", 20, ["product"])
     return h.select("product", big("bin", "bin"), r("bin_start", "bin_start", 5), "count",
                     r(F.col("density") * 1e6, "density", 4), r(F.col("normal_density") * 1e6, "normal_density", 4))
 

@@ -16,8 +16,8 @@ BLOCK_ROWS = 1 << 14
 
 DAILY = Series(("series",), ("ts",))
 WEEKLY = Series(("product",), ("year", "week"))
-EVENTS = Series(("user_id",), ("ts", "event_id"), BLOCK_ROWS)
-PARTS = Series(("part_id",), ("ts", "l_orderkey", "l_linenumber", "price"), BLOCK_ROWS)
+EVENTS = Series(("user_id",), ("ts", "event_id"), BLOCK_ROWS, "date_trunc('hour', ts)")
+PARTS = Series(("part_id",), ("ts", "l_orderkey", "l_linenumber", "price"), BLOCK_ROWS, "ts")
 
 MEASURES = ["quantity", "price", "discount", "tax"]
 

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.functions.clean import nan_as_null
+
 
 def read_delimited(spark: SparkSession, path: str, sep: str = ";",
                    schema: T.StructType | str | None = None) -> DataFrame:
@@ -18,18 +20,21 @@ def read_delimited(spark: SparkSession, path: str, sep: str = ";",
     Types come from the cleaning functions afterwards, so the files are read once.
     """
     reader = spark.read.option("sep", sep).option("header", True)
-    return (reader.schema(schema) if schema is not None else reader).csv(path)
+    return nan_as_null((reader.schema(schema) if schema is not None else reader).csv(path))
 
 
 def load_table(spark: SparkSession, directory: str, name: str) -> DataFrame:
-    """A Parquet table of a directory; filters and column choice reach the scan."""
-    return spark.read.parquet(f"{directory}/{name}.parquet")
+    """A Parquet table of a directory; NaN is read as missing.
+
+    Column choice reaches the scan, and so do filters, but those on columns of floating point.
+    """
+    return nan_as_null(spark.read.parquet(f"{directory}/{name}.parquet"))
 
 
 def try_load(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame | None:
-    """The data set at ``path``, or None when there is none."""
+    """The data set at ``path``, NaN read as missing, or None when there is none."""
     try:
-        return spark.read.format(fmt).load(path)
+        return nan_as_null(spark.read.format(fmt).load(path))
     except AnalysisException as e:
         if e.getCondition() == "PATH_NOT_FOUND":
             return None
