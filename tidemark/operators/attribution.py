@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.ordered import attach
 from tidemark.operators.ranking import top_k
+from tidemark.sources.shared import as_table
 
 
 def shapley_linear(rows: DataFrame, coefficients: DataFrame, background: DataFrame,
@@ -39,9 +40,11 @@ def attribution_by_feature(phi: DataFrame, keys: Sequence[str] = ()) -> DataFram
 
 def attribution_by_lag(phi: DataFrame, keys: Sequence[str] = (), n: int = 5) -> DataFrame:
     """Mean absolute phi per lag of the ``n`` most important features; lag 0 is the latest step."""
-    top = top_k(attribution_by_feature(phi, keys), "importance", n, by=keys, ties=["feature"])
-    kept = phi.join(top.select(*keys, "feature"), [*keys, "feature"], "left_semi")
-    return kept.groupBy(*keys, "feature", "lag").agg(F.avg(F.abs("phi")).alias("mean_abs_phi"))
+    by_lag = phi.groupBy(*keys, "feature", "lag").agg(F.avg(F.abs("phi")).alias("mean_abs_phi"))
+    # from here on one row per feature and lag
+    mean = F.avg("mean_abs_phi").over(Window.partitionBy(*keys, "feature"))
+    rank = F.dense_rank().over(Window.partitionBy(*keys).orderBy(F.desc("_mean"), "feature"))
+    return by_lag.withColumn("_mean", mean).withColumn("_rank", rank).filter(F.col("_rank") <= n).drop("_mean", "_rank")
 
 
 def explain_row(phi: DataFrame, base: DataFrame, row: dict[str, object], keys: Sequence[str] = ()) -> DataFrame:
@@ -59,6 +62,8 @@ def explain_row(phi: DataFrame, base: DataFrame, row: dict[str, object], keys: S
 
 def dependence(phi: DataFrame, keys: Sequence[str] = (), n: int = 3) -> DataFrame:
     """Feature value against phi for the ``n`` features with the largest mean absolute phi."""
+    # written once, as it is read twice
+    phi = as_table(phi, "attribution")
     means = phi.groupBy(*keys, "feature").agg(F.avg(F.abs("phi")).alias("_m"))
     top = top_k(means, "_m", n, by=keys, ties=["feature"])
     return phi.join(top.select(*keys, "feature"), [*keys, "feature"], "left_semi")

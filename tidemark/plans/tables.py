@@ -45,18 +45,26 @@ def priority_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.round(F.sum("o_totalprice"), 2).alias("revenue"))
 
 
-def production(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line items with the type of their part."""
-    li = load(spark, sf_dir, "lineitem").select(
+def line_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items by the names the queries use."""
+    return load(spark, sf_dir, "lineitem").select(
         F.col("l_partkey").alias("part_id"), F.to_date("l_shipdate").alias("ts"), "l_orderkey",
         "l_linenumber", F.col("l_quantity").alias("quantity"), F.col("l_extendedprice").alias("price"),
         F.col("l_discount").alias("discount"), F.col("l_tax").alias("tax"),
         (F.col("l_returnflag") == "R").cast("int").alias("failure"))
-    part = load(spark, sf_dir, "part").select(
+
+
+def products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts and their types."""
+    return load(spark, sf_dir, "part").select(
         F.col("p_partkey").alias("part_id"), F.col("p_type").alias("product"))
+
+
+def production(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items with the type of their part."""
     # the part table grows with the data, so it is neither hinted nor copied: Spark broadcasts
     # it below its threshold, and splits the partition of a hot part in a sort-merge join
-    return li.join(part, "part_id")
+    return line_items(spark, sf_dir).join(products(spark, sf_dir), "part_id")
 
 
 def weekly(spark: SparkSession, sf_dir: str, mode: str = "calendar_year") -> DataFrame:

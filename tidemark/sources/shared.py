@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-# paths of the tables written by this process
+# paths handed out by this process
 _written: list[str] = []
+_lock = threading.Lock()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -18,19 +20,22 @@ def shared_dir(spark: SparkSession) -> str:
     Only a local session without that setting gets a folder of its own: on a
     cluster a machine-local folder would be lost with its executor.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    own = tempfile.mkdtemp(prefix="tidemark-")
-    spark.sparkContext.setCheckpointDir(own)
-    return own
+    with _lock:
+        named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+        if named:
+            return named.rstrip("/")
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
+        own = tempfile.mkdtemp(prefix="tidemark-")
+        spark.sparkContext.setCheckpointDir(own)
+        return own
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that no earlier run has used."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A path in the shared folder that no earlier run has used; :func:`drop_tables` removes what is written there."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
 
 
 def as_table(df: DataFrame, name: str) -> DataFrame:
@@ -43,7 +48,6 @@ def as_table(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.parquet(path)
-    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
