@@ -9,8 +9,9 @@ from types import SimpleNamespace
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import aggregates, filters, ordered
+from tidemark.operators import aggregates, attribution, filters, ordered
 from tidemark.operators.ordered import Series, positions
+from tidemark.plans.catalog import QUERIES
 from tidemark.plans.tables import DAILY, load, priority_sales
 from tidemark.sources import io, shared
 
@@ -116,3 +117,39 @@ print("rows", len(gramian(wide, ["k"], wide.columns[1:]).collect()))
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     out = subprocess.run([sys.executable, "-c", code], cwd="/", env=env, capture_output=True, text=True, timeout=180)
     assert "rows 1" in out.stdout, out.stderr[-2000:]
+
+
+@pytest.mark.parametrize("name", ["f1_filter_equals", "t4_top_k"])
+def test_line_items_are_summed_before_the_join(spark, name):
+    text = plan(QUERIES[name](spark, SF_DIR))
+    joined = text.index("Join")
+    assert "partial_sum" in text[joined:] or "partial_count" in text[joined:]
+    assert text.count("lineitem.parquet") == 1
+
+
+def test_split_columns_need_no_other_table(spark):
+    text = plan(QUERIES["p11_split_features_target"](spark, SF_DIR))
+    assert "part.parquet" not in text and "p_type" not in text
+
+
+def test_attribution_by_lag_reads_its_input_once(spark):
+    phi = spark.range(100).selectExpr("id % 2 AS k", "concat('f', id % 5) AS feature", "id % 4 AS lag", "id * 0.5D AS phi")
+    found = attribution.attribution_by_lag(phi, ["k"], n=2)
+    assert plan(found).count("Range (0, 100") == 1
+    top = {(r.k, r.feature) for r in found.collect()}
+    assert len(top) == 4
+    # of each key the two features of the largest mean over lags of the mean absolute value
+    means = {}
+    for r in phi.collect():
+        means.setdefault((r.k, r.feature), {}).setdefault(r.lag, []).append(abs(r.phi))
+    worth = {f: sum(sum(v) / len(v) for v in by.values()) / len(by) for f, by in means.items()}
+    want = {f for k in (0, 1) for f in sorted((f for f in worth if f[0] == k), key=lambda f: (-worth[f], f[1]))[:2]}
+    assert top == want
+
+
+def test_sinks_are_dropped_too(spark):
+    path = shared.fresh_path(spark, "sink")
+    spark.range(3).write.parquet(path)
+    assert os.path.isdir(path.removeprefix("file:"))
+    shared.drop_tables(spark)
+    assert not os.path.isdir(path.removeprefix("file:"))
