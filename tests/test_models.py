@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 import itertools
 import math
 
 import numpy as np
 import pytest
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.sql import functions as F
@@ -338,50 +340,112 @@ def shapley_by_hand(predict, x, background):
     return out
 
 
-def test_exact_shapley_matches_brute_force(spark, scored):
+def drawn_rows(ids, size, draws, seed):
+    """Numbers of the background rows drawn for a row, by the documented rule."""
+    return [int(hashlib.md5("-".join(map(str, [seed, *ids, k])).encode()).hexdigest()[:15], 16) % size for k in range(draws)]
+
+
+def forest_predict(model):
+    return lambda m: np.array([model.predict(Vectors.dense(row)) for row in m])
+
+
+@pytest.mark.parametrize("block_rows", [None, 16])
+def test_exact_shapley_matches_brute_force(spark, scored, block_rows):
     x, df = scored
     model = RandomForestRegressor(numTrees=5, maxDepth=3, seed=1).fit(df)
-    background = shapley.background_rows(df, ["g"], ["i"], 7)
+    background = shapley.background_table(df, ["g"], ["i"], block_rows)
     rows = df.filter("i in (20, 33)")
-    phi = shapley.shapley_exact(rows, background, ["i"], ["g"], ["a", "b", "c"], shapley.regression_score(model))
+    phi = shapley.shapley_exact(rows, background, ["i"], ["g"], ["a", "b", "c"], shapley.regression_score(model), draws=7)
     got = {(r.i, r.feature): r for r in phi.collect()}
-
-    def predict(m):
-        return np.array([model.predict(Vectors.dense(row)) for row in m])
-
+    predict = forest_predict(model)
     for i in (20, 33):
-        want = shapley_by_hand(predict, x[i], x[:7])
+        drawn = x[drawn_rows([i], 60, 7, 0)]
+        want = shapley_by_hand(predict, x[i], drawn)
         assert [got[i, f].phi for f in "abc"] == pytest.approx(want.tolist(), abs=1e-9)
-        assert got[i, "a"].base_value == pytest.approx(predict(x[:7]).mean())
+        assert got[i, "a"].base_value == pytest.approx(predict(drawn).mean())
         assert sum(got[i, f].phi for f in "abc") == pytest.approx(got[i, "a"].fx - got[i, "a"].base_value)
 
 
+def test_background_numbers_all_rows_of_each_group(spark):
+    rows = [(i, g, Vectors.dense([float(i)])) for i, g in enumerate([None, "a", "b", "a", None, "a"])]
+    df = spark.createDataFrame(rows, ["i", "g", "features"])
+    for block_rows in (None, 2):
+        got = sorted(((r.g or "", r._no, r._n, r._b[0]) for r in shapley.background_table(df, ["g"], ["i"], block_rows).collect()))
+        assert got == [("", 0, 2, 0.0), ("", 1, 2, 4.0), ("a", 0, 3, 1.0), ("a", 1, 3, 3.0), ("a", 2, 3, 5.0), ("b", 0, 1, 2.0)]
+
+
 def test_sampled_shapley_of_linear_model_is_exact(spark, scored):
     x, df = scored
     model = LinearRegression(regParam=0.0).fit(df)
-    background = shapley.background_rows(df, ["g"], ["i"], 10)
+    background = shapley.background_table(df, ["g"], ["i"])
     phi = shapley.shapley_sampled(df.filter("i < 15"), background, ["i"], ["g"], ["a_t-1", "a_t-0", "b_t-0"],
-                                  shapley.regression_score(model), n_perm=3)
-    want = model.coefficients.toArray() * (x[:15] - x[:10].mean(axis=0))
+                                  shapley.regression_score(model), n_perm=3, seed=2)
     rows = shapley.split_step_names(phi).collect()
     assert len(rows) == 45
     for r in rows:
         j = {("a", 1): 0, ("a", 0): 1, ("b", 0): 2}[r.feature, r.lag]
-        assert r.phi == pytest.approx(want[r.i, j], abs=1e-9)
+        want = model.coefficients[j] * (x[r.i, j] - x[drawn_rows([r.i], 60, 3, 2), j].mean())
+        assert r.phi == pytest.approx(want, abs=1e-9)
 
 
-def test_sampled_shapley_approaches_exact(spark, scored):
-    _, df = scored
+def test_sampled_shapley_approaches_all_background_rows(spark, scored):
+    x, df = scored
     model = RandomForestRegressor(numTrees=5, maxDepth=3, seed=1).fit(df)
-    background = shapley.background_rows(df, ["g"], ["i"], 7)
+    background = shapley.background_table(df, ["g"], ["i"])
     args = (df.filter("i = 20"), background, ["i"], ["g"], ["a", "b", "c"], shapley.regression_score(model))
-    exact = {r.feature: r.phi for r in shapley.shapley_exact(*args).collect()}
-    near = {r.feature: r.phi for r in shapley.shapley_sampled(*args, n_perm=200).collect()}
-    assert [near[f] for f in "abc"] == pytest.approx([exact[f] for f in "abc"], abs=0.06)
+    near = {r.feature: r.phi for r in shapley.shapley_sampled(*args, n_perm=1500).collect()}
+    assert [near[f] for f in "abc"] == pytest.approx(shapley_by_hand(forest_predict(model), x[20], x).tolist(), abs=0.12)
     with pytest.raises(ValueError):
         shapley.shapley_exact(args[0], background, ["i"], ["g"], list("abcdefghijk"), args[5])
 
 
+def test_all_weighted_coalitions_equal_the_exact_values(spark, scored):
+    _, df = scored
+    model = RandomForestRegressor(numTrees=5, maxDepth=3, seed=1).fit(df)
+    background = shapley.background_table(df, ["g"], ["i"])
+    args = (df.filter("i < 6"), background, ["i"], ["g"], ["a", "b", "c"], shapley.regression_score(model))
+    exact = {(r.i, r.feature): r for r in shapley.shapley_exact(*args).collect()}
+    got = shapley.shapley_coalitions(*args, budget=6).collect()
+    assert len(got) == 18
+    for r in got:
+        assert r.phi == pytest.approx(exact[r.i, r.feature].phi, abs=1e-9)
+        assert (r.base_value, r.fx) == pytest.approx((exact[r.i, r.feature].base_value, exact[r.i, r.feature].fx))
+
+
+def test_weighted_coalitions_of_many_inputs(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(30, 13))
+    df = spark.createDataFrame([(i, 0, Vectors.dense(v)) for i, v in enumerate(x)], ["i", "g", "features"])
+
+    # a sum of inputs and one product: its value is shared by two inputs, whatever the coalitions drawn
+    def score(frame):
+        v = vector_to_array("features")
+        return frame.withColumn("fx", F.array(F.aggregate(v, F.lit(0.0), lambda a, e: a + e), v[0] * v[1]))
+
+    names = [f"x{j}" for j in range(13)]
+    background = shapley.background_table(df, ["g"], ["i"])
+    got = {(r.i, r.output, r.feature): r for r in shapley.shapley(df, background, ["i"], ["g"], names, score, outputs=2, draws=5, budget=400).collect()}
+    assert len(got) == 30 * 2 * 13
+    for i in range(30):
+        b = x[drawn_rows([i], 30, 5, 0)]
+        for j, n in enumerate(names):
+            assert got[i, 0, n].phi == pytest.approx(x[i, j] - b[:, j].mean(), abs=1e-9)
+        for o in (0, 1):
+            assert sum(got[i, o, n].phi for n in names) == pytest.approx(got[i, o, "x0"].fx - got[i, o, "x0"].base_value)
+        first = 0.5 * ((x[i, 0] * b[:, 1] - b[:, 0] * b[:, 1]) + (x[i, 0] * x[i, 1] - b[:, 0] * x[i, 1])).mean()
+        assert got[i, 1, "x0"].phi == pytest.approx(first, abs=0.3)
+
+
+def test_coalitions_are_the_kernel():
+    masks, weights = shapley.coalition_design(5, 30)
+    assert len(set(masks)) == 30 and weights.sum() == pytest.approx(sum(4 / (s * (5 - s)) for s in range(1, 5)))
+    assert all(w == pytest.approx(4 / (math.comb(5, m.count("1")) * m.count("1") * (5 - m.count("1")))) for m, w in zip(masks, weights))
+    drawn, weights = shapley.coalition_design(20, 100, 1)
+    assert len(drawn) <= 100 and weights.sum() == pytest.approx(sum(19 / (s * (20 - s)) for s in range(1, 20)))
+    assert shapley.coalition_design(20, 100, 1)[0] == drawn != shapley.coalition_design(20, 100, 2)[0]
+    assert shapley.coalition_design(1, 10)[0] == []
+
+
 def test_features_with_shared_prefix_stay_apart(spark):
     phi = spark.createDataFrame([(1, "temp", 0, 1.0), (1, "temp_max", 0, -3.0)], "i int, feature string, lag int, phi double")
     got = {r.feature: r.importance for r in attribution.attribution_by_feature(phi).collect()}

@@ -296,78 +296,123 @@ def x6(spark, sf_dir):
     return imp.select("product", "feature", F.row_number().over(w).alias("rank"))
 
 
-def _window_model(spark, sf_dir, estimator):
-    """Model on weekly windows, all its test windows and 20 of them, drawn by hash, as background per product."""
+def _window_rows(spark, sf_dir):
+    """Weekly windows, and the test windows of each product as background; a product's weeks are bounded by the calendar."""
     seq = flatten_steps(weekly_samples(spark, sf_dir), MEASURES).select(
         *IDS, "split", F.col("label").cast("double").alias("label"), "features")
     seq = as_table(seq, "windows")
-    model = estimator.fit(seq.filter("split = 'train'"))
-    test = seq.filter("split = 'test'")
-    return model, test, shapley.background_rows(test, ["product"], ["sample"], 20)
+    return seq, shapley.background_table(seq.filter("split = 'test'"), ["product"], ["sample"], block_rows=None)
+
+
+# each test window takes part in the background of its product
+WINDOW_DRAWS = """bg AS (SELECT product, lag, feature, sample, value, dense_rank() OVER (PARTITION BY product, feature, lag ORDER BY sample) - 1 AS no,
+    count(*) OVER (PARTITION BY product, feature, lag) AS size FROM tall WHERE sample > nt),
+    drawn AS (SELECT b.product, b.sample, feature, lag, value, CAST('0x' || md5(concat_ws('-', {seed}, product, sample, k))[1:15] AS BIGINT) % size AS no
+    FROM bg b, range({draws}) t(k)),
+    means AS (SELECT d.product, d.sample, d.feature, d.lag, d.value, avg(b.value) AS mean FROM drawn d JOIN bg b
+    ON b.product = d.product AND b.feature = d.feature AND b.lag = d.lag AND b.no = d.no GROUP BY ALL),
+    slopes AS (SELECT *, CASE feature WHEN 'quantity' THEN 1 WHEN 'price' THEN -0.001 WHEN 'discount' THEN 30 ELSE -20 END * (11 - lag) AS beta FROM means)"""
+SLOPES = {"quantity": 1.0, "price": -0.001, "discount": 30.0, "tax": -20.0}
+
+
+def _additive_score(df):
+    """A scorer of all 40 window inputs that is known in closed form; the inputs come oldest step first."""
+    betas = [SLOPES[m] * (11 - lag) for lag in range(LENGTH - 1, -1, -1) for m in MEASURES]
+    weights = F.split(F.lit(",".join(map(repr, betas))), ",").cast("array<double>")
+    products = F.zip_with(vector_to_array("features"), weights, lambda x, b: x * b)
+    return df.withColumn("fx", F.array(F.aggregate(products, F.lit(0.0), lambda a, x: a + x)))
+
+
+@query("x2_coalitions", with_views("production weekly", f"""{PHI}, {WINDOW_DRAWS.format(seed=3, draws=8)} SELECT product, sample, feature, CAST(lag AS INT) AS lag,
+    {rs("beta * (value - mean)", "phi", 3)}, {rs("sum(beta * mean) OVER (PARTITION BY product, sample)", "base_value", 2)},
+    {rs("sum(beta * value) OVER (PARTITION BY product, sample)", "fx", 2)} FROM slopes"""))
+def x2_coalitions(spark, sf_dir):
+    # 40 inputs: weighted coalitions in place of all 2^40
+    seq, background = _window_rows(spark, sf_dir)
+    phi = shapley.shapley(seq.filter("split = 'test'"), background, IDS, ["product"], step_names(MEASURES, LENGTH),
+                          _additive_score, draws=8, budget=240, seed=3)
+    return shapley.split_step_names(phi).select(*IDS, "feature", "lag", r("phi", "phi", 3), r("base_value", "base_value", 2), r("fx", "fx", 2))
+
+
+@query("x2_orders", with_views("production weekly", f"""{PHI}, {WINDOW_DRAWS.format(seed=5, draws=32)} SELECT product, sample, feature, CAST(lag AS INT) AS lag,
+    {rs("beta * (value - mean)", "phi", 3)}, {rs("sum(beta * mean) OVER (PARTITION BY product, sample)", "base_value", 2)},
+    {rs("sum(beta * value) OVER (PARTITION BY product, sample)", "fx", 2)} FROM slopes"""))
+def x2_orders(spark, sf_dir):
+    # 32 orders, each with a background row of its own
+    seq, background = _window_rows(spark, sf_dir)
+    phi = shapley.shapley_sampled(seq.filter("split = 'test'"), background, IDS, ["product"], step_names(MEASURES, LENGTH),
+                                  _additive_score, n_perm=32, seed=5)
+    return shapley.split_step_names(phi).select(*IDS, "feature", "lag", r("phi", "phi", 3), r("base_value", "base_value", 2), r("fx", "fx", 2))
 
 
 @query("x2_shapley_sampled")
 def x2(spark, sf_dir):
-    model, rows, background = _window_model(spark, sf_dir, RandomForestRegressor(numTrees=10, maxDepth=4, seed=42))
-    phi = shapley.shapley_sampled(rows, background, IDS, ["product"], step_names(MEASURES, LENGTH),
-                                  shapley.regression_score(model), n_perm=4, seed=1)
+    seq, background = _window_rows(spark, sf_dir)
+    model = RandomForestRegressor(numTrees=100, maxDepth=4, seed=42).fit(seq.filter("split = 'train'"))
+    phi = shapley.shapley_sampled(seq.filter("split = 'test'"), background, IDS, ["product"], step_names(MEASURES, LENGTH),
+                                  shapley.regression_score(model), n_perm=32, seed=1)
     return shapley.split_step_names(phi)
 
 
-@query("x2_additivity", with_views("production weekly", f"""SELECT product, rn - 10 AS sample, 0.0::DOUBLE AS gap, 40::BIGINT AS inputs FROM weekly
+@query("x2_additivity", with_views("production weekly", f"""SELECT product, rn - 10 AS sample, 0.0::DOUBLE AS gap, 0.0::DOUBLE AS fx_gap, 40::BIGINT AS inputs FROM weekly
     WHERE rn - 10 > floor((n - 10) * 0.7::DOUBLE)"""))
 def x2_additivity(spark, sf_dir):
-    # the values of a row add up to its prediction minus the mean background prediction
-    model, rows, background = _window_model(spark, sf_dir, LinearRegression(regParam=0.01))
+    # the values of a row add up to its prediction minus its mean background prediction
+    seq, background = _window_rows(spark, sf_dir)
+    model = LinearRegression(regParam=0.01).fit(seq.filter("split = 'train'"))
+    rows = seq.filter("split = 'test'")
     phi = shapley.shapley_sampled(rows, background, IDS, ["product"], step_names(MEASURES, LENGTH),
-                                  shapley.regression_score(model), n_perm=2, seed=1)
+                                  shapley.regression_score(model), n_perm=4, seed=1)
     sums = phi.groupBy(*IDS).agg(F.sum("phi").alias("total"), F.max("fx").alias("fx"),
                                  F.max("base_value").alias("base"), F.count(F.lit(1)).alias("inputs"))
-    return sums.select(*IDS, r(F.col("total") - F.col("fx") + F.col("base"), "gap", 6), "inputs")
+    scored = model.transform(rows).select(*IDS, "prediction")
+    return sums.join(scored, IDS).select(*IDS, r(F.col("total") - F.col("fx") + F.col("base"), "gap", 6),
+                                         r(F.col("fx") - F.col("prediction"), "fx_gap", 6), "inputs")
 
 
-def _forest_phi(spark, sf_dir, trees=20):
+def _forest_phi(spark, sf_dir, trees=100):
     rows = assemble(_sampled_rows(spark, sf_dir), MEASURES).withColumn(
         "row_id", F.concat_ws("-", "part_id", "l_orderkey", "l_linenumber", "price"))
     rows = as_table(rows.select("row_id", "failure", "features", F.lit(0).alias("all")), "rows")
     model = RandomForestClassifier(labelCol="failure", numTrees=trees, maxDepth=4, seed=42).fit(rows)
-    background = shapley.background_rows(rows, ["all"], ["row_id"], 20)
+    background = shapley.background_table(rows, ["all"], ["row_id"])
     return shapley.shapley_exact(rows, background, ["row_id"], ["all"], MEASURES, shapley.class_score(model), outputs=2)
 
 
 POLYNOMIAL = """keys AS (SELECT DISTINCT p_partkey AS part_id FROM part ORDER BY md5('42-' || CAST(p_partkey AS VARCHAR)), part_id LIMIT 100),
     rows AS (SELECT part_id, l_orderkey, l_linenumber, max(quantity) AS q, max(discount) AS d FROM production WHERE part_id IN (SELECT part_id FROM keys) GROUP BY 1, 2, 3),
-    bg AS (SELECT q, d FROM rows ORDER BY md5(concat_ws('-', part_id, l_orderkey, l_linenumber)), part_id, l_orderkey, l_linenumber LIMIT 20),
-    m AS (SELECT avg(q) AS mq, avg(d) AS md, avg(q * d) AS mqd FROM bg)"""
+    bg AS (SELECT q AS bq, d AS bd, row_number() OVER (ORDER BY part_id, l_orderkey, l_linenumber) - 1 AS no FROM rows),
+    drawn AS (SELECT rows.*, CAST('0x' || md5(concat_ws('-', {seed}, part_id, l_orderkey, l_linenumber, k))[1:15] AS BIGINT) % (SELECT count(*) FROM rows) AS no
+    FROM rows, range({draws}) t(k)),
+    m AS (SELECT part_id, l_orderkey, l_linenumber, q, d, avg(bq) AS mq, avg(bd) AS md, avg(bq * bd) AS mqd FROM drawn JOIN bg USING (no) GROUP BY ALL)"""
 
 
 def _polynomial(spark, sf_dir, score, explain):
-    """Rows of the sampled parts explained under a scorer known in closed form, against 20 rows in md5 order."""
+    """Rows of the sampled parts explained under a scorer known in closed form, against rows drawn out of all of them."""
     rows = _sampled_rows(spark, sf_dir).groupBy("part_id", "l_orderkey", "l_linenumber").agg(
         F.max("quantity").alias("q"), F.max("discount").alias("d"))
-    rows = assemble(rows, ["q", "d"]).withColumn("all", F.lit(0)).withColumn(
-        "draw", F.md5(F.concat_ws("-", "part_id", "l_orderkey", "l_linenumber").cast("binary")))
+    rows = as_table(assemble(rows, ["q", "d"]).withColumn("all", F.lit(0)), "rows")
     ids = ["part_id", "l_orderkey", "l_linenumber"]
-    background = shapley.background_rows(rows, ["all"], ["draw", *ids], 20, shuffled=False)
+    background = shapley.background_table(rows, ["all"], ids)
     scorer = lambda df: df.withColumn("_v", vector_to_array("features")).withColumn(
         "fx", F.array(score(F.col("_v")[0], F.col("_v")[1]))).drop("_v")
     phi = explain(rows, background, ids, ["all"], ["q", "d"], scorer)
     return phi.select(*ids, "feature", r("phi", "phi"), r("base_value", "base_value"), r("fx", "fx"))
 
 
-@query("x2_linear_exact", with_views("production", f"""{POLYNOMIAL} SELECT part_id, l_orderkey, l_linenumber, feature,
+@query("x2_linear_exact", with_views("production", f"""{POLYNOMIAL.format(seed=1, draws=32)} SELECT part_id, l_orderkey, l_linenumber, feature,
     {rs("CASE WHEN feature = 'q' THEN 2 * (q - mq) ELSE -300 * (d - md) END", "phi")}, {rs("2 * mq - 300 * md", "base_value")}, {rs("2 * q - 300 * d", "fx")}
-    FROM rows, m, (SELECT unnest(['q', 'd']) AS feature)"""))
+    FROM m, (SELECT unnest(['q', 'd']) AS feature)"""))
 def x2_linear(spark, sf_dir):
     # sampled orders are exact for a linear scorer
     return _polynomial(spark, sf_dir, lambda q, d: 2 * q - 300 * d,
-                       lambda *a: shapley.shapley_sampled(*a, n_perm=3, seed=1))
+                       lambda *a: shapley.shapley_sampled(*a, n_perm=32, seed=1))
 
 
-@query("x3_product_exact", with_views("production", f"""{POLYNOMIAL} SELECT part_id, l_orderkey, l_linenumber, feature,
+@query("x3_product_exact", with_views("production", f"""{POLYNOMIAL.format(seed=0, draws=20)} SELECT part_id, l_orderkey, l_linenumber, feature,
     {rs("CASE WHEN feature = 'q' THEN 2 * (q - mq) + 5 * ((q * md - mqd) + (q * d - d * mq)) ELSE 5 * ((d * mq - mqd) + (q * d - q * md)) END", "phi")},
     {rs("2 * mq + 10 * mqd", "base_value")}, {rs("2 * q + 10 * q * d", "fx")}
-    FROM rows, m, (SELECT unnest(['q', 'd']) AS feature)"""))
+    FROM m, (SELECT unnest(['q', 'd']) AS feature)"""))
 def x3_product(spark, sf_dir):
     return _polynomial(spark, sf_dir, lambda q, d: 2 * q + 10 * q * d, shapley.shapley_exact)
 
