@@ -141,3 +141,33 @@ def test_quantiles_match_numpy(spark, data):
             assert got[key, p] == pytest.approx(np.quantile(own, p))
     whole = {x.prob: x.value for x in aggregates.quantiles(df, [], "v", probs).collect()}
     assert whole[0.25] == pytest.approx(np.quantile([float(v) for _, v in data], 0.25))
+
+
+@pytest.mark.parametrize("sketch,sorted_rows", [(1000, 1 << 20), (1000, 5), (2, 1 << 20), (8, 20)])
+def test_bracketed_quantiles_match_numpy(spark, sketch, sorted_rows):
+    rng = np.random.default_rng(6)
+    groups = {"wide": rng.normal(size=700), "ties": np.repeat([1.0, 2.0, 3.0], [300, 20, 400]), "one": np.array([4.0]),
+              "two": np.array([1.0, 2.0]), "same": np.full(50, 7.0), None: rng.integers(0, 5, 90).astype(float)}
+    rows = [(k, float(v)) for k, vs in groups.items() for v in vs] + [("none", None), ("none", float("nan")), ("wide", None)]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(5)
+    probs = [0.0, 0.001, 0.25, 0.5, 0.51, 0.999, 1.0]
+    got = {(x.k, x.prob): x.value for x in aggregates.quantiles(df, ["k"], "v", probs, sketch, sorted_rows).collect()}
+    assert len(got) == 7 * 7 and all(got["none", p] is None for p in probs)
+    for key, own in groups.items():
+        assert [got[key, p] for p in probs] == pytest.approx(np.quantile(own, probs).tolist())
+    whole = {x.prob: x.value for x in aggregates.quantiles(df, [], "v", probs, sketch, sorted_rows).collect()}
+    assert [whole[p] for p in probs] == pytest.approx(np.quantile(np.concatenate(list(groups.values())), probs).tolist())
+
+
+def test_a_rank_outside_its_bracket_is_looked_up_again(spark):
+    df = spark.createDataFrame([("a", float(i)) for i in range(100)] + [("b", float(i)) for i in range(50)], "k string, _v double")
+    wrong = spark.createDataFrame([("a", 100, [10.0], [12.0]), ("b", 50, [20.0], [30.0])], "k string, _n long, _lo array<double>, _hi array<double>")
+    got = {r.k: r._q for r in aggregates._ranked(df, aggregates._Held(wrong, True, "wrong"), ["k"], [0.5]).collect()}
+    assert got == {"a": [None], "b": [24.5]}
+
+
+def test_quantiles_of_nothing(spark):
+    df = spark.createDataFrame([], "k string, v double")
+    assert aggregates.quantiles(df, ["k"], "v", [0.5]).count() == 0
+    assert aggregates.quantiles(df, [], "v", [0.5]).count() == aggregates.describe(df, "v").count() == 0
+    assert [r.value for r in aggregates.quantiles(spark.createDataFrame([(None,)], "v double"), [], "v", [0.5]).collect()] == [None]

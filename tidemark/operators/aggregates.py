@@ -72,72 +72,155 @@ def top_correlations(corr: DataFrame, target: str, n: int, by: str = "positive")
     return others.orderBy(order, "feature").limit(n)
 
 
-def quantiles(df: DataFrame, keys: Sequence[str], col: str, probs: Sequence[float]) -> DataFrame:
-    """Exact, linearly interpolated quantiles: one row ``(keys, prob, value)`` each.
+# relative rank error of the first sketch; cells of the later ones; rows of a group that one task may sort
+SKETCH, CELLS, SORTED_ROWS = 1000, 128, 1 << 20
 
-    The built-in exact percentile gathers all distinct values of a group in one task.
-    Here equal values are counted, cut into range partitions, and the partition totals
-    tell which partitions hold a wanted rank; only those are ordered.
+
+def quantiles(df: DataFrame, keys: Sequence[str], col: str, probs: Sequence[float], sketch: int = SKETCH,
+              sorted_rows: int = SORTED_ROWS) -> DataFrame:
+    """Exact, linearly interpolated quantiles: one row ``(keys, prob, value)`` each, null for a group without values.
+
+    The built-in exact percentile gathers all distinct values of a group in one task. Here a sketch brackets each
+    quantile; a second pass counts, in the map tasks, what lies between the brackets and keeps apart only the values
+    inside, which alone are shuffled and sorted. If they would be more than ``sorted_rows`` of a group, sketches of
+    the bracketed values narrow the brackets first. A rank that falls outside its bracket is looked up again with
+    wider ones. Missing values (null, NaN) take no part.
     """
-    df, on = keyed(df, keys)
-    return _quantiles(df, on, col, probs, bounded=not keys).select(*keys, "prob", "value")
-
-
-def _quantiles(df: DataFrame, on: list[str], col: str, probs: Sequence[float], bounded: bool) -> DataFrame:
-    counts = df.filter(F.col(col).isNotNull()).groupBy(*on, col).agg(
-        F.count(F.lit(1)).alias("_count"))
-    ranged = as_table(counts.repartitionByRange(*on, col).withColumn(
-        "_part", F.spark_partition_id()), "ranged")
-    by_key = Window.partitionBy(*on)
-    totals = ranged.groupBy(*on, "_part").agg(F.sum("_count").alias("_w")).select(
-        *on, "_part", "_w", F.sum("_w").over(by_key).alias("_total"),
-        F.coalesce(F.sum("_w").over(by_key.orderBy("_part").rowsBetween(
-            Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    wanted = []
+    found = _with_quantiles(df, keys, col, {}, probs, sketch, sorted_rows)
+    pairs = F.array(*[F.struct(F.lit(float(p)).alias("prob"), F.get("_q", F.lit(i)).alias("value")) for i, p in enumerate(probs)])
+    return found.select(*keys, F.explode(pairs).alias("_p")).select(*keys, "_p.prob", "_p.value")
+
+
+class _Held:
+    """A table of one row a key: written, or without keys its one row on the driver."""
+
+    def __init__(self, df: DataFrame, apart: bool, name: str):
+        self.rows = None if apart else df.collect()
+        self.frame = as_table(df, name) if apart else df.sparkSession.createDataFrame(self.rows, df.schema)
+
+    def largest(self, col: str) -> int:
+        one = self.frame.agg(F.max(col)).first() if self.rows is None else self.rows[0] if self.rows else [None]
+        return (one[0] if self.rows is None else one[col] if self.rows else 0) or 0
+
+    def beside(self, rows: DataFrame, on: list[str]) -> DataFrame:
+        """``rows`` with the columns of their key; without keys they are literals."""
+        if self.rows is None:
+            return attach(rows, self.frame, on, ["_v"], how="inner")
+        if not self.rows:
+            return join_keys(rows, self.frame, on)
+        return rows.withColumns({f.name: F.lit(self.rows[0][f.name]).cast(f.dataType) for f in self.frame.schema.fields if f.name not in on})
+
+
+def _ranks(probs: Sequence[float]) -> list[tuple[Column, Column, Column]]:
+    """Lower and upper rank from 0 of each quantile, and the share of the upper."""
+    out = []
     for p in probs:
-        at = F.lit(float(p)) * (F.col("_total") - 1)
-        wanted += [F.struct(F.lit(float(p)).alias("prob"), F.lit(False).alias("upper"),
-                            F.floor(at).alias("rank"), (at - F.floor(at)).alias("share")),
-                   F.struct(F.lit(float(p)).alias("prob"), F.lit(True).alias("upper"),
-                            F.ceil(at).alias("rank"), (at - F.floor(at)).alias("share"))]
-    held = totals.select(*on, "_part", "_before", F.filter(F.array(*wanted), lambda q: (
-        q["rank"] >= F.col("_before")) & (q["rank"] < F.col("_before") + F.col("_w"))).alias("_wanted")
-    ).filter(F.size("_wanted") > 0)
-    if bounded:
-        held = F.broadcast(held)  # at most two ranks per probability
-    upto = F.col("_before") + F.sum("_count").over(Window.partitionBy(*on, "_part").orderBy(col))
-    found = join_keys(ranged, held, [*on, "_part"]).withColumn("_upto", upto).withColumn(
-        "_q", F.explode(F.filter("_wanted", lambda q: (q["rank"] < F.col("_upto")) & (
-            q["rank"] >= F.col("_upto") - F.col("_count")))))
-    low, high = (F.max(F.when(F.col("_q.upper") == side, F.col(col))) for side in (False, True))
-    return found.groupBy(*on, F.col("_q.prob").alias("prob"), F.col("_q.share").alias("_share")).agg(
-        low.alias("_lo"), high.alias("_hi")).select(
-        *on, "prob", (F.col("_lo") + F.col("_share") * (F.col("_hi") - F.col("_lo"))).alias("value"))
-
-
-def _with_quantiles(df: DataFrame, keys: Sequence[str], col: str, aggs: dict[str, Column],
-                    names: dict[str, float], exact: bool) -> DataFrame:
+        at = F.lit(float(p)) * (F.col("_n") - 1)
+        out.append((F.floor(at), F.ceil(at), at - F.floor(at)))
+    return out
+
+
+def _with_quantiles(df: DataFrame, keys: Sequence[str], col: str, aggs: dict[str, Column], probs: Sequence[float],
+                    sketch: int = SKETCH, sorted_rows: int = SORTED_ROWS) -> DataFrame:
+    """(keys, ``aggs``, _q): one row a key, the exact quantiles in ``_q``. Runs jobs."""
+    df, on = keyed(df, keys)
+    apart = bool(keys)
+    known = df.withColumn("_v", F.when(~missing(df, col), F.col(col).cast("double")))
+    rows = known.filter("_v IS NOT NULL").select(*on, "_v")
+    slack, result = 2.0 / sketch, None
+    edges = [float(x) for p in probs for x in (max(0.0, p - slack), min(1.0, p + slack))]
+    at = F.percentile_approx("_v", F.array(*map(F.lit, edges)), sketch)
+    first = _Held(known.groupBy(*on).agg(*[v.alias(k) for k, v in aggs.items()], F.count("_v").alias("_n"), at.alias("_e")), apart, "brackets")
+    # a sketch does not promise the ends
+    lo = [F.lit(float("-inf")) if p <= slack else F.get("_e", F.lit(2 * i)) for i, p in enumerate(probs)]
+    hi = [F.lit(float("inf")) if p + slack >= 1 else F.get("_e", F.lit(2 * i + 1)) for i, p in enumerate(probs)]
+    brackets = _Held(first.frame.filter("_n > 0").select(*on, "_n", F.array(*lo).alias("_lo"), F.array(*hi).alias("_hi")), apart, "brackets")
+    inside = 3 * slack * first.largest("_n")
+    while inside > sorted_rows:
+        brackets = _Held(_narrowed(rows, brackets, on, probs), apart, "brackets")
+        inside *= 6 / CELLS
+    while True:
+        # one row a key and nothing else; null where a rank lay outside its bracket
+        ranked = _Held(_ranked(rows, brackets, on, probs), apart, "quantiles")
+        result = _merged(result, ranked.frame, on)
+        missed = ranked.frame.filter("exists(_q, x -> x IS NULL)")
+        if missed.isEmpty() if apart else not any(None in r._q for r in ranked.rows):
+            break
+        # the brackets that failed give way to all values
+        wide = join_keys(brackets.frame, missed.select(*on, F.transform("_q", lambda x: x.isNull()).alias("_m")), on)
+        brackets = _Held(wide.select(
+            *on, "_n", F.zip_with("_lo", "_m", lambda x, m: F.when(m, float("-inf")).otherwise(x)).alias("_lo"),
+            F.zip_with("_hi", "_m", lambda x, m: F.when(m, float("inf")).otherwise(x)).alias("_hi")), apart, "brackets")
+    return join_keys(first.frame.select(*on, *aggs), result, on, "left").select(*keys, *aggs, "_q")
+
+
+def _narrowed(rows: DataFrame, brackets: _Held, on: list[str], probs: Sequence[float]) -> DataFrame:
+    """Brackets from sketches of the values inside the former ones, around the cells of the wanted ranks."""
+    grid = F.array(*[F.lit(i / CELLS) for i in range(CELLS + 1)])
+    aggs = [F.max("_n").alias("_n"), F.max("_lo").alias("_lo"), F.max("_hi").alias("_hi")]
+    for i in range(len(probs)):
+        lo, hi = F.get("_lo", F.lit(i)), F.get("_hi", F.lit(i))
+        within = F.col("_v").between(lo, hi)
+        aggs += [F.count_if(F.col("_v") < lo).alias(f"_below{i}"), F.count_if(within).alias(f"_in{i}"),
+                 F.percentile_approx(F.when(within, F.col("_v")), grid, 10 * CELLS).alias(f"_g{i}")]
+    wide = brackets.beside(rows, on).groupBy(*on).agg(*aggs)
+    los, his = [], []
+    for i, (lower, upper, _) in enumerate(_ranks(probs)):
+        first = F.floor((lower - F.col(f"_below{i}")) * CELLS / F.col(f"_in{i}")).cast("int") - 1
+        last = F.ceil((upper - F.col(f"_below{i}") + 1) * CELLS / F.col(f"_in{i}")).cast("int") + 1
+        los.append(F.when((F.col(f"_in{i}") > 0) & (first > 0), F.get(f"_g{i}", first)).otherwise(F.get("_lo", F.lit(i))))
+        his.append(F.when((F.col(f"_in{i}") > 0) & (last < CELLS), F.get(f"_g{i}", last)).otherwise(F.get("_hi", F.lit(i))))
+    return wide.select(*on, "_n", F.array(*los).alias("_lo"), F.array(*his).alias("_hi"))
+
+
+def _ranked(rows: DataFrame, brackets: _Held, on: list[str], probs: Sequence[float]) -> DataFrame:
+    """(on, _q): the quantiles that lie in their brackets, null for the others."""
+    v = F.col("_v")
+    inside, gap = F.lit(False), F.lit(0)
+    for i in range(len(probs)):
+        inside = inside | v.between(F.get("_lo", F.lit(i)), F.get("_hi", F.lit(i)))
+        gap = gap + (F.get("_hi", F.lit(i)) < v).cast("int")
+    cells = brackets.beside(rows, on).groupBy(*on, "_n", gap.alias("_gap"), F.when(inside, v).alias("_in")).agg(
+        F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_v"))
+    # the gaps between brackets are one row each; what is inside is bounded by the brackets
+    upto = cells.withColumn("_upto", F.sum("_c").over(Window.partitionBy(*on).orderBy("_v")))
+    aggs = []
+    for i, (lower, upper, share) in enumerate(_ranks(probs)):
+        held = [F.max(F.when((rank < F.col("_upto")) & (rank >= F.col("_upto") - F.col("_c")), F.col("_in"))) for rank in (lower, upper)]
+        aggs += [held[0].alias(f"_l{i}"), held[1].alias(f"_h{i}"), F.max(share).alias(f"_s{i}")]
+    value = [F.col(f"_l{i}") + F.when(F.col(f"_s{i}") > 0, F.col(f"_s{i}") * (F.col(f"_h{i}") - F.col(f"_l{i}"))).otherwise(0.0)
+             for i in range(len(probs))]
+    return upto.groupBy(*on).agg(*aggs).select(*on, F.array(*value).alias("_q"))
+
+
+def _merged(result: DataFrame | None, ranked: DataFrame, on: list[str]) -> DataFrame:
+    """The quantiles of all keys, those looked up again in place of the missed ones."""
+    if result is None:
+        return ranked
+    again = ranked.select(*on, F.col("_q").alias("_again"))
+    return join_keys(result, again, on, "left").select(*on, F.coalesce("_again", "_q").alias("_q"))
+
+
+def _summarised(df: DataFrame, keys: Sequence[str], col: str, aggs: dict[str, Column],
+                names: dict[str, float], exact: bool) -> DataFrame:
     if not exact:
         return df.groupBy(*keys).agg(*[v.alias(k) for k, v in aggs.items()], *[
             F.percentile_approx(col, p, 10000).alias(k) for k, p in names.items()])
-    df, on = keyed(df, keys)
-    base = df.groupBy(*on).agg(*[v.alias(k) for k, v in aggs.items()])
-    wide = _quantiles(df, on, col, list(names.values()), bounded=not keys).groupBy(*on).agg(*[
-        F.max(F.when(F.col("prob") == p, F.col("value"))).alias(k) for k, p in names.items()])
-    return join_keys(base, wide, on, "left").select(*keys, *aggs, *names)
+    found = _with_quantiles(df, keys, col, aggs, list(names.values()))
+    return found.select(*keys, *aggs, *[F.get("_q", F.lit(i)).alias(k) for i, k in enumerate(names)])
 
 
 def summary(df: DataFrame, col: str, keys: Sequence[str] = (), exact: bool = True) -> DataFrame:
     """Mean, sample std, min, max and median."""
     aggs = {"mean": F.avg(col), "std": F.stddev_samp(col), "min": F.min(col), "max": F.max(col)}
-    return _with_quantiles(df, keys, col, aggs, {"median": 0.5}, exact)
+    return _summarised(df, keys, col, aggs, {"median": 0.5}, exact)
 
 
 def describe(df: DataFrame, col: str, keys: Sequence[str] = (), exact: bool = True) -> DataFrame:
     """Count, mean, sample std, min, max and the quartiles."""
     aggs = {"count": F.count(col), "mean": F.avg(col), "std": F.stddev_samp(col),
             "min": F.min(col), "max": F.max(col)}
-    return _with_quantiles(df, keys, col, aggs, {"q25": 0.25, "q50": 0.5, "q75": 0.75}, exact)
+    return _summarised(df, keys, col, aggs, {"q25": 0.25, "q50": 0.5, "q75": 0.75}, exact)
 
 
 def problem_type(df: DataFrame, target: str, keys: Sequence[str] = (), max_classes: int = 10,
