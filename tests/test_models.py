@@ -172,7 +172,8 @@ def hannan_rissanen(y, order, season, bounds):
 
 def test_order_search_matches_brute_force(spark):
     named = {"long": ar(160, 0.6, 9), "short": ar(40, 0.4, 10)}
-    scored = seasonal.order_search(frame(spark, **named), S, "y", 7, fallback=False)
+    added = Bounds(multiplied=False)
+    scored = seasonal.order_search(frame(spark, **named), S, "y", 7, added, fallback=False)
     rows = scored.collect()
     assert sum(x.k == "long" for x in rows) == 144
     for x in rows:
@@ -184,7 +185,7 @@ def test_order_search_matches_brute_force(spark):
     best = {x.k: x for x in seasonal.best_orders(scored, ["k"]).collect()}
     for key in named:
         assert best[key].score == min(x.score for x in rows if x.k == key)
-    by_bic = seasonal.order_search(frame(spark, **named), S, "y", 7, criterion="bic", fallback=False)
+    by_bic = seasonal.order_search(frame(spark, **named), S, "y", 7, added, criterion="bic", fallback=False)
     assert all(x.score == x.bic for x in by_bic.collect())
 
 
@@ -257,16 +258,92 @@ def test_forecast_matches_recursion_by_hand(spark):
         w.append(beta @ np.array([w[-1], w[-2], w[-7], e[-1], e[-7]]))
         e.append(0.0)
     df = frame(spark, a=y)
-    design = seasonal.design_rows(df, S, "y", 7, Bounds())
+    added = Bounds(multiplied=False)
+    design = seasonal.design_rows(df, S, "y", 7, added)
     orders = spark.createDataFrame([("a", *order)], ["k", *seasonal.ORDER])
-    model = seasonal.fit_seasonal(design, S, orders, 7)
-    got = seasonal.forecast(df, design, S, "y", model, 12, 7).orderBy("step").collect()
+    model = seasonal.fit_seasonal(design, S, orders, 7, added)
+    got = seasonal.forecast(df, design, S, "y", model, 12, 7, added).orderBy("step").collect()
     assert [v.predicted for v in got] == pytest.approx(w[120:], rel=1e-5)
     assert all(v.lower < v.predicted < v.upper for v in got)
-    resid = seasonal.model_residuals(design, S, model, 7)
+    resid = seasonal.model_residuals(design, S, model, 7, added)
     assert resid.count() == 111
 
 
+def multiplied_fit(y, order, season, shocks):
+    """Least squares of a multiplied model by a general minimiser, for given shocks; parameters p, sp, q, sq."""
+    p, sp, q, sq = order
+    m = 9
+
+    def coefficients(theta):
+        parts = np.split(theta, np.cumsum([p, sp, q]))
+        out = []
+        for plain, seas, sign in ((parts[0], parts[1], -1), (parts[2], parts[3], 1)):
+            lead, tail = np.zeros(p + q + 1), np.zeros(season + 1)
+            lead[0] = tail[0] = 1
+            lead[1:len(plain) + 1] = sign * plain
+            if len(seas):
+                tail[season] = sign * seas[0]
+            out.append(sign * np.convolve(lead, tail)[1:])
+        return out
+
+    def residual(theta):
+        a, b = coefficients(theta)
+        return np.array([y[t] - sum(c * y[t - i - 1] for i, c in enumerate(a) if c) - sum(c * shocks[t - i - 1] for i, c in enumerate(b) if c and t > i)
+                         for t in range(m, len(y))])
+
+    theta = np.zeros(p + sp + q + sq)
+    for _ in range(40):  # numeric derivatives, independent of the operator's
+        r = residual(theta)
+        jac = np.array([(residual(theta + 1e-6 * e) - residual(theta - 1e-6 * e)) / 2e-6 for e in np.eye(len(theta))]).T
+        theta = theta - np.linalg.lstsq(jac, r, rcond=None)[0]
+    return theta, coefficients(theta), float((residual(theta) ** 2).sum())
+
+
+@pytest.mark.parametrize("order", [(1, 0, 0, 1, 0, 0), (2, 0, 1, 1, 0, 1), (0, 0, 1, 0, 0, 1)])
+def test_multiplied_models_are_least_squares(spark, order):
+    y = ar(150, 0.6, 23)
+    scored = seasonal.order_search(frame(spark, a=y), S, "y", 7, fallback=False)
+    for c, n in zip(seasonal.ORDER, order):
+        scored = scored.filter(F.col(c) == n)
+    got = scored.first()
+    x = np.array([[y[t - i] for i in range(1, 10)] for t in range(9, 150)])
+    shocks = np.r_[np.zeros(9), y[9:] - x @ ols(x, y[9:])[0]]
+    p, _, q, sp, _, sq = order
+    _, (a, b), rss = multiplied_fit(y, (p, sp, q, sq), 7, shocks)
+    want = {f"_v{i + 1}": c for i, c in enumerate(a) if c} | {f"_e{i + 1}": c for i, c in enumerate(b) if c}
+    assert got.status == "ok" and dict(zip(got.terms, got.coefs)) == pytest.approx(want, rel=1e-4, abs=1e-6)
+    assert got.sigma2 == pytest.approx(rss / 141, rel=1e-8)
+
+
+def simulated(n, seed, a=None, b=None):
+    """Values of a model with the given coefficients of values and shocks by lag."""
+    e = np.random.default_rng(seed).normal(size=n)
+    y = np.zeros(n)
+    for t in range(n):
+        y[t] = e[t] + sum(c * y[t - i] for i, c in (a or {}).items() if t >= i) + sum(c * e[t - i] for i, c in (b or {}).items() if t >= i)
+    return y
+
+
+def test_multiplied_models_recover_their_parameters(spark):
+    df = frame(spark, value=simulated(3000, 24, a={1: 0.5, 7: 0.4, 8: -0.2}), shock=simulated(3000, 25, b={1: 0.6, 7: 0.5, 8: 0.3}))
+    orders = spark.createDataFrame([("value", 1, 0, 0, 1, 0, 0), ("shock", 0, 0, 1, 0, 0, 1)], ["k", *seasonal.ORDER])
+    first = seasonal.design_rows(df, S, "y", 7, Bounds())
+    design, model = seasonal.refined(first, S, orders, 7)
+    got = {r.k: dict(zip(r.terms, r.coefs)) for r in model.collect()}
+    assert got["value"] == pytest.approx({"_v1": 0.5, "_v7": 0.4, "_v8": -0.2}, abs=0.04)
+    assert got["value"]["_v8"] == pytest.approx(-got["value"]["_v1"] * got["value"]["_v7"])
+    assert got["shock"]["_e8"] == pytest.approx(got["shock"]["_e1"] * got["shock"]["_e7"])
+    assert got["shock"] == pytest.approx({"_e1": 0.6, "_e7": 0.5, "_e8": 0.3}, abs=0.05)
+    # the rounds come nearer to the true shocks than the long autoregression does
+    before = {r.k: dict(zip(r.terms, r.coefs)) for r in seasonal.fit_seasonal(first, S, orders, 7).collect()}["shock"]
+    assert abs(got["shock"]["_e7"] - 0.5) < abs(before["_e7"] - 0.5)
+    # the shocks of the design are those of the model
+    resid = seasonal.model_residuals(design, S, model, 7).groupBy("k").agg(F.avg(F.col("resid") ** 2).alias("s2"))
+    assert {r.k: r.s2 for r in resid.collect()} == pytest.approx({r.k: r.sigma2 for r in model.collect()}, rel=1e-3)
+    ahead = seasonal.forecast(df, design, S, "y", model, 9, 7)
+    assert ahead.count() == 18
+
+
 def test_walk_forward_covers_each_fold(spark):
     df = frame(spark, a=ar(200, 0.6, 16), b=5 + ar(101, 0.4, 17))
     forecasts, scores = seasonal.walk_forward(df, S, "y", 7)

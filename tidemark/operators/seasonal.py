@@ -5,10 +5,13 @@ autoregression, whose residuals stand in for the shocks, and one of the lags of
 and shocks (Hannan and Rissanen 1982). Each candidate order is a sub-matrix of the
 second one, so a whole order search scans the data twice, however many candidates.
 
+Seasonal polynomials multiply the others, so a lag such as 1 + season has the product of two
+parameters; Gauss-Newton steps on the cross-product matrix fit them. ``refined`` puts the
+fitted model's residuals in place of the first shocks, one more matrix a step.
+
 Departures from exact likelihood: least squares on the rows after the first ``m``
-(the long autoregression's order); seasonal terms are added lags, not multiplied
-polynomials; scores with different differencing rest on different data. There is no
-constant term. ``llf`` is the conditional Gaussian one and k counts the variance.
+(the long autoregression's order); scores with different differencing rest on different data.
+There is no constant term. ``llf`` is the conditional Gaussian one and k counts the variance.
 """
 
 from __future__ import annotations
@@ -38,11 +41,16 @@ FALLBACK_ORDERS = ((0, 1, 0), (1, 0, 0), (0, 0, 1), (1, 1, 0), (0, 1, 1), (1, 1,
 FALLBACK_SCORE = 999999.0
 
 ORDER = ["p", "d", "q", "sp", "sd", "sq"]
+# orders up to 1023 in each place of a candidate's number
+CANDIDATE_BASE = 1024
 
 
 @dataclass(frozen=True)
 class Bounds:
-    """Largest order of each part: p, d, q and the seasonal sp, sd, sq."""
+    """Largest order of each part: p, d, q and the seasonal sp, sd, sq.
+
+    ``multiplied=False`` adds the seasonal lags to the others without the products.
+    """
 
     p: int = 2
     d: int = 1
@@ -50,6 +58,7 @@ class Bounds:
     sp: int = 1
     sd: int = 1
     sq: int = 1
+    multiplied: bool = True
 
 
 # ---- candidates --------------------------------------------------------------------------------
@@ -84,10 +93,10 @@ def order_candidates(lengths: DataFrame, season: int, bounds: Bounds = Bounds())
 
 def candidate_id() -> Column:
     """Number that sorts orders as nested loops over p, d, q, sp, sd, sq would."""
-    out = F.lit(0)
+    out = F.lit(0).cast("long")
     for name in ORDER:
-        out = out * 10 + F.col(name)
-    return out.cast("long")
+        out = out * CANDIDATE_BASE + F.col(name)
+    return out
 
 
 def prune_candidates(candidates: DataFrame) -> DataFrame:
@@ -101,23 +110,109 @@ def prune_candidates(candidates: DataFrame) -> DataFrame:
 
 # ---- shared regressions ------------------------------------------------------------------------
 
+def _lags(p: int, sp: int, season: int, multiplied: bool) -> list[int]:
+    """Lags that an order of p and a seasonal one of sp reach, ascending."""
+    if not multiplied:
+        return sorted({*range(1, p + 1), *(season * k for k in range(1, sp + 1))})
+    return sorted({i + season * k for i in range(p + 1) for k in range(sp + 1)} - {0})
+
+
 def _lag_names(bounds: Bounds, season: int) -> tuple[dict[str, int], dict[str, int]]:
-    values = {f"_v{i}": i for i in range(1, bounds.p + 1)}
-    values |= {f"_v{i * season}s": i * season for i in range(1, bounds.sp + 1)}
-    shocks = {f"_e{i}": i for i in range(1, bounds.q + 1)}
-    shocks |= {f"_e{i * season}s": i * season for i in range(1, bounds.sq + 1)}
+    values = {f"_v{i}": i for i in _lags(bounds.p, bounds.sp, season, bounds.multiplied)}
+    shocks = {f"_e{i}": i for i in _lags(bounds.q, bounds.sq, season, bounds.multiplied)}
     return values, shocks
 
 
-def _inputs(order: dict[str, int], season: int) -> list[str]:
-    return ([f"_v{i}" for i in range(1, order["p"] + 1)]
-            + [f"_v{i * season}s" for i in range(1, order["sp"] + 1)]
-            + [f"_e{i}" for i in range(1, order["q"] + 1)]
-            + [f"_e{i * season}s" for i in range(1, order["sq"] + 1)])
+def _product(plain: np.ndarray, seasonal: np.ndarray, season: int, sign: float, multiplied: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Coefficients by lag, from 1 on, of one side of the model, and their derivatives by plain, then seasonal parameters.
+
+    ``sign`` is that of the product of two parameters: -1 for values, 1 for shocks.
+    """
+    p, sp = len(plain), len(seasonal)
+    reach = p + season * sp
+    coef, slope = np.zeros(reach + 1), np.zeros((reach + 1, p + sp))
+    for i in range(p):
+        coef[i + 1] += plain[i]
+        slope[i + 1, i] += 1
+    for k in range(sp):
+        coef[season * (k + 1)] += seasonal[k]
+        slope[season * (k + 1), p + k] += 1
+        for i in range(p) if multiplied else ():
+            at = i + 1 + season * (k + 1)
+            coef[at] += sign * plain[i] * seasonal[k]
+            slope[at, i] += sign * seasonal[k]
+            slope[at, p + k] += sign * plain[i]
+    return coef[1:], slope[1:]
+
+
+def _model(theta: np.ndarray, order: dict[str, int], season: int, names: list[str], multiplied: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Coefficients of the columns ``names`` under the parameters p, sp, q, sq, and their derivatives."""
+    p, sp, q, sq = (order[c] for c in ("p", "sp", "q", "sq"))
+    beta, slope = np.zeros(len(names)), np.zeros((len(names), len(theta)))
+    for head, first, a, b, sign in (("_v", 0, p, sp, -1.0), ("_e", p + sp, q, sq, 1.0)):
+        own = theta[first:first + a + b]
+        coef, d = _product(own[:a], own[a:], season, sign, multiplied)
+        for lag in _lags(a, b, season, multiplied):
+            row = names.index(f"{head}{lag}")
+            beta[row], slope[row, first:first + a + b] = coef[lag - 1], d[lag - 1]
+    return beta, slope
+
+
+def _gauss_newton(gram: np.ndarray, order: dict[str, int], season: int, names: list[str], multiplied: bool,
+                  steps: int = 60) -> tuple[np.ndarray, float]:
+    """Parameters p, sp, q, sq and residual sum of squares; ``gram`` has ``names`` and then the target.
+
+    A model without products of parameters takes one step, which is least squares. Raises ``LinAlgError`` for
+    collinear inputs and ``ArithmeticError`` if the steps do not end.
+    """
+    size = order["p"] + order["sp"] + order["q"] + order["sq"]
+    linear = not multiplied or not (order["p"] and order["sp"] or order["q"] and order["sq"])
+    theta, width = np.zeros(size), len(names)
+
+    def around(theta: np.ndarray) -> np.ndarray:
+        # cross products of the derivatives and of what the parameters leave of the target
+        beta, slope = _model(theta, order, season, names, multiplied)
+        turn = np.zeros((width + 1, size + 1))
+        turn[:width, :size], turn[:width, size], turn[width, size] = slope, -beta, 1.0
+        return turn.T @ gram @ turn
+
+    if not size:
+        return theta, float(gram[width, width])
+    local = around(theta)
+    for _ in range(steps):
+        step, rss, _ = solve(local, range(size), size)
+        if linear:
+            return step, rss
+        share = 1.0
+        while True:
+            new = around(theta + share * step)
+            if new[size, size] <= local[size, size] * (1 + 1e-12) or share < 1e-6:
+                break
+            share /= 2
+        theta, local = theta + share * step, new
+        if np.max(np.abs(share * step)) < 1e-10 * (1 + np.max(np.abs(theta))):
+            return theta, max(float(local[size, size]), 0.0)
+    raise ArithmeticError("no convergence")
+
+
+def _terms(order: dict[str, int], season: int, multiplied: bool) -> list[str]:
+    return ([f"_v{i}" for i in _lags(order["p"], order["sp"], season, multiplied)]
+            + [f"_e{i}" for i in _lags(order["q"], order["sq"], season, multiplied)])
+
+
+def _result(theta: np.ndarray, rss: float, n: int, order: dict[str, int], season: int, names: list[str], multiplied: bool) -> dict:
+    """Columns of a fitted model. Raises ``ValueError`` if nothing is left to explain."""
+    k = len(theta) + 1
+    sigma2 = rss / n
+    llf = -n / 2 * (math.log(2 * math.pi * sigma2) + 1)
+    beta, _ = _model(theta, order, season, names, multiplied)
+    return {"n_obs": n, "sigma2": sigma2, "llf": llf, "aic": 2 * k - 2 * llf, "bic": k * math.log(n) - 2 * llf,
+            "coefs": [float(beta[names.index(t)]) for t in _terms(order, season, multiplied)], "params": theta.tolist(), "status": "ok"}
 
 
 def _long_order(season: int, bounds: Bounds) -> int:
-    return max(bounds.p, bounds.q, season * max(bounds.sp, bounds.sq, 1)) + 2
+    return max(bounds.p + season * bounds.sp, bounds.q + season * bounds.sq,
+               max(bounds.p, bounds.q, season * max(bounds.sp, bounds.sq, 1)) + 2)
 
 
 def _own_order(m: int) -> Column:
@@ -184,48 +279,55 @@ def _score_schema(candidates: DataFrame) -> T.StructType:
         T.StructField("n_obs", T.LongType()), T.StructField("sigma2", T.DoubleType()),
         T.StructField("llf", T.DoubleType()), T.StructField("aic", T.DoubleType()),
         T.StructField("bic", T.DoubleType()), T.StructField("terms", T.ArrayType(T.StringType())),
-        T.StructField("coefs", T.ArrayType(T.DoubleType())), T.StructField("status", T.StringType())])
+        T.StructField("coefs", T.ArrayType(T.DoubleType())), T.StructField("params", T.ArrayType(T.DoubleType())),
+        T.StructField("status", T.StringType())])
 
 
 def fit_orders(design: DataFrame, keys: Sequence[str], candidates: DataFrame, season: int,
                bounds: Bounds) -> DataFrame:
     """Fit every candidate row ``(keys, p, d, q, sp, sd, sq, ...)`` from the design rows.
 
-    Adds n_obs, sigma2, llf, aic, bic, the coefficients and a status. A candidate that
+    Adds n_obs, sigma2, llf, aic, bic, the coefficients by lag and a status. A candidate that
     cannot be fitted keeps its row with a status other than ``ok``.
     """
     values, shocks = _lag_names(bounds, season)
-    names = [*values, *shocks, "w"]
-    grams = gramian(design.filter("rn > _m"), [*keys, "d", "sd"], names)
+    names, multiplied = [*values, *shocks], bounds.multiplied
+    group = [*keys, "d", "sd"]
+    grams = gramian(design.filter("rn > _m"), group, [*names, "w"])
     schema = _score_schema(candidates)
-    width = len(names)
+    width = len(names) + 1
+    key_list = list(keys)
+    own = [c for c in candidates.columns if c not in key_list]
+    # one matrix a series and differencing beside the list of its candidates, of which the bounds allow so many
+    lists = candidates.groupBy(*group).agg(F.collect_list(F.struct(*own)).alias("_own"))
+
+    def fitted(order: dict, gram: np.ndarray | None, n: int) -> dict:
+        terms = _terms(order, season, multiplied)
+        k = sum(order[c] for c in ("p", "q", "sp", "sq")) + 1
+        rec = {"terms": terms, "status": "too_short", "n_obs": None, "coefs": None, "params": None}
+        if gram is None or n <= k:
+            return rec
+        try:
+            theta, rss = _gauss_newton(gram, order, season, names, multiplied)
+            return rec | _result(theta, rss, n, order, season, names, multiplied)
+        except (np.linalg.LinAlgError, ValueError):
+            return rec | {"status": "singular"}
+        except ArithmeticError:
+            return rec | {"status": "not_converged"}
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            for row in pdf.to_dict("records"):
-                order = {c: int(row[c]) for c in ORDER}
-                terms = _inputs(order, season)
-                rec = {"terms": terms, "status": "too_short", "n_obs": None, "coefs": None}
-                k = len(terms) + 1
-                if row["gram"] is not None and row["n_obs"] > k:
-                    n = int(row["n_obs"])
-                    try:
-                        gram = np.reshape(row["gram"], (width, width))
-                        beta, rss, _ = solve(gram, [names.index(t) for t in terms], width - 1)
-                        sigma2 = rss / n
-                        llf = -n / 2 * (math.log(2 * math.pi * sigma2) + 1)
-                        rec |= {"n_obs": n, "sigma2": sigma2, "llf": llf, "aic": 2 * k - 2 * llf,
-                                "bic": k * math.log(n) - 2 * llf, "coefs": beta.tolist(), "status": "ok"}
-                    except (np.linalg.LinAlgError, ValueError):
-                        rec["status"] = "singular"
-                rows.append(rec)
-            fitted = pd.DataFrame(rows, columns=["n_obs", "sigma2", "llf", "aic", "bic", "terms", "coefs", "status"])
-            base = pdf.drop(columns=["n_obs", "gram"]).reset_index(drop=True)
-            yield pd.concat([base, fitted.astype({"n_obs": "Int64"})], axis=1)[schema.names]
+            for found, gram, n in zip(pdf["_own"], pdf["gram"], pdf["n_obs"], strict=True):
+                whole = None if gram is None else np.reshape(np.asarray(gram, float), (width, width))
+                for one in found:
+                    one = one if isinstance(one, dict) else one.asDict()
+                    rows.append(one | fitted({c: int(one[c]) for c in ORDER}, whole, 0 if gram is None else int(n)))
+            out = pd.DataFrame(rows, columns=[*own, "n_obs", "sigma2", "llf", "aic", "bic", "terms", "coefs", "params", "status"])
+            base = pdf[key_list].loc[pdf.index.repeat([len(x) for x in pdf["_own"]])].reset_index(drop=True)
+            yield pd.concat([base, out.astype({"n_obs": "Int64"})], axis=1)[schema.names]
 
-    return join_keys(candidates, grams, [*keys, "d", "sd"], "left").select(
-        *candidates.columns, "n_obs", "gram").mapInPandas(score, schema)
+    return join_keys(lists, grams, group, "left").select(*keys, "_own", "n_obs", "gram").mapInPandas(score, schema)
 
 
 # ---- order search ------------------------------------------------------------------------------
@@ -285,17 +387,154 @@ def fit_seasonal(design: DataFrame, s: Series, orders: DataFrame, season: int,
     return fit_orders(design, s.keys, orders.select(*s.keys, *ORDER), season, bounds)
 
 
-def model_residuals(design: DataFrame, s: Series, model: DataFrame, season: int,
-                    bounds: Bounds = Bounds()) -> DataFrame:
-    """One-step residuals ``(keys, rn, n, resid)`` of the fitted models."""
+def _expected(design: DataFrame, keys: Sequence[str], model: DataFrame, season: int, bounds: Bounds) -> tuple[DataFrame, Column]:
+    """Design rows of the fitted models beside their coefficients, and the value the model expects."""
     values, shocks = _lag_names(bounds, season)
-    on = [*s.keys, "d", "sd"]
-    fit = model.filter("status = 'ok'").select(
-        *on, F.map_from_arrays("terms", "coefs").alias("_beta"))
-    rows = attach(design.filter("rn > _m"), fit, on, ["rn"], how="inner")
+    on = [*keys, "d", "sd"]
+    fit = model.filter("status = 'ok'").select(*on, F.map_from_arrays("terms", "coefs").alias("_beta"))
     expected = F.lit(0.0)
     for name in [*values, *shocks]:
         expected = expected + F.coalesce(F.col("_beta")[name], F.lit(0.0)) * F.col(name)
+    return attach(design, fit, on, ["rn"], how="inner"), expected
+
+
+def _filters(theta: np.ndarray, order: dict[str, int], season: int, multiplied: bool, memory: int) -> tuple[np.ndarray, ...]:
+    """Parameters, and weights by lag of the values that give: values and shocks filtered by the inverse of the
+    moving-average part, and the shocks themselves.
+
+    Moving-average parameters without an inverse are shrunk until the weights fade within ``memory``.
+    """
+    p, sp, q, sq = (order[c] for c in ("p", "sp", "q", "sq"))
+
+    def divide(top: np.ndarray, bottom: np.ndarray) -> np.ndarray:
+        out = np.zeros(memory + 1)
+        out[:len(top)] = top[:memory + 1]
+        for t in range(memory + 1):
+            back = bottom[1:t + 1]
+            out[t] -= back @ out[t - 1::-1][:len(back)] if t and len(back) else 0.0
+        return out
+
+    while True:
+        a, _ = _product(theta[:p], theta[p:p + sp], season, -1.0, multiplied)
+        b, _ = _product(theta[p + sp:p + sp + q], theta[p + sp + q:], season, 1.0, multiplied)
+        values, shocks = np.r_[1.0, -a], np.r_[1.0, b]
+        inverse = divide(np.ones(1), shocks)
+        if np.abs(inverse[-season:]).max() < 0.05 or not (q or sq):
+            break
+        theta = np.r_[theta[:p + sp], 0.9 * theta[p + sp:]]
+    own = divide(values, shocks)
+    return theta, inverse, divide(own, shocks), own
+
+
+def refined(design: DataFrame, s: Series, orders: DataFrame, season: int, bounds: Bounds = Bounds(),
+            steps: int = 4, memory: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Design and models after ``steps`` Gauss-Newton steps on the models' own shocks.
+
+    The first fit takes the residuals of a long autoregression for the shocks. Here the shocks follow from the
+    model itself: values and shocks are filtered by the inverse of the moving-average part, cut off after ``memory``
+    lags, and the change of the parameters is the regression of the shocks on the lags of both. A step filters all
+    rows once and takes one matrix a series; one that raises the sum of squares is halved. The model kept is the one
+    with the least sum; models without a moving-average part stay as they are.
+    """
+    values, shocks = _lag_names(bounds, season)
+    names, multiplied = [*values, *shocks], bounds.multiplied
+    memory = memory or max(10 * season, 60)
+    group, keys = [*s.keys, "d", "sd"], list(s.keys)
+    own = Series(tuple(group), ("rn",), s.block_rows)
+    reach, width = max([*values.values(), *shocks.values(), 1]), len(names) + 1
+    first = as_table(fit_seasonal(design, s, orders, season, bounds), "models")
+    fields = [first.schema[c] for c in [*keys, *ORDER]]
+    numbers = T.ArrayType(T.DoubleType())
+    held = T.StructType([*fields, T.StructField("_n", T.LongType()), *[
+        T.StructField(c, numbers) for c in ("_theta", "_best", "_inverse", "_double", "_own")], T.StructField("_least", T.DoubleType())])
+
+    def state(pdf: pd.DataFrame, rows: list[tuple]) -> pd.DataFrame:
+        out = pdf[[*keys, *ORDER]].reset_index(drop=True)
+        made = []
+        for order, (theta, best, least, n) in zip(out[ORDER].to_dict("records"), rows, strict=True):
+            theta, inverse, double, own_ = _filters(np.asarray(theta, float), order, season, multiplied, memory)
+            made.append((n, theta, np.asarray(best, float), inverse, double, own_, least))
+        return pd.concat([out, pd.DataFrame(made, columns=["_n", "_theta", "_best", "_inverse", "_double", "_own", "_least"])], axis=1)
+
+    def begin(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield state(pdf, [(t, t, math.inf, int(n)) for t, n in zip(pdf["params"], pdf["n_obs"])])
+
+    def move(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for row in pdf.to_dict("records"):
+                order = {c: int(row[c]) for c in ORDER}
+                gram = np.reshape(np.asarray(row["gram"], float), (width, width))
+                theta, best, least = np.asarray(row["_theta"], float), np.asarray(row["_best"], float), row["_least"]
+                rss = float(gram[-1, -1])
+                if rss <= least:
+                    best, least = theta, rss
+                    try:
+                        _, slope = _model(theta, order, season, names, multiplied)
+                        turn = np.zeros((width, len(theta) + 1))
+                        turn[:-1, :-1], turn[-1, -1] = slope, 1.0
+                        theta = theta + solve(turn.T @ gram @ turn, range(len(theta)), len(theta))[0]
+                    except np.linalg.LinAlgError:
+                        pass
+                else:
+                    theta = (theta + best) / 2
+                rows.append((theta, best, least, int(row["_n"])))
+            yield state(pdf, rows)
+
+    def filtered(at: DataFrame) -> DataFrame:
+        with_state = attach(design.select(*group, "rn", "n", "_m", "w"), at.select(*group, "_inverse", "_double", "_own"), group, ["rn"], how="inner")
+
+        def passed(w: WindowSpec) -> dict[str, Column]:
+            back = F.reverse(F.collect_list("w").over(w.rowsBetween(-memory, 0)))
+
+            def through(weights: str) -> Column:
+                return F.aggregate(F.zip_with(back, weights, lambda v, c: F.coalesce(v * c, F.lit(0.0))), F.lit(0.0), lambda x, y: x + y)
+
+            return {"_x": through("_inverse"), "_u": through("_double"), "shock": through("_own")}
+
+        return framed(with_state, own, memory, 0, passed).drop("_inverse", "_double", "_own")
+
+    def lagged(rows: DataFrame, value: str, shock: str) -> DataFrame:
+        return framed(rows, own, reach, 0, lambda w: {
+            **{c: F.coalesce(F.lag(value, i).over(w), F.lit(0.0)) for c, i in values.items()},
+            **{c: F.coalesce(F.lag(shock, i).over(w), F.lit(0.0)) for c, i in shocks.items()}})
+
+    at = as_table(first.filter("status = 'ok'").select(*keys, *ORDER, "params", "n_obs").mapInPandas(begin, held), "models")
+    for _ in range(steps + 1):
+        rows = lagged(filtered(at), "_x", "_u")
+        grams = gramian(rows.filter("rn > _m"), group, [*names, "shock"]).select(*group, "gram")
+        at = as_table(join_keys(at, grams, group).mapInPandas(move, held), "models")
+
+    result = T.StructType([*fields, *_score_schema(first.select(*keys, *ORDER)).fields[len(fields):]])
+
+    def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for row in pdf.to_dict("records"):
+                order, n = {c: int(row[c]) for c in ORDER}, int(row["_n"])
+                rec = {"terms": _terms(order, season, multiplied), "status": "singular", "n_obs": n}
+                try:
+                    rec |= _result(np.asarray(row["_best"], float), row["_least"], n, order, season, names, multiplied)
+                except ValueError:
+                    pass
+                rows.append(rec)
+            out = pd.DataFrame(rows, columns=result.names[len(fields):])
+            yield pd.concat([pdf[[*keys, *ORDER]].reset_index(drop=True), out], axis=1)[result.names]
+
+    def again(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield state(pdf, [(b, b, least, int(n)) for b, least, n in zip(pdf["_best"], pdf["_least"], pdf["_n"])])
+
+    model = at.mapInPandas(finish, result).unionByName(first.filter("status <> 'ok'"))
+    best = filtered(at.mapInPandas(again, held)).drop("_x", "_u")
+    return as_table(lagged(best, "w", "shock").select(*design.columns), "design"), as_table(model, "models")
+
+
+def model_residuals(design: DataFrame, s: Series, model: DataFrame, season: int,
+                    bounds: Bounds = Bounds()) -> DataFrame:
+    """One-step residuals ``(keys, rn, n, resid)`` of the fitted models."""
+    rows, expected = _expected(design.filter("rn > _m"), s.keys, model, season, bounds)
     return rows.select(*s.keys, (F.col("rn") - F.col("_m")).alias("rn"),
                        (F.col("n") - F.col("_m")).alias("n"), (F.col("w") - expected).alias("resid"))
 
@@ -307,7 +546,7 @@ def forecast(df: DataFrame, design: DataFrame, s: Series, col: str, model: DataF
     ``steps`` is a number, or a frame ``(keys, steps)``. Only the last rows of each
     series enter the recursion, which runs on one row per series.
     """
-    reach = max(bounds.p, bounds.q, season * max(bounds.sp, bounds.sq, 1)) + bounds.d + season * bounds.sd
+    reach = _long_order(season, bounds) + bounds.d + season * bounds.sd
     keys = list(s.keys)
 
     def tail(rows: DataFrame, value: str, by: Sequence[str], out: str) -> DataFrame:
@@ -325,7 +564,7 @@ def forecast(df: DataFrame, design: DataFrame, s: Series, col: str, model: DataF
         T.StructField(c, T.ArrayType(T.DoubleType())) for c in ("_predicted", "_lower", "_upper")])
 
     def lag_of(term: str) -> int:
-        return int(term[2:].rstrip("s"))
+        return int(term[2:])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
