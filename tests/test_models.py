@@ -344,6 +344,57 @@ def test_multiplied_models_recover_their_parameters(spark):
     assert ahead.count() == 18
 
 
+@pytest.mark.parametrize("order", [(2, 0, 1, 1, 0, 1), (1, 1, 1, 1, 1, 0), (0, 1, 0, 0, 1, 1), (0, 0, 0, 0, 0, 0)])
+def test_horizon_in_blocks_equals_the_recursion(spark, order):
+    y = np.cumsum(ar(140, 0.5, 26)) if order[1] else ar(140, 0.5, 26)
+    df = frame(spark, a=y, b=y[:90])
+    design = seasonal.design_rows(df, S, "y", 7, Bounds())
+    orders = spark.createDataFrame([("a", *order), ("b", *order)], ["k", *seasonal.ORDER])
+    model = seasonal.fit_seasonal(design, S, orders, 7)
+    state = {(r.k, r.rn): (r.w, r.shock) for r in design.filter(f"d = {order[1]} and sd = {order[4]}").collect()}
+    steps = spark.createDataFrame([("a", 50), ("b", 33)], "k string, steps long")
+    got = seasonal.forecast(df, design, S, "y", model, steps, 7, block=8).orderBy("k", "step").collect()
+    assert [(r.k, r.step) for r in got] == [("a", i + 1) for i in range(50)] + [("b", i + 1) for i in range(33)]
+    for fitted in model.collect():
+        beta = dict(zip(fitted.terms, fitted.coefs))
+        undo = -np.array(stationarity.difference_weights(order[1], order[4], 7)[1:])
+        own = [state[k] for k in sorted(state) if k[0] == fitted.k]
+        w, e, values = [v for v, _ in own], [s for _, s in own], list(y if fitted.k == "a" else y[:90])
+        n, psi_w, psi = len(values), [], []
+        for t in range(50 if fitted.k == "a" else 33):
+            w.append(sum(c * (w if n_[1] == "v" else e)[-int(n_[2:])] for n_, c in beta.items()))
+            e.append(0.0)
+            values.append(w[-1] + sum(c * values[-i] for i, c in enumerate(undo, start=1) if c))
+            psi_w.append((1.0 if t == 0 else 0.0) + sum(c * (psi_w[t - int(n_[2:])] if n_[1] == "v" else float(t == int(n_[2:])))
+                                                        for n_, c in beta.items() if t >= int(n_[2:])))
+            psi.append(psi_w[t] + sum(c * psi[t - i] for i, c in enumerate(undo, start=1) if c and i <= t))
+        mine = [r for r in got if r.k == fitted.k]
+        assert [r.predicted for r in mine] == pytest.approx(values[n:], rel=1e-8, abs=1e-8)
+        width = seasonal.Z95 * np.sqrt(fitted.sigma2 * np.cumsum(np.square(psi)))
+        assert [r.upper - r.predicted for r in mine] == pytest.approx(width.tolist(), rel=1e-8)
+
+
+def test_long_horizon_is_split_over_tasks(spark):
+    df = frame(spark, a=ar(60, 0.9, 27) + 3)
+    design = seasonal.design_rows(df, S, "y", 7, Bounds())
+    orders = spark.createDataFrame([("a", 1, 1, 0, 0, 0, 0)], ["k", *seasonal.ORDER])
+    model = seasonal.fit_seasonal(design, S, orders, 7)
+    ahead = seasonal.forecast(df, design, S, "y", model, 1_000_000, 7)
+    parts = ahead.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()
+    assert sum(r.n for r in parts) == 1_000_000 and max(r.n for r in parts) < 400_000
+    phi, last = model.first().coefs[0], [r.y for r in df.orderBy("rn").collect()][-2:]
+    end = ahead.filter("step = 1000000").first()
+    assert end.predicted == pytest.approx(last[1] + (last[1] - last[0]) * phi / (1 - phi), rel=1e-6)
+
+
+def test_walk_forward_keeps_folds_that_fail(spark):
+    df = frame(spark, fine=ar(60, 0.5, 28), flat=[2.0] * 30)
+    orders = spark.createDataFrame([("fine", 1, 1, 0, 0, 0, 0), ("flat", 1, 1, 0, 0, 0, 0)], ["k", *seasonal.ORDER])
+    _, scores = seasonal.walk_forward(df, S, "y", 7, orders=orders)
+    got = sorted((r.k, r.fold, r.status, r.rmse is None) for r in scores.collect())
+    assert got == [("fine", f, "ok", False) for f in (1, 2, 3)] + [("flat", f, "singular", True) for f in (1, 2, 3)]
+
+
 def test_walk_forward_covers_each_fold(spark):
     df = frame(spark, a=ar(200, 0.6, 16), b=5 + ar(101, 0.4, 17))
     forecasts, scores = seasonal.walk_forward(df, S, "y", 7)

@@ -22,7 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, WindowSpec
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -41,6 +41,8 @@ FALLBACK_ORDERS = ((0, 1, 0), (1, 0, 0), (0, 0, 1), (1, 1, 0), (0, 1, 1), (1, 1,
 FALLBACK_SCORE = 999999.0
 
 ORDER = ["p", "d", "q", "sp", "sd", "sq"]
+# steps of a forecast that one task makes at once
+STEP_BLOCK = 4096
 # orders up to 1023 in each place of a candidate's number
 CANDIDATE_BASE = 1024
 
@@ -540,11 +542,13 @@ def model_residuals(design: DataFrame, s: Series, model: DataFrame, season: int,
 
 
 def forecast(df: DataFrame, design: DataFrame, s: Series, col: str, model: DataFrame,
-             steps: DataFrame | int, season: int, bounds: Bounds = Bounds()) -> DataFrame:
+             steps: DataFrame | int, season: int, bounds: Bounds = Bounds(), block: int = STEP_BLOCK) -> DataFrame:
     """Rows ``(keys, step, predicted, lower, upper)`` with a 95 % interval.
 
     ``steps`` is a number, or a frame ``(keys, steps)``. Only the last rows of each
-    series enter the recursion, which runs on one row per series.
+    series enter. A horizon is cut into blocks of ``block`` steps, which tasks share: the state before a block is
+    the first one times a power of the model's matrix, taken by repeated squaring. The interval of a step rests on
+    all squared responses before it, which are summed inside a block and over the totals of the blocks before.
     """
     reach = _long_order(season, bounds) + bounds.d + season * bounds.sd
     keys = list(s.keys)
@@ -555,56 +559,86 @@ def forecast(df: DataFrame, design: DataFrame, s: Series, col: str, model: DataF
             F.sort_array(F.collect_list(F.struct("rn", value))), lambda x: x[value]).alias(out))
 
     on = [*keys, "d", "sd"]
-    ok = model.filter("status = 'ok'").select(*on, "p", "q", "sp", "sq", "sigma2", "terms", "coefs")
+    ok = model.filter("status = 'ok'").select(*on, "sigma2", "terms", "coefs")
     state = join_keys(ok, tail(df, col, keys, "_y"), keys)
     state = join_keys(join_keys(state, tail(design, "w", on, "_w"), on), tail(design, "shock", on, "_e"), on)
-    state = state.withColumn("_h", F.lit(steps)) if isinstance(steps, int) else join_keys(
-        state, steps.select(*keys, F.col("steps").alias("_h")), keys)
+    state = state.withColumn("_h", F.lit(steps).cast("long")) if isinstance(steps, int) else join_keys(
+        state, steps.select(*keys, F.col("steps").cast("long").alias("_h")), keys)
+    one = isinstance(steps, int) and steps <= block
+    cut = F.explode(F.expr(f"sequence(0L, greatest(0L, (_h - 1) div {block}))")).alias("_block")
+    state = state.filter("_h > 0").select("*", cut)
+    if not one:
+        state = state.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys, "_block")
     schema = T.StructType([state.schema[k] for k in keys] + [
-        T.StructField(c, T.ArrayType(T.DoubleType())) for c in ("_predicted", "_lower", "_upper")])
-
-    def lag_of(term: str) -> int:
-        return int(term[2:])
+        T.StructField("_block", T.LongType()), T.StructField("sigma2", T.DoubleType()),
+        T.StructField("_predicted", T.ArrayType(T.DoubleType())), T.StructField("_squares", T.ArrayType(T.DoubleType()))])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = pdf[keys].copy()
-            results = [_recursion(row, lag_of, season) for row in pdf.to_dict("records")]
-            for i, c in enumerate(("_predicted", "_lower", "_upper")):
-                out[c] = [res[i] for res in results]
+            out = pdf[[*keys, "_block", "sigma2"]].copy()
+            made = [_steps(row, season, block) for row in pdf.to_dict("records")]
+            out["_predicted"] = [m[0] for m in made]
+            out["_squares"] = [m[1] for m in made]
             yield out
 
-    rows = state.mapInPandas(run, schema)
-    return rows.select(*keys, F.posexplode(F.arrays_zip("_predicted", "_lower", "_upper")).alias("_i", "_f")).select(
-        *keys, (F.col("_i") + 1).alias("step"), F.col("_f._predicted").alias("predicted"),
-        F.col("_f._lower").alias("lower"), F.col("_f._upper").alias("upper"))
-
-
-def _recursion(row: dict, lag_of, season: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    h = int(row["_h"])
+    parts = state.mapInPandas(run, schema)
+    if one:
+        parts = parts.withColumn("_before", F.lit(0.0))
+    else:
+        # one total a block; its window holds horizon / block rows
+        by_key = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+        totals = parts.select(*keys, "_block", F.element_at("_squares", -1).alias("_total"))
+        totals = totals.select(*keys, "_block", F.coalesce(F.sum("_total").over(by_key), F.lit(0.0)).alias("_before"))
+        parts = join_keys(parts, totals, [*keys, "_block"])
+    rows = parts.select(*keys, "_block", "sigma2", "_before", F.posexplode(F.arrays_zip("_predicted", "_squares")).alias("_i", "_f"))
+    width = F.lit(Z95) * F.sqrt(F.col("sigma2") * (F.col("_before") + F.col("_f._squares")))
+    return rows.select(*keys, (F.col("_block") * block + F.col("_i") + 1).cast("int").alias("step"), F.col("_f._predicted").alias("predicted"),
+                       (F.col("_f._predicted") - width).alias("lower"), (F.col("_f._predicted") + width).alias("upper"))
+
+
+def _steps(row: dict, season: int, block: int) -> tuple[np.ndarray, np.ndarray]:
+    """Predictions of one block of steps, and the running sums of the squared responses to a shock inside it.
+
+    The state holds the last differenced values, shocks and values; one step is a product with one matrix.
+    """
     beta = dict(zip(row["terms"], row["coefs"], strict=True)) if len(row["terms"]) else {}
-    ar = {lag_of(t): 0.0 for t in beta if t.startswith("_v")}
-    ma = {lag_of(t): 0.0 for t in beta if t.startswith("_e")}
-    for t, b in beta.items():
-        (ar if t.startswith("_v") else ma)[lag_of(t)] += b
-    undo = -np.array(difference_weights(int(row["d"]), int(row["sd"]), season)[1:])
-    w, e, y = (list(np.asarray(row[c], float)) for c in ("_w", "_e", "_y"))
-    first = len(y)
-    psi = np.zeros(h)
-    psi_w = np.zeros(h)
-    for t in range(h):
-        step = sum(b * w[-i] for i, b in ar.items() if i <= len(w))
-        step += sum(b * e[-i] for i, b in ma.items() if i <= len(e))
-        w.append(step)
-        e.append(0.0)
-        y.append(step + sum(c * y[-i] for i, c in enumerate(undo, start=1) if c and i <= len(y)))
-        # response of later values to one shock, before and after undoing the differences
-        psi_w[t] = (1.0 if t == 0 else 0.0) + ma.get(t, 0.0) + sum(
-            b * psi_w[t - i] for i, b in ar.items() if i <= t)
-        psi[t] = psi_w[t] + sum(c * psi[t - i] for i, c in enumerate(undo, start=1) if c and i <= t)
-    predicted = np.array(y[first:])
-    width = Z95 * np.sqrt(row["sigma2"] * np.cumsum(psi * psi))
-    return predicted, predicted - width, predicted + width
+    ar = {int(t[2:]): b for t, b in beta.items() if t.startswith("_v")}
+    ma = {int(t[2:]): b for t, b in beta.items() if t.startswith("_e")}
+    undo = -np.array(difference_weights(int(row["d"]), int(row["sd"]), season)[1:], float)
+    nw, ne, ny = max([*ar, 1]), max([*ma, 1]), max(len(undo), 1)
+    a = np.zeros((nw + ne + ny,) * 2)
+    for lag, b in ar.items():
+        a[0, lag - 1] += b
+    for lag, b in ma.items():
+        a[0, nw + lag - 1] += b
+    a[nw + ne] = a[0]
+    a[nw + ne, nw + ne:nw + ne + len(undo)] += undo
+    for first, size in ((0, nw), (nw, ne), (nw + ne, ny)):
+        for i in range(1, size):
+            a[first + i, first + i - 1] = 1.0
+
+    def last(values: Sequence[float], size: int) -> list[float]:
+        back = [float(v) for v in values][::-1][:size]
+        return back + [0.0] * (size - len(back))
+
+    start = np.array([*last(row["_w"], nw), *last(row["_e"], ne), *last(row["_y"], ny)])
+    shock = np.zeros(len(a))
+    shock[[0, nw, nw + ne]] = 1.0
+    before, at = int(row["_block"]) * block, np.stack([start, shock], axis=1)
+    power, left = a, before
+    while left:
+        if left & 1:
+            at = power @ at
+        power, left = power @ power, left >> 1
+    size = int(min(block, row["_h"] - before))
+    # states of the steps, doubled: the next as many follow by one product
+    at = np.stack([a @ at[:, 0], at[:, 1]], axis=1)
+    states, power = at[:, None, :], a
+    while states.shape[1] < size:
+        states = np.concatenate([states, np.tensordot(power, states, (1, 0))], axis=1)
+        power = power @ power
+    found = states[nw + ne, :size]
+    return found[:, 0], np.cumsum(found[:, 1] ** 2)
 
 
 # ---- walk-forward validation -------------------------------------------------------------------
@@ -615,8 +649,8 @@ def walk_forward(df: DataFrame, s: Series, col: str, season: int, p: float = 0.5
     """Forecasts ``(keys, fold, rn, actual, predicted, lower, upper)`` and metrics per fold.
 
     Orders are searched once on the first training part unless given. Each fold is
-    fitted on all rows before it and forecasts its whole slice; a fold that cannot be
-    fitted has no rows.
+    fitted on all rows before it and forecasts its whole slice. A fold that cannot be
+    fitted keeps a row of scores without metrics, and its status.
     """
     df = as_table(df.select(*s.keys, *[c for c in s.order if c not in (*s.keys, "rn")], "rn", "n", col), "series")
     folds = expanding_folds(df, p, k)
@@ -639,8 +673,9 @@ def walk_forward(df: DataFrame, s: Series, col: str, season: int, p: float = 0.5
     forecasts = join_keys(test.select(*by_fold.keys, "rn", F.col(col).alias("actual")),
                           placed, [*by_fold.keys, "rn"])
     scores = regression_metrics(forecasts, by_fold.keys).withColumnRenamed("n", "n_test")
-    scores = join_keys(join_keys(scores, model.select(*by_fold.keys, "aic"), by_fold.keys),
-                       sizes.select(*by_fold.keys, "n_train"), by_fold.keys)
+    # every fold with a test row, whether it could be fitted or not
+    every = join_keys(sizes.select(*by_fold.keys, "n_train"), model.select(*by_fold.keys, "aic", "status"), by_fold.keys, "left")
+    scores = join_keys(every.withColumn("status", F.coalesce("status", F.lit("no_order"))), scores, by_fold.keys, "left")
     return forecasts, scores
 
 
