@@ -416,6 +416,32 @@ def test_walk_forward_ml_context(spark):
     assert all(abs(x.actual - y[x.rn]) < 1e-9 for x in forecasts.collect())
 
 
+@pytest.mark.parametrize("context,fit_on", [("fold", "all"), ("history", "train")])
+def test_all_folds_from_slice_matrices_equal_a_fit_per_fold(spark, context, fit_on):
+    rng = np.random.default_rng(29)
+    rows = [(k, i, float(10 + x), float(1000 + 50 * x + 5 * z)) for k, n in (("a", 120), ("b", 83))
+            for i, (x, z) in enumerate(zip(ar(n, 0.7, ord(k)), rng.normal(size=n)))]
+    df = positions(spark.createDataFrame(rows, "k string, t int, sold double, y double"), S)
+    args = (df, S, ["sold", "y"], "y", 7)
+    each, scores = regress.walk_forward_ml(*args, LinearRegression(), context=context, fit_on=fit_on)
+    once, all_scores = regress.walk_forward_linear(*args, context=context, fit_on=fit_on)
+    want = {(r.k, r.fold, r.rn): (r.actual, r.predicted) for r in each.collect()}
+    got = {(r.k, r.fold, r.rn): (r.actual, r.predicted) for r in once.collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], rel=1e-6) for k in want)
+    assert {(r.k, r.fold, r.status): round(r.rmse, 4) for r in all_scores.collect()} == {(r.k, r.fold, "ok"): round(r.rmse, 4) for r in scores.collect()}
+
+
+def test_slice_matrices_of_each_series_and_of_short_ones(spark):
+    df = frame(spark, a=ar(60, 0.5, 30), b=ar(61, 0.5, 31), short=[1.0, 2.0, 4.0, 3.0])
+    _, scores = regress.walk_forward_linear(df, S, ["y"], "y", 2, by_series=True)
+    alone, _ = regress.walk_forward_linear(df.filter("k = 'a'"), S, ["y"], "y", 2)
+    both, _ = regress.walk_forward_linear(df, S, ["y"], "y", 2, by_series=True)
+    assert {(r.fold, r.rn): round(r.predicted, 8) for r in both.filter("k = 'a'").collect()} == {(r.fold, r.rn): round(r.predicted, 8) for r in alone.collect()}
+    got = {(r.k, r.fold): (r.status, r.rmse is None) for r in scores.collect()}
+    assert all(got[k, f] == ("ok", False) for k in "ab" for f in (1, 2, 3))
+    assert all(v[0] != "ok" and v[1] for (k, _), v in got.items() if k == "short")
+
+
 def test_sequence_regressor_equals_least_squares(spark):
     y = ar(120, 0.6, 19)
     model = regress.SequenceRegressor(LinearRegression(), ("y",), "y", 3)

@@ -15,7 +15,7 @@ from tidemark.operators.filters import head_rows, keep_keys
 from tidemark.operators.folds import cut_point, ordered_split, validation_tail
 from tidemark.operators.ordered import Series, attach, positions
 from tidemark.plans.projections import WINDOW_STEPS, sampled_parts
-from tidemark.plans.registry import big, day, days, query, r, rs
+from tidemark.plans.registry import big, day, days, least_squares, query, r, rs
 from tidemark.plans.series import prio, test_period, weekly_samples
 from tidemark.plans.tables import DAILY, MEASURES, WEEKLY, inspection, load, production, weekly, with_views
 from tidemark.sources import io
@@ -75,14 +75,17 @@ def a20(spark, sf_dir):
 
 # ---- window regressors -------------------------------------------------------------------------
 
-LINEAR = """l AS (SELECT *, lag(sold) OVER (PARTITION BY series ORDER BY rn) AS x FROM prio),
-    fit AS (SELECT regr_slope(sold, x) AS b, regr_intercept(sold, x) AS a FROM l WHERE rn > 1 AND rn <= floor(n * 0.7::DOUBLE)),
-    e AS (SELECT series, rn, sold AS y, a + b * x AS p FROM l, fit WHERE rn > floor(n * 0.7::DOUBLE))"""
+# windows of seven days of both inputs; revenue in 100,000 keeps the equations well scaled
+LAGS7 = ", ".join(f"lag(sold, {h}) OVER w, lag(revenue, {h}) OVER w / 1e5" for h in range(7, 0, -1))
+LINEAR = f"""win AS (SELECT series, rn, n, sold AS y, list_value(1.0::DOUBLE, {LAGS7}) AS x FROM prio WINDOW w AS (PARTITION BY series ORDER BY rn)),
+    tr AS (SELECT 0 AS k, x, y FROM win WHERE rn > 7 AND rn - 7 <= floor((n - 7) * 0.7::DOUBLE)),
+    {least_squares("fit", "tr", 15)},
+    e AS (SELECT series, rn, y, list_dot_product(x, beta) AS p FROM win, fit WHERE rn > 7 AND rn - 7 > floor((n - 7) * 0.7::DOUBLE))"""
 
 
 def _linear_windows(spark, sf_dir):
-    model = regress.SequenceRegressor(LinearRegression(), ("sold",), "sold", 1)
-    windows = ordered_split(model.windows(prio(spark, sf_dir), DAILY), 0.7)
+    model = regress.SequenceRegressor(LinearRegression(), ("sold", "revenue"), "sold", 7)
+    windows = regress.sample_split(model.windows(prio(spark, sf_dir), DAILY), 7, 0.7)
     return model, windows
 
 
@@ -100,7 +103,7 @@ def m7_linear(spark, sf_dir):
 def m7_forest(spark, sf_dir):
     model = regress.SequenceRegressor(
         RandomForestRegressor(numTrees=100, maxDepth=4, seed=42), ("sold", "revenue"), "revenue", 7)
-    windows = ordered_split(model.windows(prio(spark, sf_dir), DAILY), 0.7)
+    windows = regress.sample_split(model.windows(prio(spark, sf_dir), DAILY), 7, 0.7)
     fitted = model.fit(windows.filter("split = 'train'"))
     return metrics.regression_metrics(
         fitted.transform(windows.filter("split = 'test'")), ["series"], "label", "prediction")
@@ -118,19 +121,22 @@ def m8(spark, sf_dir):
         "trees", F.lit(fitted.stages[0].getNumTrees))
 
 
-WALK = """z AS (SELECT *, (sold - avg(sold) OVER s) / stddev_pop(sold) OVER s AS zx, min(revenue) OVER s AS lo, max(revenue) OVER s AS hi,
+SCALED7 = ", ".join(f"lag(zx, {h}) OVER w, lag(u, {h}) OVER w" for h in range(7, 0, -1))
+WALK = f"""z0 AS (SELECT *, (sold - avg(sold) OVER s) / stddev_pop(sold) OVER s AS zx, min(revenue) OVER s AS lo, max(revenue) OVER s AS hi,
     n // 2 AS tr, (n - n // 2) // 3 AS size FROM prio WINDOW s AS (PARTITION BY series)),
-    l AS (SELECT *, lag(zx) OVER (PARTITION BY series ORDER BY rn) AS x, (revenue - lo) / (hi - lo) AS u FROM z),
-    f AS (SELECT l.*, fold, tr + (fold - 1) * size AS start FROM l, range(1, 4) t(fold) WHERE rn > 1),
-    fit AS (SELECT fold, regr_slope(u, x) AS b, regr_intercept(u, x) AS a FROM f WHERE rn <= start GROUP BY 1),
-    e AS (SELECT series, f.fold, revenue AS y, (a + b * x) * (hi - lo) + lo AS p FROM f JOIN fit ON f.fold = fit.fold WHERE rn > start + 1 AND rn <= start + size)"""
+    z AS (SELECT *, (revenue - lo) / (hi - lo) AS u FROM z0),
+    l AS (SELECT *, list_value(1.0::DOUBLE, {SCALED7}) AS x FROM z WINDOW w AS (PARTITION BY series ORDER BY rn)),
+    f AS (SELECT l.*, fold, tr + (fold - 1) * size AS start FROM l, range(1, 4) t(fold) WHERE rn > 7),
+    before AS (SELECT fold AS k, x, u AS y FROM f WHERE rn <= start),
+    {least_squares("fit", "before", 15)},
+    e AS (SELECT series, f.fold, revenue AS y, list_dot_product(x, beta) * (hi - lo) + lo AS p FROM f JOIN fit ON f.fold = k WHERE rn > start + 7 AND rn <= start + size)"""
 
 
-@query("m9_walk_forward_ml", with_views("prio", f"""{WALK} SELECT series, CAST(fold AS INT) AS fold, count(*) AS n, {rs("sqrt(avg((y - p) ** 2))", "rmse", 3)}, {rs("avg(abs(y - p))", "mae", 3)},
+@query("m9_walk_forward_ml", with_views("prio", f"""{WALK} SELECT series, CAST(fold AS INT) AS fold, count(*) AS n, {rs("sqrt(avg((y - p) ** 2))", "rmse", 2)}, {rs("avg(abs(y - p))", "mae", 2)},
     {rs("1 - sum((y - p) ** 2) / (var_pop(y) * count(*))", "r2", 6)} FROM e GROUP BY 1, 2"""))
 def m9(spark, sf_dir):
-    _, scores = regress.walk_forward_ml(prio(spark, sf_dir), DAILY, ["sold"], "revenue", 1, LinearRegression())
-    return scores.select("series", "fold", "n", r("rmse", "rmse", 3), r("mae", "mae", 3), r("r2", "r2", 6))
+    _, scores = regress.walk_forward_linear(prio(spark, sf_dir), DAILY, ["sold", "revenue"], "revenue", 7)
+    return scores.select("series", "fold", "n", r("rmse", "rmse", 2), r("mae", "mae", 2), r("r2", "r2", 6))
 
 
 @query("m10_auto_classifier")
@@ -156,18 +162,22 @@ def m11(spark, sf_dir):
     return metrics.accuracy(scored, ["product"], "failure", "prediction")
 
 
-@query("m12_score_external", with_views("prio inspection", f"""{LINEAR}, o AS (SELECT rn, n, accepted / 250 AS y, lag(accepted / 250) OVER (ORDER BY rn) AS x FROM inspection),
-    oe AS (SELECT row_number() OVER (ORDER BY rn) AS i, count(*) OVER () AS m, y, a + b * x AS p FROM o, fit WHERE x IS NOT NULL AND y IS NOT NULL),
+OTHER7 = ", ".join(f"lag(sold, {h}) OVER w, lag(revenue, {h}) OVER w / 1e5" for h in range(7, 0, -1))
+
+
+@query("m12_score_external", with_views("prio inspection", f"""{LINEAR}, o0 AS (SELECT rn, n, accepted / 250 AS sold, failed * 4000 AS revenue FROM inspection),
+    o AS (SELECT rn, sold AS y, list_value(1.0::DOUBLE, {OTHER7}) AS x FROM o0 WINDOW w AS (ORDER BY rn)),
+    oe AS (SELECT row_number() OVER (ORDER BY rn) AS i, count(*) OVER () AS m, y, list_dot_product(x, beta) AS p FROM o, fit WHERE rn > 7 AND y IS NOT NULL AND len(list_filter(x, lambda v: v IS NULL)) = 0),
     bm AS (SELECT avg((y - p) ** 2) AS l FROM oe WHERE i < m GROUP BY floor((i - 1) / 1000))
-    SELECT 'all' AS series, (SELECT {rs("avg(l)", "loss", 6).removesuffix(" AS loss")} FROM bm) AS loss, count(*) AS n, {rs("avg((y - p) ** 2)", "mse", 6)},
+    SELECT 'all' AS series, (SELECT {rs("avg(l)", "loss", 4).removesuffix(" AS loss")} FROM bm) AS loss, count(*) AS n, {rs("avg((y - p) ** 2)", "mse", 4)},
     {rs("1 - sum((y - p) ** 2) / (var_pop(y) * count(*))", "r2", 6)} FROM oe"""))
 def m12(spark, sf_dir):
     model, windows = _linear_windows(spark, sf_dir)
     fitted = model.fit(windows.filter("split = 'train'"))
-    other = positions(inspection(spark, sf_dir), DAILY).withColumn("sold", F.col("accepted") / 250)
+    other = positions(inspection(spark, sf_dir), DAILY).withColumn("sold", F.col("accepted") / 250).withColumn("revenue", F.col("failed") * 4000)
     new = model.windows(other, DAILY)
     loss, scores = regress.score_external(fitted, new, DAILY)
-    return loss.join(scores, "series").select("series", r("loss", "loss", 6), "n", r("mse", "mse", 6), r("r2", "r2", 6))
+    return loss.join(scores, "series").select("series", r("loss", "loss", 4), "n", r("mse", "mse", 4), r("r2", "r2", 6))
 
 
 SEARCH_SPACE = {
@@ -191,13 +201,13 @@ def m13(spark, sf_dir):
 
 @query("m14_fixed_run", with_views("prio", f"""{WALK}, m AS (SELECT series, fold, avg(abs(y - p)) AS mae, sqrt(avg((y - p) ** 2)) AS rmse,
     1 - sum((y - p) ** 2) / (var_pop(y) * count(*)) AS r2 FROM e GROUP BY 1, 2)
-    SELECT 'mae' AS metric, {rs("avg(mae)", "mean", 3)}, {rs("stddev_pop(mae)", "std", 3)} FROM m
-    UNION ALL SELECT 'rmse', {rs("avg(rmse)", "mean", 3)}, {rs("stddev_pop(rmse)", "std", 3)} FROM m
-    UNION ALL SELECT 'r2', {rs("avg(r2)", "mean", 3)}, {rs("stddev_pop(r2)", "std", 3)} FROM m"""))
+    SELECT 'mae' AS metric, {rs("avg(mae)", "mean", 2)}, {rs("stddev_pop(mae)", "std", 2)} FROM m
+    UNION ALL SELECT 'rmse', {rs("avg(rmse)", "mean", 2)}, {rs("stddev_pop(rmse)", "std", 2)} FROM m
+    UNION ALL SELECT 'r2', {rs("avg(r2)", "mean", 2)}, {rs("stddev_pop(r2)", "std", 2)} FROM m"""))
 def m14(spark, sf_dir):
-    params = {"sequence_length": 1, "regParam": 0.0, "elasticNetParam": 0.0, "maxIter": 100}
-    out = search.run(prio(spark, sf_dir), DAILY, ["sold"], "revenue", params, _elastic)
-    return out.filter("metric <> 'mse'").select("metric", r("mean", "mean", 3), r("std", "std", 3))
+    params = {"sequence_length": 7, "regParam": 0.0, "elasticNetParam": 0.0, "maxIter": 100}
+    out = search.run(prio(spark, sf_dir), DAILY, ["sold", "revenue"], "revenue", params, _elastic)
+    return out.filter("metric <> 'mse'").select("metric", r("mean", "mean", 2), r("std", "std", 2))
 
 
 TRIALS = """tr AS (SELECT series, len AS sequence_length, sqrt(avg((a.revenue - b.revenue) ** 2)) AS rmse FROM (SELECT * FROM prio, (VALUES (7), (14), (21)) v(len)) a

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import residuals as res
@@ -178,6 +179,80 @@ def m2(spark, sf_dir):
     return scored.filter("stage = 0").select("series", *sea.ORDER, "n_obs", "aic", "bic", "score", "status")
 
 
+# pure autoregressions of both differencings, from sums of products
+PURE = """s0 AS (SELECT series, 0 AS d, rn AS k, ln(revenue) AS w FROM prio
+    UNION ALL SELECT series, 1, rn - 1, ln(revenue) - lag(ln(revenue)) OVER (PARTITION BY series ORDER BY rn) FROM prio),
+    s1 AS (SELECT *, lag(w) OVER q AS w1, lag(w, 2) OVER q AS w2 FROM s0 WHERE k > 0 WINDOW q AS (PARTITION BY series, d ORDER BY k)),
+    s2 AS (SELECT series, d, count(*) AS m, sum(w * w) AS c00, sum(w * w1) AS c01, sum(w * w2) AS c02, sum(w1 * w1) AS c11, sum(w1 * w2) AS c12, sum(w2 * w2) AS c22
+    FROM s1 WHERE k > 9 GROUP BY 1, 2),
+    s3 AS (SELECT series, 0 AS p, d, m, c00 / m AS s2 FROM s2 UNION ALL SELECT series, 1, d, m, (c00 - c01 * c01 / c11) / m FROM s2
+    UNION ALL SELECT series, 2, d, m, (c00 - (c01 * (c01 * c22 - c02 * c12) + c02 * (c02 * c11 - c01 * c12)) / (c11 * c22 - c12 * c12)) / m FROM s2)"""
+
+
+@query("m2_order_search_autoregressive", with_views("prio", f"""{PURE} SELECT series, CAST(p AS INT) AS p, CAST(d AS INT) AS d, m AS n_obs, {rs("s2 * 1000", "sigma2", 6)},
+    {rs(f"2 * (p + 1) - 2 * {LLF}", "aic", 3)}, {rs(f"(p + 1) * ln(m) - 2 * {LLF}", "bic", 3)},
+    CAST(row_number() OVER (PARTITION BY series ORDER BY 2 * (p + 1) - 2 * {LLF}, p, d) AS INT) AS place FROM s3"""))
+def m2_pure(spark, sf_dir):
+    scored = sea.order_search(logged(spark, sf_dir), DAILY, "y", SEASON, sea.Bounds(2, 1, 0, 0, 0, 0), fallback=False)
+    place = F.row_number().over(Window.partitionBy("series").orderBy("score", "candidate"))
+    return scored.select("series", "p", "d", "n_obs", r(F.col("sigma2") * 1000, "sigma2", 6), r("aic", "aic", 3), r("bic", "bic", 3), place.alias("place"))
+
+
+# products with the parameter of the season: least squares in turn for one, given the other
+TURNS = """p0 AS (SELECT series, rn - 1 AS k, ln(revenue) - lag(ln(revenue)) OVER (PARTITION BY series ORDER BY rn) AS w FROM prio),
+    p1 AS (SELECT *, lag(w) OVER q AS w1, lag(w, 7) OVER q AS w7, lag(w, 8) OVER q AS w8 FROM p0 WHERE k > 0 WINDOW q AS (PARTITION BY series ORDER BY k)),
+    p2 AS (SELECT series, count(*) AS m, sum(w * w) AS c00, sum(w * w1) AS c01, sum(w * w7) AS c07, sum(w * w8) AS c08, sum(w1 * w1) AS c11, sum(w1 * w7) AS c17,
+    sum(w1 * w8) AS c18, sum(w7 * w7) AS c77, sum(w7 * w8) AS c78, sum(w8 * w8) AS c88 FROM p1 WHERE k > 9 GROUP BY 1),
+    p3 AS (SELECT *, 0 AS turn, 0.0::DOUBLE AS f, 0.0::DOUBLE AS g FROM p2 UNION ALL
+    SELECT * EXCLUDE (f1) REPLACE (turn + 1 AS turn, f1 AS f, (c07 - f1 * (c08 + c17) + f1 * f1 * c18) / (c77 - 2 * f1 * c78 + f1 * f1 * c88) AS g)
+    FROM (SELECT *, (c01 - g * (c08 + c17) + g * g * c78) / (c11 - 2 * g * c18 + g * g * c88) AS f1 FROM p3 WHERE turn < 200)),
+    p4 AS (SELECT *, (c00 - 2 * g * c07 + g * g * c77 - 2 * f * (c01 - g * (c08 + c17) + g * g * c78) + f * f * (c11 - 2 * g * c18 + g * g * c88)) / m AS s2
+    FROM p3 WHERE turn = 200)"""
+
+
+@query("m4_fit_multiplied", with_views("prio", f"""{TURNS} SELECT series, m AS n_obs, {rs("f", "phi", 6)}, {rs("g", "seasonal_phi", 6)}, {rs("-f * g", "product", 6)},
+    {rs("s2 * 1000", "sigma2", 6)}, {rs(f"6 - 2 * {LLF}", "aic", 3)} FROM p4"""))
+def m4_multiplied(spark, sf_dir):
+    df = logged(spark, sf_dir)
+    orders = df.select("series").distinct().select("series", *[F.lit(v).alias(c) for c, v in zip(sea.ORDER, (1, 1, 0, 1, 0, 0))])
+    model = sea.fit_seasonal(sea.design_rows(df, DAILY, "y", SEASON, sea.Bounds()), DAILY, orders, SEASON)
+    beta = F.map_from_arrays("terms", "coefs")
+    return model.select("series", "n_obs", r(beta["_v1"], "phi", 6), r(beta["_v7"], "seasonal_phi", 6), r(beta["_v8"], "product", 6),
+                        r(F.col("sigma2") * 1000, "sigma2", 6), r("aic", "aic", 3))
+
+
+@query("m4_fit_refined")
+def m4_refined(spark, sf_dir):
+    # (1,1,1)(1,0,1): both sides multiplied, the shocks refiltered by the model itself
+    df = as_table(logged(spark, sf_dir), "series")
+    design = as_table(sea.design_rows(df, DAILY, "y", SEASON, sea.Bounds()), "design")
+    orders = df.select("series").distinct().select("series", *[F.lit(v).alias(c) for c, v in zip(sea.ORDER, (1, 1, 1, 1, 0, 1))])
+    _, model = sea.refined(design, DAILY, orders, SEASON)
+    return model.select("series", "terms", "coefs", "sigma2", "aic", "status")
+
+
+SIMPLE = """pr AS (SELECT part_id, price, row_number() OVER q AS rn, count(*) OVER (PARTITION BY part_id) AS n FROM production
+    WINDOW q AS (PARTITION BY part_id ORDER BY ts, l_orderkey, l_linenumber, price)),
+    v0 AS (SELECT part_id, n, 0 AS d, rn AS k, n AS nd, price AS w FROM pr
+    UNION ALL SELECT part_id, n, 1, rn - 1, n - 1, price - lag(price) OVER (PARTITION BY part_id ORDER BY rn) FROM pr),
+    v1 AS (SELECT *, coalesce(lag(w) OVER (PARTITION BY part_id, d ORDER BY k), 0) AS w1 FROM v0 WHERE k > 0),
+    v2 AS (SELECT part_id, n, d, count(*) AS m, sum(w * w) AS c00, sum(w * w1) AS c01, sum(w1 * w1) AS c11 FROM v1 WHERE k > least(9, nd // 3) GROUP BY 1, 2, 3),
+    v3 AS (SELECT part_id, n, 0 AS p, d, m, c00 / m AS s2 FROM v2 UNION ALL SELECT part_id, n, 1, d, m, (c00 - c01 * c01 / c11) / m FROM v2 WHERE c11 > 0),
+    v4 AS (SELECT *, 2 * (p + 1) - 2 * (-m / 2.0 * (ln(2 * pi() * s2) + 1)) AS aic FROM v3
+    WHERE m > p + 1 AND s2 > 0 AND p + d <= n // 10 AND n >= 3 * (p + d) + CASE WHEN n < 21 THEN 1 ELSE 7 END),
+    v5 AS (SELECT * FROM v4 QUALIFY row_number() OVER (PARTITION BY part_id ORDER BY aic, p, d) = 1),
+    parts AS (SELECT DISTINCT part_id FROM pr)"""
+
+
+@query("m3_best_order_autoregressive", with_views("production", f"""{SIMPLE} SELECT part_id, CAST(CASE WHEN aic IS NULL THEN 2 ELSE 0 END AS INT) AS stage, CAST(coalesce(p, 0) AS INT) AS p,
+    CAST(coalesce(d, 1) AS INT) AS d, CASE WHEN aic IS NULL THEN 'random_walk' ELSE 'ok' END AS status, {rs("coalesce(aic, 999999)", "score", 3)}
+    FROM parts LEFT JOIN v5 USING (part_id)"""))
+def m3_pure(spark, sf_dir):
+    df = positions(production(spark, sf_dir), PARTS)
+    scored = sea.order_search(df, PARTS, "price", SEASON, sea.Bounds(1, 1, 0, 0, 0, 0))
+    return sea.best_orders(scored, ["part_id"]).select("part_id", "stage", "p", "d", "status", r("score", "score", 3))
+
+
 @query("m3_best_order_with_fallback")
 def m3(spark, sf_dir):
     # one short series per part: many allow no candidate, or only the simple ones
@@ -249,6 +324,29 @@ def m6_ar1(spark, sf_dir):
                          r("r2", "r2", 4), r("aic", "aic", 3))
 
 
+CHOSEN = """u0 AS (SELECT series, rn, n, ln(revenue) AS y, ln(revenue) - lag(ln(revenue)) OVER (PARTITION BY series ORDER BY rn) AS dy, n // 2 AS tr, (n - n // 2) // 3 AS size FROM prio),
+    u1 AS (SELECT series, rn, tr, size, d, CASE d WHEN 0 THEN y ELSE dy END AS w FROM u0, range(0, 2) t(d) WHERE rn > d),
+    u2 AS (SELECT *, lag(w) OVER (PARTITION BY series, d ORDER BY rn) AS w1 FROM u1),
+    u3 AS (SELECT series, d, fold, tr + (fold - 1) * size AS n_train, count(*) AS m, sum(w * w) AS c00, sum(w * w1) AS c01, sum(w1 * w1) AS c11
+    FROM u2, range(1, 4) t(fold) WHERE rn - d > 9 AND rn <= tr + (fold - 1) * size GROUP BY 1, 2, 3, 4),
+    u4 AS (SELECT *, p * c01 / c11 AS phi, (c00 - p * c01 * c01 / c11) / m AS s2 FROM u3, range(0, 2) t(p)),
+    u5 AS (SELECT *, 2 * (p + 1) - 2 * (-m / 2.0 * (ln(2 * pi() * s2) + 1)) AS aic FROM u4),
+    u6 AS (SELECT series, p, d FROM u5 WHERE fold = 1 QUALIFY row_number() OVER (PARTITION BY series ORDER BY aic, p, d) = 1),
+    u7 AS (SELECT u5.* FROM u5 JOIN u6 USING (series, p, d)),
+    u8 AS (SELECT u7.*, y AS y_end, dy AS dy_end FROM u7 JOIN u0 ON u0.series = u7.series AND rn = n_train),
+    u9 AS (SELECT u0.series, fold, p, d, n_train, aic, y, CASE d WHEN 0 THEN phi ** (rn - n_train) * y_end
+    ELSE y_end + dy_end * CASE WHEN phi = 1 THEN rn - n_train ELSE phi * (1 - phi ** (rn - n_train)) / (1 - phi) END END AS f
+    FROM u0 JOIN u8 ON u0.series = u8.series WHERE rn > n_train AND rn <= n_train + size)"""
+
+
+@query("m6_walk_forward_chosen", with_views("prio", f"""{CHOSEN} SELECT series, CAST(fold AS INT) AS fold, 'ok' AS status, n_train, count(*) AS n_test, {rs("avg((y - f) ** 2)", "mse", 6)},
+    {rs("avg(abs(y - f))", "mae", 6)}, {rs("1 - sum((y - f) ** 2) / (var_pop(y) * count(*))", "r2", 4)}, {rs("aic", "aic", 3)} FROM u9 GROUP BY series, fold, n_train, aic"""))
+def m6_chosen(spark, sf_dir):
+    # orders chosen on the first part, fitted again for each fold
+    _, scores = sea.walk_forward(logged(spark, sf_dir), DAILY, "y", SEASON, bounds=sea.Bounds(1, 1, 0, 0, 0, 0))
+    return scores.select("series", "fold", "status", "n_train", "n_test", r("mse", "mse", 6), r("mae", "mae", 6), r("r2", "r2", 4), r("aic", "aic", 3))
+
+
 @query("m6_walk_forward_searched")
 def m6(spark, sf_dir):
     _, scores = sea.walk_forward(logged(spark, sf_dir), DAILY, "y", SEASON)

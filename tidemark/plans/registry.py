@@ -57,3 +57,18 @@ def days(expr: str, name: str = "ts") -> str:
 
 def bigs(expr: str, name: str) -> str:
     return f"CAST({expr} AS BIGINT) AS {name}"
+
+
+def least_squares(name: str, rows: str, width: int) -> str:
+    """SQL of ``name(k, beta)``: least squares per ``k`` over ``rows(k, x, y)``, x a list of ``width`` numbers.
+
+    The normal equations are solved by Gauss-Jordan steps in a recursive query; a list of CTEs for WITH RECURSIVE.
+    """
+    return f"""{name}_g AS (SELECT k, i, j, sum(z[i] * z[j]) AS g FROM (SELECT k, list_append(x, y) AS z FROM {rows}),
+    range(1, {width + 1}) a(i), range(1, {width + 2}) b(j) GROUP BY ALL),
+    {name}_r AS (SELECT k, i, list(g ORDER BY j) AS r FROM {name}_g GROUP BY ALL),
+    {name}_s AS (SELECT k, 0 AS step, list(r ORDER BY i) AS m FROM {name}_r GROUP BY k),
+    {name}_j AS (SELECT * FROM {name}_s UNION ALL SELECT k, step + 1, list_transform(m, lambda row, i: CASE WHEN i = step + 1
+    THEN list_transform(row, lambda x: x / row[step + 1]) ELSE list_transform(row, lambda x, j: x - row[step + 1] * m[step + 1][j] / m[step + 1][step + 1]) END)
+    FROM {name}_j WHERE step < len(m)),
+    {name} AS (SELECT k, list_transform(m, lambda row: row[-1]) AS beta FROM {name}_j WHERE step = len(m))"""

@@ -126,4 +126,4 @@ def with_views(names: str, body: str) -> str:
     """SQL of the named views followed by ``body``, which starts with SELECT or more CTEs."""
     heads = ",\n".join(VIEWS[v] for v in names.split())
     joint = ",\n" if not body.lstrip().upper().startswith("SELECT") else "\n"
-    return f"WITH {heads}{joint}{body.lstrip()}"
+    return f"WITH RECURSIVE {heads}{joint}{body.lstrip()}"
