@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,13 +29,21 @@ SENSITIVE = {"password": 1.0, "passwd": 1.0, "passphrase": 1.0, "pwd": 0.9, "pas
 # words that turn a name into one about a secret, not of one
 HARMLESS = {"public", "hash", "length", "len", "name", "id", "url", "path", "file", "field", "type", "count", "min",
             "max", "policy", "expiry", "ttl", "hint", "label", "prompt", "placeholder"}
-_DUMMY = re.compile(r"(?i)^(?:x{3,}|\*{3,}|\.{3,}|<[^>]*>|\$\{?[\w.]+\}?|\{\{.*\}\}|%\w+%|"
-                    r".*(?:example|changeme|change_me|placeholder|dummy|your[-_ ]|todo|redacted|null|none|undefined).*)$")
-# one token of source or configuration: a string, a name, an operator of assignment or joining, or a line's end;
-# every alternative is linear, and any other character is skipped by the search
-_LEX = re.compile(r'''(?P<s>"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`[^`\n]*`)'''
-                  r'''|(?P<n>[A-Za-z_$][\w$]*(?:[.-][A-Za-z_][\w$]*)*)|(?P<o>:=|=>|==|!=|<=|>=|[=:+])|(?P<e>\n|[;,{}()\[\]])'''
-                  r'''|(?P<v>[A-Za-z0-9+/_.~!@%^&*-]+)''', re.A)
+# words of a placeholder, anywhere in a literal
+_PLACEHOLDERS = ("example", "changeme", "change_me", "placeholder", "dummy", "your-", "your_", "your ", "todo", "redacted", "null", "none", "undefined")
+_HELD = max(map(len, _PLACEHOLDERS)) - 1
+# literals that are white space between chunks are keys wrapped over lines if a chunk has so many characters on average, else prose
+LEAST_CHUNK = 16
+# lengths beyond it are all alike
+_LONGEST = 1e250
+# one token of source or configuration: the head of a PEM block, a quote, a name, an operator of assignment or joining,
+# or a line's end; every alternative is linear, and any other character is skipped by the search
+_LEX = re.compile(r"""(?P<p>-----BEGIN [A-Z0-9 ]{1,60}-----)|(?P<t>\"{3}|'{3})|(?P<q>["'`])"""
+                  r"""|(?P<n>[A-Za-z_$][\w$]*(?:[.-][A-Za-z_][\w$]*)*)|(?P<o>:=|=>|==|!=|<=|>=|[=:+])|(?P<e>\n|[;,{}()\[\]])"""
+                  r"""|(?P<v>[A-Za-z0-9+/_.~!@%^&*-]+)""", re.A)
+# what a quote holds on its line; a backslash takes the next character with it
+_INSIDE = {q: re.compile(rf"[^{q}\\\n]*(?:\\.[^{q}\\\n]*)*") for q in "\"'"} | {"`": re.compile(r"[^`\n]*")}
+_PEM_END = re.compile(r"-----END [A-Z0-9 ]{1,60}-----")
 _ASSIGNS = {"=", ":", ":=", "=>"}
 _WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 
@@ -46,67 +56,190 @@ def name_score(name: str) -> float:
     return best * (0.3 if words and words[-1] in HARMLESS or "public" in words else 1.0)
 
 
+def _placeholder(text: str) -> bool:
+    low = text.lower()
+    return any(w in low for w in _PLACEHOLDERS)
+
+
+class Places:
+    """Where the literals of a value are written: one place, or those of two parts, which other values share."""
+
+    __slots__ = ("place", "parts")
+
+    def __init__(self, place: tuple[int, int] | None = None, parts: tuple[Places, ...] = ()):
+        self.place, self.parts = place, parts
+
+    def new(self, seen: set[Places]) -> Iterator[tuple[int, int]]:
+        """The places that are not yet in ``seen``, which takes them up."""
+        left = [self]
+        while left:
+            node = left.pop()
+            if node not in seen:
+                seen.add(node)
+                left += node.parts
+                if node.place:
+                    yield node.place
+
+
+class Value:
+    """A literal or the join of two values.
+
+    A value is never written out: it keeps its places, the length, how often each character occurs, the number of gaps of white
+    space, its first and last characters, and if it holds a placeholder's word or the head of a private key. All
+    follow from the same of its two parts, so values that double with each line cost no more than others.
+    """
+
+    __slots__ = ("places", "length", "counts", "gaps", "head", "tail", "idle", "pem")
+
+    def __init__(self, text: str = "", place: tuple[int, int] | None = None):
+        stripped = text.strip()
+        self.places = Places(place)
+        self.counts = Counter(c for c in stripped if not c.isspace()) if any(c.isspace() for c in stripped) else Counter(stripped)
+        self.length = float(sum(self.counts.values()))
+        self.gaps = float(len(stripped.split()) - 1) if stripped else 0.0
+        self.head, self.tail = stripped[:_HELD], stripped[-_HELD:]
+        self.idle = _placeholder(stripped)
+        self.pem = "-----BEGIN " in stripped and "PRIVATE KEY-----" in stripped
+
+    def __add__(self, other: Value) -> Value:
+        if not self.length or not other.length:
+            # nothing but places to add
+            out = Value.__new__(Value)
+            full = self if self.length else other
+            for name in ("length", "counts", "gaps", "head", "tail", "idle", "pem"):
+                setattr(out, name, getattr(full, name))
+        else:
+            out = Value.__new__(Value)
+            out.length, out.gaps = min(self.length + other.length, _LONGEST), min(self.gaps + other.gaps, _LONGEST)
+            out.counts = self.counts.copy()
+            for c, n in other.counts.items():
+                out.counts[c] = min(out.counts[c] + n, _LONGEST)
+            out.idle = self.idle or other.idle or _placeholder(self.tail + other.head)
+            out.pem = self.pem or other.pem
+            out.head = self.head if len(self.head) == _HELD else (self.head + other.head)[:_HELD]
+            out.tail = other.tail if len(other.tail) == _HELD else (self.tail + other.tail)[-_HELD:]
+        out.places = Places(None, (self.places, other.places))
+        return out
+
+    def _dummy(self) -> bool:
+        """A run of one sign, a mark in brackets, or a reference to a variable."""
+        own, first, last = self.counts, self.head[:1], self.tail[-1:]
+        if self.idle or len({c.lower() for c in own}) == 1 and first in "xX*.":
+            return True
+        if first == "<" and last == ">" and own[">"] == 1 or self.head[:2] == "{{" and self.tail[-2:] == "}}":
+            return True
+        word = {c for c in own if not (c.isalnum() or c in "_.")}
+        if first == "$" and own["$"] == 1 and word <= {"$", "{", "}"} and own["{"] <= 1 and own["}"] <= 1:
+            return (not own["{"] or self.head[1:2] == "{") and (not own["}"] or last == "}")
+        return first == last == "%" and own["%"] == 2 and word == {"%"}
+
+    def score(self) -> float:
+        """How much it looks like a secret, 0 to 1: length, entropy, kinds of characters; prose and dummies 0."""
+        if self.pem:
+            return 1.0
+        if self.length < 8 or self.gaps and self.length / (self.gaps + 1) < LEAST_CHUNK or self._dummy():
+            return 0.0
+        total = sum(self.counts.values())
+        entropy = -sum(n / total * math.log2(n / total) for n in self.counts.values())
+        kinds = sum(any(test(c) for c in self.counts) for test in (str.isdigit, str.islower, str.isupper)) + any(
+            not c.isalnum() for c in self.counts)
+        if len(self.counts) < 5 or kinds < 2:
+            return 0.0
+        return min(1.0, entropy / 3.5) * min(1.0, 0.4 + 0.2 * kinds)
+
+
 def literal_score(value: str) -> float:
-    """How much a literal looks like a secret, 0 to 1: length, entropy, kinds of characters; prose and dummies 0."""
-    if len(value) < 8 or len(value) > 4096 or any(c.isspace() for c in value) or _DUMMY.match(value):
-        return 0.0
-    counts = Counter(value)
-    entropy = -sum(n / len(value) * math.log2(n / len(value)) for n in counts.values())
-    kinds = sum(any(test(c) for c in counts) for test in (str.isdigit, str.islower, str.isupper)) + any(not c.isalnum() for c in counts)
-    if len(counts) < 5 or kinds < 2:
-        return 0.0
-    return min(1.0, entropy / 3.5) * min(1.0, 0.4 + 0.2 * kinds)
+    """:meth:`Value.score` of one literal."""
+    return Value(value).score()
 
 
 def _tokens(text: str) -> Iterator[tuple[str, str, int, int]]:
-    for m in _LEX.finditer(text):
-        kind = m.lastgroup
-        if kind == "s":
-            yield "s", m.group()[1:-1], m.start() + 1, m.end() - 1
+    """(kind, word, start, end): ``s`` strings without their quotes, ``p`` PEM blocks, else as in the pattern."""
+    at, dead, whole = 0, dict.fromkeys("\"'`", 0), {}
+    while m := _LEX.search(text, at):
+        kind, at = m.lastgroup, m.end()
+        if kind == "q":
+            quote = m.group()
+            if m.start() < dead[quote]:
+                continue
+            end = _INSIDE[quote].match(text, at).end()
+            if text[end:end + 1] != quote:
+                # unclosed on this line, and so is every later quote of its kind before that end
+                dead[quote] = end
+                continue
+            yield "s", text[at:end], at, end
+            at = end + 1
+        elif kind in "tp":
+            # the next end of its kind; once there is none, none is looked for again
+            word, first = m.group(), at if kind == "t" else m.start()
+            closing = word if kind == "t" else "-----END "
+            if whole.get(closing) == -1:
+                continue
+            end = whole[closing] = text.find(closing, at)
+            if end < 0:
+                continue
+            if kind == "p":
+                tail = _PEM_END.match(text, end)
+                end = tail.end() if tail else end + len(closing)
+                yield "p", word[11:-5], first, end
+                at = end
+            else:
+                yield "s", text[first:end], first, end
+                at = end + 3
         else:
-            yield kind, m.group(), m.start(), m.end()
+            yield kind, m.group(), m.start(), at
 
 
-def assignments(text: str) -> Iterator[tuple[str, str, int, int]]:
-    """(name, value, start, end) of each literal that reaches a name.
+def assignments(text: str) -> Iterator[tuple[str, Value]]:
+    """(name, value) of each assignment, in order.
 
     ``name op literal``, ``"name": literal`` and ``name op unquoted-value`` are read; a joined
-    expression (``a + "b"``) takes the joined value and the span of its own literals. A name that was
-    assigned before stands for its value and place, through any number of steps: the literal is reported
-    again under the new name, at the place where it is written. Later assignments overwrite earlier ones.
+    expression (``a + "b"``) is the join of its values. Strings may be triple-quoted over lines. A name that was
+    assigned before stands for its value, through any number of steps; later assignments overwrite earlier ones. A PEM
+    block is a literal, and also assigned to its own label.
     """
-    known: dict[str, tuple[str, list[tuple[int, int]]]] = {}
-    targets, op, value, parts, joined, before = [], "", "", [], False, None
+    known: dict[str, Value] = {}
+    targets, op, value, joined, before = [], "", None, False, None
     for kind, word, a, b in _tokens(text + "\n"):
+        if kind == "p":
+            block = Value(text[a:b], (a, b))
+            yield word, block
         if targets:
             piece = None
-            if kind in ("s", "v"):
-                piece = (word, [(a, b)])
+            if kind in "sv":
+                piece = Value(word, (a, b))
+            elif kind == "p":
+                piece = block
             elif kind == "n":
-                piece = known.get(word) or ((word, [(a, b)]) if not parts and any(c.isdigit() for c in word) else ("", []))
-            if piece is not None and (joined or not parts):
-                value, parts, joined, before = value + piece[0], parts + piece[1], False, (kind, word)
+                piece = known.get(word) or (Value(word, (a, b)) if value is None and any(c.isdigit() for c in word) else Value())
+            if piece is not None and (joined or value is None):
+                value, joined, before = piece if value is None else value + piece, False, (kind, word)
                 continue
             if kind == "o" and word == "+":
                 joined = True
                 continue
-            if kind == "o" and word in _ASSIGNS and not parts and before and before[0] == "n":
+            if kind == "o" and word in _ASSIGNS and not _reaches(value) and before and before[0] == "n":
                 # ``name: type = literal`` keeps its target, ``a = b = literal`` has two
-                targets, op = targets + [before[1]] * (op != ":"), word
+                targets += [before[1]] * (op != ":")
+                op, value = word, None
                 continue
-            for target in targets if parts else ():
-                known[target] = (value, parts)
-                for x, y in parts:
-                    yield target, value, x, y
-            targets, op, value, parts, joined = [], "", "", [], False
-        if kind in ("n", "s"):
+            for target in targets if _reaches(value) else ():
+                known[target] = value
+                yield target, value
+            targets, op, value, joined = [], "", None, False
+        if kind in "ns":
             before = (kind, word)
-        elif kind == "o" and word in _ASSIGNS and before and re.fullmatch(r"[\w$.-]{1,128}", before[1]):
+        elif kind == "o" and word in _ASSIGNS and before and re.fullmatch(r"[\w$.-]+", before[1]):
             targets, op, before = [before[1]], word, None
         elif kind != "v":
             before = None
 
 
+def _reaches(value: Value | None) -> bool:
+    """Whether some literal is part of the value."""
+    return value is not None and (value.places.place is not None or bool(value.places.parts))
+
+
 def spans_of(text: str, least: float = 0.4) -> list[tuple[int, int, str]]:
     """(start, end, kind) of all secrets by start, then kind, then end; code points, end exclusive.
 
@@ -120,12 +253,19 @@ def spans_of(text: str, least: float = 0.4) -> list[tuple[int, int, str]]:
     if "AKIA" in text:
         found += [(*m.span(), "access") for m in ACCESS.finditer(text)]
     found += [(*m.span(), "hex") for m in HEX.finditer(text)]
-    if "=" in text or ":" in text:
-        if any(w in low for w in _STEMS):
-            base = list(found)
-            extra = {(a, b) for name, value, a, b in assignments(text)
-                     if name_score(name) * literal_score(value) >= least}
-            found += [(a, b, "literal") for a, b in extra if not any(x <= a and b <= y for x, y, _ in base)]
+    if ("=" in text or ":" in text or "-----BEGIN " in text) and any(w in low for w in _STEMS):
+        base, seen = sorted(found), set()
+        # the furthest end of the base spans up to each, so that one look tells if a span lies inside another
+        starts, reach = [x for x, _, _ in base], list(accumulate((y for _, y, _ in base), max))
+        extra = set()
+        for name, value in assignments(text):
+            sensitive = name_score(name)
+            if sensitive >= least and sensitive * value.score() >= least:
+                extra.update(value.places.new(seen))
+        for a, b in extra:
+            at = bisect_right(starts, a)
+            if not at or reach[at - 1] < b:
+                found.append((a, b, "literal"))
     return sorted(found, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 
 
