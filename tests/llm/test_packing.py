@@ -11,8 +11,7 @@ from tokenizers import Tokenizer
 from tidemark.llm import packing
 
 LIBRARY = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-LIBRARY.encode_special_tokens = True
-OURS = packing.Tokens(packing.vocabulary())
+OURS = packing.Tokens(packing.vocabulary(), packing.added_tokens())
 
 
 def library(text):
@@ -25,6 +24,23 @@ def test_ids_equal_the_tokenizer(text):
     assert OURS.ids(text).tolist() == library(text)
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["<|endoftext|>", "<|endof", "text|>", " ", "a", " word.", "\n", "é", "<|endoftext|><|endoftext|>"]), max_size=12).map("".join))
+def test_ids_of_added_tokens(text):
+    assert OURS.ids(text).tolist() == library(text)
+
+
+def test_an_added_token_in_a_text():
+    assert library("a <|endoftext|> b") == OURS.ids("a <|endoftext|> b").tolist() == [64, 220, 50256, 275]
+
+
+def test_more_shards_than_partitions(spark, monkeypatch):
+    cut = packing.pieces(spark.createDataFrame([(i, "a b c " * (i % 50)) for i in range(400)], "doc_id bigint, text string")).drop("ids")
+    wide = sorted(map(tuple, packing.place(cut, 9).collect()))
+    monkeypatch.setattr(packing, "MOST_PARTITIONS", 4)
+    assert sorted(map(tuple, packing.place(cut, 9).collect())) == wide
+
+
 def test_cuts():
     assert packing.cuts(5, 4) == [(0, 1), (1, 4)] and packing.cuts(8, 4) == [(0, 4), (4, 4)] and packing.cuts(4, 4) == [(0, 4)]
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -19,8 +20,10 @@ from tidemark.llm.common import pick, strings
 CAPACITY, OPEN_BINS = 1024, 8192
 # characters and documents that one shard of the packing takes; shards follow the corpus and bound a task's work
 SHARD_CHARS, SHARD_DOCS = 32_000_000, 16_000
-# ranks of byte_bpe_50k.json
-VOCABULARY = "byte_bpe_50k.tiktoken"
+# most partitions of the packing; a task then packs several shards, one after the other
+MOST_PARTITIONS = 8192
+# ranks of byte_bpe_50k.json, and the file itself, whose added tokens are whole wherever a text holds their strings
+VOCABULARY, TOKENIZER = "byte_bpe_50k.tiktoken", "byte_bpe_50k.json"
 # a worker's cache starts anew at this size; longer parts are not kept in it
 CACHED_PARTS, CACHED_CHARS = 150_000, 64
 _SIGNS = ".,!?;:"
@@ -34,11 +37,11 @@ class Tokens:
 
     The split pattern starts a word at each blank, unless it stands between white space, so the text is cut there
     and each distinct part is encoded once; most words come from the cache. Other texts are encoded as they are.
-    Parts are encoded from the vocabulary's rank file, which is several times as fast. Strings of special tokens
-    are ordinary text.
+    Parts are encoded from the vocabulary's rank file, which is several times as fast. A string of the tokenizer's
+    ``added`` tokens (string to id) is that one id, as by default in the library, and cuts the text around it.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added: dict[str, int] | None = None):
         import tiktoken
         from public_tokenizers import PATTERN
 
@@ -49,12 +52,15 @@ class Tokens:
         self.split = regex.compile(PATTERN).findall
         self.known: dict[str, bytes] = {}
         self.signs = {sign: self._word(sign) for sign in _SIGNS}
+        self.added = added or {}
+        # where two start at one place the longer is taken
+        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")").split
 
     @classmethod
-    def of(cls, path: str) -> Tokens:
+    def of(cls, path: str, added: dict[str, int] | None = None) -> Tokens:
         """One per worker process."""
         if path not in _tokenizers:
-            _tokenizers[path] = cls(path)
+            _tokenizers[path] = cls(path, added)
         return _tokenizers[path]
 
     def _word(self, word: str) -> bytes:
@@ -79,6 +85,13 @@ class Tokens:
 
     def ids(self, text: str) -> np.ndarray:
         """Ids of one text as unsigned 32-bit."""
+        if any(a in text for a in self.added):
+            # every other part is an added token
+            parts = [np.array([self.added[p]], "<u4") if i % 2 else self._ids(p) for i, p in enumerate(self.cut(text))]
+            return np.concatenate(parts)
+        return self._ids(text)
+
+    def _ids(self, text: str) -> np.ndarray:
         if _BETWEEN.search(text):
             return np.array(self.encode(text), "<u4")
         first, *rest = text.split(" ")
@@ -96,6 +109,15 @@ def vocabulary(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+def added_tokens(name: str = TOKENIZER) -> dict[str, int]:
+    """Strings and ids of the added tokens of a tokenizer's file."""
+    with open(vocabulary(name), encoding="utf-8") as f:
+        found = json.load(f)["added_tokens"]
+    if any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] for t in found):
+        raise ValueError("added tokens that depend on what stands around them")
+    return {t["content"]: t["id"] for t in found}
+
+
 def cuts(n: int, capacity: int) -> list[tuple[int, int]]:
     """(start, length) of the pieces of ``n`` ids: only longer ones are cut, and the first piece is the short one."""
     first = n % capacity or capacity
@@ -110,10 +132,10 @@ def pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity
     null or repeated ids and repeated rows are taken as they are; further columns are ignored; an empty table
     gives no rows. ``path`` names the vocabulary file, the same on every executor.
     """
-    path = path or vocabulary()
+    path, added = path or vocabulary(), added_tokens()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, end = Tokens.of(path), np.array([end_id], "<u4")
+        tokens, end = Tokens.of(path, added), np.array([end_id], "<u4")
         kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int64()]
         names = ["doc_id", "piece", "start", "length", "ids", "ids_crc32"]
 
@@ -209,7 +231,8 @@ def place(items: DataFrame, shards: int, capacity: int = CAPACITY, open_bins: in
                                               pa.array(offset, pa.int64())], names=[*names, "sequence_id", "offset"])
 
     dealt = items.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(shards)))
-    return (dealt.repartitionById(max(1, shards), F.col("shard").cast("int"))
+    partitions = min(max(1, shards), MOST_PARTITIONS)
+    return (dealt.repartitionById(partitions, F.pmod("shard", F.lit(partitions)).cast("int"))
             .sortWithinPartitions("shard", F.desc("length"), "doc_id", "piece", "ids_crc32")
             .mapInArrow(run, f"{schema}, sequence_id bigint, offset bigint"))
 
