@@ -6,6 +6,7 @@ import random
 from dataclasses import replace
 
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -171,3 +172,27 @@ def test_quantiles_of_nothing(spark):
     assert aggregates.quantiles(df, ["k"], "v", [0.5]).count() == 0
     assert aggregates.quantiles(df, [], "v", [0.5]).count() == aggregates.describe(df, "v").count() == 0
     assert [r.value for r in aggregates.quantiles(spark.createDataFrame([(None,)], "v double"), [], "v", [0.5]).collect()] == [None]
+
+
+def test_pairwise_correlations_with_missing_values(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(90, 7)) + 1e4
+    x[rng.random(x.shape) < 0.3] = np.nan
+    x[:, 5] = 3.0
+    x[1:, 6] = np.nan
+    rows = [("ab"[i % 2], [None if np.isnan(v) and i % 3 else float(v) for v in row]) for i, row in enumerate(x)] + [("a", None)]
+    df = spark.createDataFrame(rows, "k string, v array<double>").repartition(4)
+    for block in (256, 3):
+        got = {(r.k, r.i, r.j): r for r in aggregates.pairwise_correlations(df, "v", 7, ["k"], block).collect()}
+        assert len(got) == 2 * 21
+        for k, own in (("a", x[::2]), ("b", x[1::2])):
+            want = pd.DataFrame(own).corr(min_periods=2)
+            for i in range(7):
+                for j in range(i + 1, 7):
+                    r = got[k, i, j]
+                    assert r.n == int((~np.isnan(own[:, [i, j]])).all(axis=1).sum())
+                    if j >= 5:
+                        assert r.corr is None
+                    else:
+                        assert r.corr == pytest.approx(want.loc[i, j], abs=1e-9)
+    assert aggregates.pairwise_correlations(df, "v", 7).count() == 21

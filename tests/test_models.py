@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
-from pyspark.ml.regression import LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import functions as F
 
 from tidemark.operators import attribution, reduction, regress, residuals, search, seasonal, shapley, stationarity
@@ -606,6 +606,21 @@ def test_features_with_shared_prefix_stay_apart(spark):
     assert got == {"temp": 1.0, "temp_max": 3.0}
 
 
+def test_patient_boosting_keeps_the_least_validation_loss(spark):
+    rng = np.random.default_rng(32)
+    x = rng.normal(size=(160, 2))
+    y = np.sin(2 * x[:, 0]) + 0.8 * rng.normal(size=160)
+    df = spark.createDataFrame([(i, float(v), Vectors.dense(row)) for i, (row, v) in enumerate(zip(x, y))], ["i", "label", "features"])
+    train, validation = df.filter("i < 100"), df.filter("i >= 100")
+    found = regress.patient_boosting(train, validation, patience=4, rounds=40, first=3, maxDepth=3, seed=1)
+    whole = GBTRegressor(maxIter=40, maxDepth=3, seed=1).fit(train).evaluateEachIteration(validation, "squared")
+    assert found.losses == pytest.approx(whole[:len(found.losses)])
+    assert found.kept == int(np.argmin(found.losses)) + 1 == found.model.getNumTrees
+    assert len(found.losses) == min(40, found.kept + 4)
+    own = found.model.evaluateEachIteration(validation, "squared")
+    assert own[-1] == pytest.approx(min(found.losses))
+
+
 def test_trials_are_repeatable():
     space = {"a": search.categorical(1, 2, 3), "b": search.whole(1, 3), "c": search.stepped(0.1, 0.5, 0.1)}
     assert search.draw_trials(space, 10, 7) == search.draw_trials(space, 10, 7)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.functions.clean import missing
 from tidemark.functions.calendar import week_year, year_week
@@ -13,6 +16,10 @@ from tidemark.operators.ordered import attach, join_keys, keyed
 from tidemark.sources.shared import as_table
 
 
+# sums of a pair: rows with both, each side's values and squares there, products
+SUMS = ["_n", "_si", "_sj", "_qi", "_qj", "_p"]
+
+
 def weekly_mean(df: DataFrame, keys: Sequence[str], ts: str, cols: Sequence[str],
                 mode: str = "calendar_year") -> DataFrame:
     """Mean of ``cols`` per key and week, with the label ``year_week``."""
@@ -64,6 +71,60 @@ def target_correlations(df: DataFrame, target: str, cols: Sequence[str],
     return wide.select(*keys, F.explode(rows).alias("_p")).select(*keys, "_p.feature", "_p.corr", "_p.n")
 
 
+def pairwise_correlations(df: DataFrame, vector: str, width: int, keys: Sequence[str] = (), block: int = 256) -> DataFrame:
+    """Pearson correlation of every two places of an array column, each over the rows where both are known.
+
+    ``(keys, i, j, corr, n)`` for i < j; missing where either side is constant or fewer than two rows know both.
+    Tasks hold matrices instead of an aggregate for each pair: cross products of the values, of values with the other
+    side's presence, of squares with it, and of the presences, missing values counting as 0. Wide arrays are cut
+    into blocks of ``block`` places, and each two blocks are one pair of small matrices. Values are taken relative to
+    their place's mean first, which keeps the sums short. Null and NaN are missing; a null array is left out.
+    """
+    df, on = keyed(df, keys)
+    known = df.filter(F.col(vector).isNotNull()).select(*on, F.transform(F.col(vector).cast("array<double>"), lambda x: F.when(
+        ~F.isnan(x), x)).alias("_v"))
+    # one row a key and place
+    means = known.select(*on, F.posexplode("_v").alias("_i", "_x")).groupBy(*on, "_i").agg(F.avg("_x").alias("_m")).groupBy(*on).agg(
+        F.map_from_entries(F.collect_list(F.struct("_i", F.coalesce("_m", F.lit(0.0))))).alias("_c"))
+    centred = attach(known, means, on, ["_v"], how="inner").select(*on, F.transform(
+        F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.get("_v", i) - F.element_at("_c", i)).alias("_v"))
+    starts = range(0, width, block)
+    schema = T.StructType([*[centred.schema[c] for c in on], *[T.StructField(c, T.IntegerType()) for c in ("i", "j")],
+                           *[T.StructField(c, T.DoubleType()) for c in SUMS]])
+    key_list = list(on)
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict = {}
+        for pdf in batches:
+            for key, part in pdf.groupby(key_list, sort=False, dropna=False):
+                key = tuple(None if pd.isna(k) else k for k in key)
+                x = np.array([np.asarray(v, float) for v in part["_v"]])
+                m = (~np.isnan(x)).astype(float)
+                x = np.nan_to_num(x)
+                sums = held.setdefault(key, {})
+                for a in starts:
+                    for b in starts:
+                        if b < a:
+                            continue
+                        u, v, mu, mv = x[:, a:a + block], x[:, b:b + block], m[:, a:a + block], m[:, b:b + block]
+                        new = np.stack([mu.T @ mv, u.T @ mv, mu.T @ v, (u * u).T @ mv, mu.T @ (v * v), u.T @ v])
+                        sums[a, b] = sums[a, b] + new if (a, b) in sums else new
+        for key, sums in held.items():
+            for (a, b), total in sums.items():
+                i, j = (g.ravel() for g in np.meshgrid(np.arange(a, a + total.shape[1]), np.arange(b, b + total.shape[2]), indexing="ij"))
+                out = pd.DataFrame({"i": i.astype("int32"), "j": j.astype("int32")} | {c: total[n].ravel() for n, c in enumerate(SUMS)})
+                for c, k in zip(key_list, key):
+                    out[c] = k
+                yield out[out["i"] < out["j"]][schema.names]
+
+    sums = centred.mapInPandas(partial, schema).groupBy(*on, "i", "j").agg(*[F.sum(c).alias(c) for c in SUMS])
+    n, si, sj, qi, qj, p = (F.col(c) for c in SUMS)
+    spread = F.greatest(n * qi - si * si, F.lit(0.0)) * F.greatest(n * qj - sj * sj, F.lit(0.0))
+    # a constant side leaves nothing but rounding
+    flat = (n * qi - si * si <= 1e-12 * n * qi) | (n * qj - sj * sj <= 1e-12 * n * qj) | (n < 2)
+    return sums.select(*keys, "i", "j", F.when(~flat, (n * p - si * sj) / F.sqrt(spread)).alias("corr"), n.cast("long").alias("n"))
+
+
 def top_correlations(corr: DataFrame, target: str, n: int, by: str = "positive") -> DataFrame:
     """The ``n`` largest, smallest or absolutely largest correlations, without the target itself."""
     others = corr.filter((F.col("feature") != target) & F.col("corr").isNotNull())

@@ -11,7 +11,7 @@ from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
+from pyspark.ml.regression import GBTRegressionModel, GBTRegressor, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -69,6 +69,41 @@ def stopped_boosting(validation: str = "is_validation", tolerance: float = 0.01,
     return GBTRegressor(validationIndicatorCol=validation, validationTol=tolerance, **params)
 
 
+@dataclass(frozen=True)
+class Boosted:
+    """A boosted model, the validation loss after each round that was fitted, and the rounds of the best state."""
+
+    model: GBTRegressionModel
+    losses: list[float]
+    kept: int
+
+
+def patient_boosting(train: DataFrame, validation: DataFrame, patience: int = 10, rounds: int = 100, first: int = 16,
+                     **params) -> Boosted:
+    """Boosted trees up to the round of the least validation loss, given up ``patience`` rounds after it.
+
+    Rounds are fitted in growing numbers, ``first`` and then twice as many, until the loss has not fallen below its
+    least for ``patience`` rounds or ``rounds`` are done; with the same seed a longer run starts with the same
+    trees. The model holds the trees up to the least loss before that point, ties to the fewer.
+    """
+    def fitted(n: int) -> GBTRegressionModel:
+        return GBTRegressor(maxIter=n, **params).fit(train)
+
+    n = min(first, rounds)
+    while True:
+        model = fitted(n)
+        losses = list(model.evaluateEachIteration(validation, "squared"))
+        stop = best = 0
+        for stop, loss in enumerate(losses):
+            best = stop if loss < losses[best] else best
+            if stop - best >= patience:
+                break
+        done = stop - best >= patience
+        if done or n == rounds:
+            return Boosted(model if best + 1 == n else fitted(best + 1), losses[:stop + 1], best + 1)
+        n = min(2 * n, rounds)
+
+
 def sample_split(windows: DataFrame, length: int, p: float) -> DataFrame:
     """Add ``split`` by the windows themselves: the first floor((n - length) p) of a series are ``train``."""
     return windows.withColumn("split", F.when(

@@ -121,6 +121,19 @@ def m8(spark, sf_dir):
         "trees", F.lit(fitted.stages[0].getNumTrees))
 
 
+@query("m8_patience")
+def m8_patience(spark, sf_dir):
+    # the training windows but their last fifth fit, that fifth validates, the best state scores the test windows
+    model = regress.SequenceRegressor(LinearRegression(), ("sold", "revenue"), "sold", 7)
+    windows = regress.sample_split(model.windows(prio(spark, sf_dir), DAILY), 7, 0.7)
+    marked = as_table(validation_tail(windows.withColumn("train_n", cut_point(0.7))), "windows")
+    train = marked.filter("split = 'train'")
+    found = regress.patient_boosting(train.filter("NOT is_validation"), train.filter("is_validation"), patience=5, rounds=64, maxDepth=3, seed=42)
+    scored = found.model.transform(marked.filter("split = 'test'"))
+    return metrics.regression_metrics(scored, ["series"], "label", "prediction").withColumns(
+        {"trees": F.lit(found.kept), "rounds": F.lit(len(found.losses))})
+
+
 SCALED7 = ", ".join(f"lag(zx, {h}) OVER w, lag(u, {h}) OVER w" for h in range(7, 0, -1))
 WALK = f"""z0 AS (SELECT *, (sold - avg(sold) OVER s) / stddev_pop(sold) OVER s AS zx, min(revenue) OVER s AS lo, max(revenue) OVER s AS hi,
     n // 2 AS tr, (n - n // 2) // 3 AS size FROM prio WINDOW s AS (PARTITION BY series)),

@@ -49,6 +49,26 @@ def h1_lag1(spark, sf_dir):
     return t.select("series", "n", "n_obs", "used_lag", r("statistic", "statistic"), r("crit_5", "crit_5", 6))
 
 
+# lag 0 or 1 by AIC on the rows that both have; lag 0 is then fitted on all its rows
+CHOICE = """c0 AS (SELECT series, max(n) AS n, count(*) AS m, regr_syy(dy, y1) - regr_slope(dy, y1) ** 2 * regr_sxx(dy, y1) AS rss FROM d GROUP BY 1),
+    c1 AS (SELECT series, uu - b * b * vv AS rss FROM t),
+    c AS (SELECT c0.series, n, m, c0.rss AS rss0, c1.rss AS rss1, m * ln(c0.rss) + 4 > m * ln(c1.rss) + 6 AS one FROM c0 JOIN c1 ON c0.series = c1.series),
+    w AS (SELECT series, count(*) AS m, regr_slope(y - y1, y1) AS b, regr_sxx(y - y1, y1) AS sxx, regr_syy(y - y1, y1) AS syy FROM l WHERE rn > 1 GROUP BY 1),
+    z AS (SELECT c.series, c.n, CASE WHEN one THEN 1 ELSE 0 END AS used_lag, CASE WHEN one THEN c.m ELSE w.m END AS n_obs,
+    CASE WHEN one THEN t.b / sqrt(c.rss1 / (c.m - 3) / t.vv) ELSE w.b / sqrt((w.syy - w.b * w.b * w.sxx) / (w.m - 2) / w.sxx) END AS tau
+    FROM c JOIN t ON c.series = t.series JOIN w ON c.series = w.series),
+    g AS (SELECT *, CASE WHEN tau < -18.83 THEN -99 WHEN tau <= -1.61 THEN 2.1659 + 1.4412 * tau + 0.038269 * tau ** 2
+    ELSE 1.7339 + 0.93202 * tau - 0.12745 * tau ** 2 - 0.010368 * tau ** 3 END AS score FROM z)"""
+
+
+@query("h1_adf_autolag", with_views("prio", f"""{LAG1.replace("ln(revenue)", "ln(revenue) + CAST(rn AS DOUBLE) / n")}, {CHOICE} SELECT series, n, n_obs, CAST(used_lag AS INT) AS used_lag, {rs("tau", "statistic")},
+    score < -1.6448536269514722 AS stationary, 'ok' AS status FROM g"""))
+def h1_autolag(spark, sf_dir):
+    df = logged(spark, sf_dir).withColumn("y", F.col("y") + F.col("rn").cast("double") / F.col("n"))
+    t = sta.adf_test(df, DAILY, "y", max_lag=1)
+    return t.select("series", "n", "n_obs", "used_lag", r("statistic", "statistic"), "stationary", "status")
+
+
 @query("h1_adf_test")
 def h1(spark, sf_dir):
     return sta.adf_test(logged(spark, sf_dir), DAILY, "y")

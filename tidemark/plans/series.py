@@ -12,7 +12,7 @@ from tidemark.operators.ordered import Series, positions
 from tidemark.operators.sequences import last_step, sequences
 from tidemark.plans.registry import big, bigs, day, days, query, r, rs
 from tidemark.plans.tables import (
-    DAILY, EVENTS, MEASURES, PARTS, WEEKLY, daily_sales, gap_events, inspection, load, priority_sales,
+    BLOCK_ROWS, DAILY, EVENTS, MEASURES, PARTS, WEEKLY, daily_sales, gap_events, inspection, load, priority_sales,
     production, weekly, with_views)
 
 
@@ -433,6 +433,29 @@ def a15(spark, sf_dir):
     return metrics.batch_mean_loss(df, EVENTS, "loss", 25).select("user_id", r("loss", "loss"), "batches")
 
 
+TYPES = Series(("event_type",), ("ts", "event_id"), BLOCK_ROWS, "date_trunc('hour', ts)")
+
+
+@query("a15_batches_of_1000", f"""WITH e AS (SELECT event_type, coalesce(value, 0) ** 2 AS l, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS rn,
+    count(*) OVER (PARTITION BY event_type) AS n FROM events)
+    SELECT event_type, {rs("avg(m)", "loss", 3)}, count(*) AS batches FROM (SELECT event_type, avg(l) AS m FROM e WHERE rn < n GROUP BY event_type, floor((rn - 1) / 1000)) GROUP BY 1""")
+def a15_wide(spark, sf_dir):
+    value = F.coalesce("value", F.lit(0.0))
+    df = load(spark, sf_dir, "events").select("event_type", "ts", "event_id", (value * value).alias("loss"))
+    return metrics.batch_mean_loss(df, TYPES, "loss").select("event_type", r("loss", "loss", 3), "batches")
+
+
+@query("a8_pairwise_correlations", f"""WITH v AS (SELECT vec_id, unnest(range(64)) AS i, unnest(embedding) AS x FROM embeddings),
+    w AS (SELECT vec_id, CAST(i AS INT) AS i, CASE WHEN (vec_id * 7 + i) % 5 = 0 THEN NULL ELSE CAST(x AS DOUBLE) END AS x FROM v)
+    SELECT a.i, b.i AS j, {rs("corr(a.x, b.x)", "corr", 6)}, count(*) FILTER (a.x IS NOT NULL AND b.x IS NOT NULL) AS n
+    FROM w a JOIN w b ON a.vec_id = b.vec_id AND a.i < b.i GROUP BY 1, 2""")
+def a8_pairs(spark, sf_dir):
+    # 64 columns with a fifth of the values missing
+    df = load(spark, sf_dir, "embeddings").select(F.transform("embedding", lambda x, i: F.when(
+        (F.col("vec_id") * 7 + i) % 5 != 0, x.cast("double"))).alias("v"))
+    return agg.pairwise_correlations(df, "v", 64).select("i", "j", r("corr", "corr", 6), "n")
+
+
 @query("a19_density_histogram", with_views("production", f"""p AS (SELECT product, price FROM production UNION ALL SELECT 'constant', 5.0 FROM production WHERE part_id < 50),
     s0 AS (SELECT product, min(price) AS lo, max(price) AS hi, count(*) AS n, avg(price) AS mu, stddev_samp(price) AS sd FROM p GROUP BY 1),
     s AS (SELECT product, CASE WHEN hi > lo THEN lo ELSE lo - 0.5 END AS lo, CASE WHEN hi > lo THEN hi ELSE hi + 0.5 END AS hi, n, mu, nullif(sd, 0) AS sd FROM s0),
