@@ -1,4 +1,5 @@
 import itertools
+import time
 
 import numpy as np
 import pytest
@@ -59,6 +60,46 @@ def test_pages(source, want):
     assert want is None or got == want
 
 
+LINES = ["Some words of the first one, which are long enough to read.", "A second paragraph with more of them, and then some more words.",
+         "Third one here, it goes on for a while as such texts do.", "Then a fourth that says more, in the same way as before.",
+         "The fifth one ends it, with a last few words to read."]
+PS, SAID = "".join(f"<p>{x}</p>" for x in LINES), " ".join(LINES)
+
+
+# written by hand, none of them from the grammar
+@pytest.mark.parametrize("source,want", [
+    (f"<html><body>{PS}</body></html>", SAID),
+    (f"<div id='content'><h1>Title of it</h1>{PS}</div>", f"Title of it {SAID}"),
+    (f"<body><div>{PS}</div></body>", SAID),
+    (f"<body><table><tr><td><ul><li><a href=#>Home</a></li><li><a href=#>News</a></li></ul></td><td>{PS}</td></tr></table></body>", SAID),
+    (f"<body><article><header><h1>Title of it</h1></header>{PS}<aside>Short note</aside><footer>Filed under things</footer></article></body>", f"Title of it {SAID}"),
+    (f"<article><h1>Title of it</h1>{PS}<section class='related-work'><h2>Related work</h2>{PS}</section></article>", f"Title of it {SAID} Related work {SAID}"),
+    (f"<html><head><title>T</title><article>{PS}</article>", SAID),
+    (f"<html><head><meta charset=utf-8><p>{LINES[0]}{PS}", f"{LINES[0]} {SAID}"),
+    (f"<article><p>See <math><mi>x</mi></math> and <svg><text>lab</text></svg> ok, as it is said in the text.</p>{PS}</article>",
+     f"See x and lab ok, as it is said in the text. {SAID}"),
+    (f"<article>{PS}<button>Buy it</button></article>", SAID),
+    (f"<body><div class='nav'><a href=#>Home</a> <a href=#>News</a></div><div><h1>Title of it</h1>{PS}</div><div class='footer'>Copyright 2020 us</div></body>",
+     f"Title of it {SAID}"),
+])
+def test_pages_written_by_hand(source, want):
+    assert text_of(source) == want
+
+
+@pytest.mark.parametrize("source", ["<a b" * 50_000 + '"', "<a " + "x='" * 60_000, "<div>" * 20_000 + "</span>" * 40_000, "<!--" * 60_000, "<" * 200_000,
+                                    "<p><table>" + "<span>" * 12_000 + "<p></p>" * 12_000, "<a " + "x " * 100_000 + ">", "&" * 200_000, "<li>" * 40_000])
+def test_hostile_pages_are_read_in_linear_time(source):
+    start = time.perf_counter()
+    dom.read(source)
+    assert time.perf_counter() - start < 4
+
+
+def test_end_of_a_start_tag():
+    assert dom.read("<p a=\">\" b='x>y'>t").text[-1] == "t"
+    assert dom.read("<p a=\">t</p>").attributes[1] == {"a": "\""} or dom.read("<p a=\">t</p>").text[-1] == "t"
+    assert [dom.read("<p>it's <b>so</b>").text[k] for k in (2, 4)] == ["it's ", "so"]
+
+
 def test_deep_and_long_pages():
     assert text_of("<div>" * 20_000 + "x") is not None
     text = "word, " * 100_000

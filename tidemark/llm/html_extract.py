@@ -15,11 +15,19 @@ from tidemark.llm.common import pick, strings
 from tidemark.llm.html_pages import labelled_page
 
 # labelled pages that the model is trained on, and steps of the training
-PAGES, STEPS = 300, 150
+PAGES, STEPS = 400, 150
 # nodes that go through the message passing at once
 FOREST = 50_000
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
-_TEXT = ("#text", "a", "b", "strong", "em", "i", "span", "code", "br")
+# marks inside a line
+_TEXT = frozenset("#text a b strong em i span code br math mi mn mo mrow svg g text sub sup u small kbd mark abbr cite q time object font".split())
+
+
+_LINES = frozenset("p div li blockquote pre td dd section".split())
+
+
+# short ones among long ones are content all the same
+_LEAVES = _TEXT | frozenset("p li h1 h2 h3 h4 td th tr".split())
 
 
 def _kind(tag: str) -> str:
@@ -28,7 +36,9 @@ def _kind(tag: str) -> str:
         return "text"
     if tag in _TEXT:
         return "inline"
-    return tag if tag in ("article", "main", "section", "div", "p", "ul", "li", "body", "html") else "other"
+    if tag in ("h1", "h2", "h3", "h4"):
+        return "heading"
+    return tag if tag in ("article", "main", "section", "div", "p", "ul", "li", "body", "html", "td", "header", "footer", "aside", "form", "nav") else "other"
 
 
 def node_features(page: dom.Page) -> list[list[str]]:
@@ -46,10 +56,23 @@ def node_features(page: dom.Page) -> list[list[str]]:
             size[p] += size[k]
             linked[p] += linked[k]
             commas[p] += commas[k]
+    # text that is no link, directly or by lines of markup, in an element's children of some length: the mark of running text
+    running = [0] * n
+    for k in range(1, n):
+        if page.tag[k] in _LINES and size[k] - linked[k] >= 40:
+            running[page.parent[k]] += 1
+    total = max(1, size[0])
     out = []
     for k in range(n):
-        tag, at = page.tag[k], page.attributes[k]
+        tag, at, p = page.tag[k], page.attributes[k], page.parent[k]
         f = [f"t:{tag}", f"l:{_kind(tag)}:{min(8, size[k].bit_length())}"]
+        if p >= 0:
+            # the element around it; the share of the page's text in both, and its neighbours' running text
+            f.append(f"p:{_kind(tag)}:{page.tag[p]}:{'named' if at else 'plain'}")
+            f += [f"r:{_kind(tag)}:{4 * size[k] // total}", f"q:{_kind(tag)}:{4 * size[p] // total}",
+                  f"m:{_kind(tag)}:{min(4, running[k].bit_length())}"]
+            if tag not in _LEAVES:
+                f.append(f"n:{_kind(tag)}:{min(4, running[p].bit_length())}")
         if tag != "#text":
             share = linked[k] / size[k] if size[k] else 0.0
             f.append(f"a:{_kind(tag)}:{int(share * 4)}")
@@ -98,6 +121,10 @@ class Forest:
         depth = np.array(depth, np.int64)
         order = np.argsort(depth, kind="stable")
         self.levels = np.split(order, np.flatnonzero(np.diff(depth[order])) + 1) if len(order) else []
+        # place of a node in its level, so that a level's messages are summed over the level above alone
+        self.place = np.zeros(len(order), np.int64)
+        for level in self.levels:
+            self.place[level] = np.arange(len(level))
 
     def marginals(self, weights: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Sum-product: P(label) of every node, and P(parent label, child label) of every edge.
@@ -110,12 +137,12 @@ class Forest:
         own[:, 1] = np.bincount(self.rows, weights[self.cols], minlength=n)
         psi = pairs[self.kind]
         inside, up = own.copy(), np.zeros((n, 2))
-        for level in reversed(self.levels[1:]):
+        for above, level in zip(self.levels[-2::-1], self.levels[:0:-1]):
             m = np.logaddexp(psi[level, :, 0] + inside[level, None, 0], psi[level, :, 1] + inside[level, None, 1])
             m -= m.max(axis=1, keepdims=True)
             up[level] = m
             for s in (0, 1):
-                inside[:, s] += np.bincount(self.parent[level], m[:, s], minlength=n)
+                inside[above, s] += np.bincount(self.place[self.parent[level]], m[:, s], minlength=len(above))
         down, joint = np.zeros((n, 2)), np.zeros((n, 2, 2))
         for level in self.levels[1:]:
             p = self.parent[level]

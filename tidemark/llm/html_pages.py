@@ -22,6 +22,9 @@ _CONTENT = (("article", "main", "div", "section"), ("article", "content", "post"
                                                    "main-content", "article-body", "text", "body", "page-content", "hentry"))
 
 
+_TOPICS = ("work", "history", "theory", "notes", "research", "methods", "studies", "design", "science", "culture")
+
+
 class Writer:
     """One labelled page, as a tree with the label of every node."""
 
@@ -51,23 +54,32 @@ class Writer:
         for _ in range(r.choice([1, 1, 1, 2, 3])):
             self.node(parent, "#text", label, text=self.said(low, high))
             if r.random() < 0.3:
-                inner = self.node(parent, r.choice(["a", "b", "strong", "em", "i", "span", "code"]), label)
+                inner = self.node(parent, r.choice(["a", "b", "strong", "em", "i", "span", "code", "sub", "small", "math", "svg", "object"]), label)
+                if self.page.tag[inner] in ("math", "svg"):
+                    inner = self.node(inner, r.choice(["mi", "mn", "g", "text"]), label)
                 self.node(inner, "#text", label, text=self.said(1, 6))
 
     def article(self, parent: int, depth: int = 0) -> None:
         r = self.rng
-        named = self.named(_CONTENT[1])
-        tag = r.choice(_CONTENT[0]) if named or depth else r.choice(["article", "main"])
-        top = self.node(parent, tag, 1, named)
-        if depth < 2 and r.random() < 0.3:
-            return self.article(top, depth + 1)
+        if depth == 0 and r.random() < 0.12:
+            # no element around the article: its blocks stand between the other parts
+            top = parent
+        else:
+            named = self.named(_CONTENT[1])
+            tag = r.choice(_CONTENT[0]) if named or depth or r.random() < 0.6 else r.choice(["article", "main"])
+            top = self.node(parent, tag, 1, named)
+            if depth < 2 and r.random() < 0.3:
+                return self.article(top, depth + 1)
+        if r.random() < 0.15:
+            self.entry(top)
+            return
         if r.random() < 0.9:
             head = self.node(top, "header", 1) if r.random() < 0.1 else top
             self.inline(self.node(head, r.choice(["h1", "h1", "h2"]), 1), 1, 1, 14)
         # paragraphs of one page are alike: few or very many, of one word or of many
         lengths = r.choice([((1, 4, 12, 30), (30, 60, 120)), ((1,), (2, 4)), ((2, 5), (6, 12))])
         plain = r.random() < 0.4
-        for _ in range(r.choice([0, 1, 1, 2, 3, 5, 8, 14, 40, 90])):
+        for _ in range(r.choice([0, 1, 1, 2, 3, 5, 8, 14, 40, 120])):
             kind = 0 if plain else r.random()
             if kind < 0.6:
                 p = self.node(top, r.choice(["p", "p", "p", "p", "div", "pre", "blockquote"]), 1)
@@ -83,9 +95,14 @@ class Writer:
             elif kind < 0.8:
                 rows = self.node(top, "table", 1)
                 for _ in range(r.randint(1, 4)):
+                    # cells of a word or a number
                     row = self.node(rows, "tr", 1)
                     for _ in range(r.randint(1, 4)):
-                        self.inline(self.node(row, r.choice(["td", "th"]), 1), 1, 1, 6)
+                        cell = self.node(row, r.choice(["td", "td", "th"]), 1)
+                        if r.random() < 0.4:
+                            self.node(cell, "#text", 1, text=str(r.randint(1, 999)))
+                        else:
+                            self.inline(cell, 1, 1, 6)
             elif kind < 0.85:
                 figure = self.node(top, "figure", 1)
                 self.node(figure, "img", 1)
@@ -93,6 +110,46 @@ class Writer:
             else:
                 self.part(top, r.choice(["advert", "share", "notice", "sidebar", "comments", "form"]))
 
+    def paragraphs(self, parent: int, count: int, low: int, high: int) -> None:
+        for _ in range(count):
+            self.inline(self.node(parent, "p", 1), 1, low, high)
+
+    def entry(self, top: int) -> None:
+        """An article with a head, a foot and notes at its side, and sections whose names sound like other parts."""
+        r = self.rng
+        if r.random() < 0.7:
+            head = self.node(top, "header", 1)
+            self.inline(self.node(head, r.choice(["h1", "h2"]), 1), 1, 1, 12)
+        self.paragraphs(top, r.randint(1, 6), 5, r.choice([12, 40]))
+        if r.random() < 0.5:
+            odd = r.choice([n for _, names in _PARTS.values() for n in names if "-" not in n])
+            inner = self.node(top, r.choice(["section", "section", "div"]), 1, {r.choice(["class", "id"]): f"{odd}-{r.choice(_TOPICS)}"})
+            self.inline(self.node(inner, "h2", 1), 1, 1, 6)
+            self.paragraphs(inner, r.randint(1, 4), 8, 40)
+        if r.random() < 0.6:
+            side = self.node(top, "aside", 0, self.named(_PARTS["sidebar"][1]) if r.random() < 0.5 else {})
+            self.inline(self.node(side, r.choice(["p", "div", "h3"]), 0), 0, 1, r.choice([6, 25]))
+        self.paragraphs(top, r.randint(0, 4), 5, 40)
+        if r.random() < 0.7:
+            foot = self.node(top, "footer", 0, self.named(("entry-footer", "meta", "post-meta", "tags")) if r.random() < 0.5 else {})
+            self.inline(self.node(foot, r.choice(["p", "div", "span"]), 0), 0, 1, r.choice([4, 12]))
+
+    def rows(self, parent: int, before: list[str], after: list[str]) -> None:
+        """A page laid out as a table: one cell holds the article, the others what is around it."""
+        r = self.rng
+        table = self.node(parent, "table", 0)
+        body = self.node(table, "tbody", 0) if r.random() < 0.3 else table
+        for kinds in (before[:1], None, after[:1]):
+            row = self.node(body, "tr", 0)
+            if kinds is None:
+                for kind in before[1:2]:
+                    self.part(self.node(row, "td", 0), kind)
+                self.article(self.node(row, "td", 1), 1)
+                for kind in after[1:2]:
+                    self.part(self.node(row, "td", 0), kind)
+            for kind in kinds or ():
+                self.part(self.node(row, "td", 0), kind)
+
     def part(self, parent: int, kind: str) -> None:
         """A part that is not content: links, short lines, or whole sentences, which only its place tells from content."""
         r = self.rng
@@ -131,6 +188,10 @@ def labelled_page(seed: int) -> tuple[Page, list[int]]:
     before = [k for k in ("header", "menu", "notice", "advert", "form", "sidebar") if r.random() < 0.5]
     after = [k for k in ("share", "comments", "sidebar", "advert", "form", "notice", "footer") if r.random() < 0.5]
     r.shuffle(before)
+    if r.random() < 0.08:
+        w.rows(parent, before, after)
+        w.page.end = [len(w.page.tag)] * len(w.page.tag)
+        return w.page, w.labels
     for kind in before:
         w.part(parent, kind)
     w.article(parent)
