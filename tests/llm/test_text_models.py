@@ -137,6 +137,115 @@ def test_licenses_held_out_wordings(spark, license_model):
     assert licenses.scan(docs.limit(0), license_model).count() == 0
 
 
+BSD = """Copyright (c) 2011, A. Person
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+"""
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+"""
+GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+"""
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/.
+"""
+
+
+def led(text, leader):
+    return "".join(f"{leader}{line}\n" for line in text.splitlines())
+
+
+@pytest.mark.parametrize("leader", ["", " * ", "# ", "// ", "-- ", "REM ", "dnl "])
+def test_wrapped_licenses(spark, license_model, leader):
+    code = "\n".join(f"int value_{k} = {k};" for k in range(40))
+    texts = {1: ("bsd", BSD), 2: ("mit", MIT), 3: ("gpl", GPL), 4: ("mpl", MPL)}
+    rows = [(d, code + "\n\n" + led(t, leader) + "\n" + code) for d, (_, t) in texts.items()]
+    got = licenses.by_document(licenses.scan(spark.createDataFrame(rows, "doc_id bigint, text string"), license_model)).collect()
+    assert {r.doc_id: r.licenses for r in got} == {d: f for d, (f, _) in texts.items()}
+
+
+def test_prose_is_no_license(spark, license_model):
+    rows = [(k, t) for k, t in enumerate([
+        "The apache scouts were released under the condition that they leave.", "Her software company lost its license to operate in the city.",
+        "The permission of the publisher was never asked, and the copyright lapsed.", "They made free copies of the work for any person who came.",
+        "A license is a text\nthat grants permission to use software,\nand this essay is about such texts."])]
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id bigint, text string"), license_model)
+    assert got.where("confirmed").count() == 0
+
+
+def plain_units(text):
+    """Every paragraph of a text as (first line, last line, words), by the rules in the docstrings."""
+    word = re.compile(r"[^\W_]+(?:[.-]\d+)*")
+    lines = text.split("\n")
+    out = {(k, k): line for k, line in enumerate(lines)}
+    for j in range(0, len(lines), licenses.STEP):
+        run = []
+        for k in [*range(j, min(len(lines), j + licenses.STRETCH)), None]:
+            if k is not None and word.search(lines[k]) and len(lines[k]) <= licenses.WRAPPED:
+                run.append(k)
+                continue
+            if len(run) > 1 and (j == 0 or run[-1] >= j + licenses.STEP):
+                out[run[0], run[-1]] = "\n".join(lines[run[0]:run[-1] + 1])
+            run = []
+    return {at: word.findall(t.lower()) for at, t in out.items()}
+
+
+def grams_of(words):
+    return {*words, *(f"{a} {b}" for a, b in zip(words, words[1:]))}
+
+
+def test_license_claims_against_plain_scoring(spark, license_model):
+    m = license_model
+    weights = {r.gram: r.w for r in m.weights.collect()}
+    filler = "\n".join("the sun is over the hill and it was there" for _ in range(30))
+    texts = [BSD, MIT + GPL, led(MPL, "# ") + "short line\n" + filler, filler + "\n" + GPL + filler, "Released under the MIT License.\n" * 50,
+             "\n\n", "Licensed under CC BY 4.0.\n" + "x" * 300 + "\nLicensed under\nCC BY-NC 4.0.", "word " * 50_000 + GPL.replace("\n", " ")]
+    want = set()
+    for d, text in enumerate(texts):
+        claims = []
+        for (first, last), words in plain_units(text).items():
+            grams = grams_of(words)
+            s = np.array(m.bias) + np.sum([weights[g] for g in grams if g in weights] or [np.zeros(len(m.bias))], axis=0)
+            e = np.exp((s - s.max()) / m.heat)
+            best = int(np.argmax(s))
+            if m.classes[best] == licenses.UNKNOWN or 1 / e.sum() < licenses.ACCEPT:
+                continue
+            like = []
+            for t in licenses.TEMPLATES[m.classes[best]]:
+                mine = grams_of(re.findall(r"[^\W_]+(?:[.-]\d+)*", t.lower()))
+                like.append(len({g for g in mine if g in grams and g in weights}) / len(mine))
+            claims.append((max(like) >= licenses.CONFIRM, first == last, max(like), 1 / e.sum(), -first, -last, first, last, m.classes[best]))
+        for c in claims:
+            if not any(x[8] == c[8] and x[6] <= c[7] and x[7] >= c[6] and x[:8] > c[:8] for x in claims):
+                want.add((d, c[6], c[7], c[8], round(c[3], 6), round(c[2], 6), bool(c[0])))
+    got = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), m).drop("row_no").collect()
+    found = {(r.doc_id, r.para, r.last, r.family, round(r.probability, 6), round(r.similarity, 6), r.confirmed) for r in got}
+    assert found == want and len(got) == len(found) and {d for d, *_ in want} >= {0, 1, 2, 3, 4, 6, 7}
+
+
+def test_telling_words(license_model):
+    """All grams of harmless words together leave the unknown class ahead."""
+    rows = license_model.weights.collect()
+    telling = set(license_model.telling)
+    assert 0 < len(telling) < len({r.gram for r in rows if " " not in r.gram})
+    w = np.array([r.w for r in rows if not telling & set(r.gram.split(" "))])
+    gap = license_model.bias[-1] - np.array(license_model.bias[:-1])
+    assert (np.maximum(w[:, :-1] - w[:, -1:], 0).sum(axis=0) < gap).all() and license_model.loss < 0.1
+
+
 def test_license_plan_is_native(spark, license_model, capsys):
     licenses.scan(spark.read.parquet(f"{SF}/documents.parquet"), license_model).explain()
     assert not re.search("Python|Pandas|Arrow", capsys.readouterr().out)

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import CountVectorizer
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import pick
@@ -65,10 +66,30 @@ TEMPLATES = {
         "This software is proprietary and confidential. Unauthorized copying of this file is strictly prohibited.",
     ],
 }
+# prose that says licence, copyright, software or free without granting anything: hard cases of the unknown class
+PROSE = [
+    "The licence of the driver was taken away after the third accident.", "She applied for a license to sell wine in the old harbour.",
+    "He holds a master's degree and a license to practice medicine.", "Copyright law was changed twice in that decade.",
+    "The software was slow, so they went back to paper.", "The GNU is a large antelope of the southern plains.",
+    "Apache helicopters were seen over the valley on Monday.", "MIT and Harvard share a library on the other bank of the river.",
+    "The museum is free and open to the public on Sundays.", "All rights and duties pass to the heirs.",
+    "The work was released in 1987 and sold well.", "You may not park here without permission of the owner.",
+    "The court asked whether the source of the claim could be named.", "Free software was the subject of her first talk.",
+    "The contract was terminated under the terms agreed in writing.", "The files were copied to the new machine without loss.",
+    "This version of the story is the one that most people know.", "A copy of the letter was found in the public archive.",
+    "Parliament debated the licensing of taxis until midnight.", "The foundation published a list of all its members.",
+    "Any person who has lost a bag should ask at the desk.", "The notice above the door was in Latin.",
+    "The documentation of the bridge shows no such condition.", "They were permitted to use the hall, provided that it was clean.",
+    "His copyright claim against the newspaper was rejected.", "Warranties on used cars are rarely worth the paper.",
+    "The source code of the game was stolen last year.", "The general public was not admitted to the trial.",
+    "Which license should a young project choose? Opinions differ.", "She compared the Apache and MIT licenses in an essay.",
+]
 # bounds of the training: copies of each template with words left out, and documents that give paragraphs of the unknown class
 COPIES, PLAIN_DOCS, PLAIN_PARAGRAPHS = 40, 300, 2000
 # least share of a template's words that a confirmed paragraph has, and least probability of a prediction
 CONFIRM, ACCEPT = 0.6, 0.5
+# longest line that counts as wrapped, lines of a stretch, and lines between the starts of two stretches
+WRAPPED, STRETCH, STEP = 200, 24, 12
 
 
 def words_of(text: str) -> str:
@@ -87,12 +108,15 @@ def _grams(df: DataFrame) -> DataFrame:
 @dataclass(frozen=True)
 class Model:
     """``weights``: (gram, w array<double>), one weight a class; ``bias`` and ``classes`` in the same order;
-    ``heat``: the divisor of all scores that makes the probabilities fit held-out paragraphs."""
+    ``heat``: the divisor of all scores that makes the probabilities fit held-out paragraphs, ``loss`` their log loss there;
+    ``telling``: words of which every paragraph that a family claims has at least one."""
 
     weights: DataFrame
     bias: list[float]
     classes: list[str]
     heat: float
+    loss: float
+    telling: list[str]
 
 
 def templates(spark: SparkSession) -> DataFrame:
@@ -101,17 +125,47 @@ def templates(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "family string, template int, text string")
 
 
-def paragraphs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def lines_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, row_no, para, text): the non-blank lines of every document; ``row_no`` tells rows alike in id apart."""
     return (pick(docs, doc_id=f"{doc_id} bigint", text=f"{text} string").withColumn("row_no", F.monotonically_increasing_id())
             .select("doc_id", "row_no", F.posexplode(F.split("text", "\n")).alias("para", "text")).where("trim(text) != ''"))
 
 
+def paragraphs(docs: DataFrame, telling: list[str], doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, row_no, para, last, text): lines, and wrapped lines joined, that have a word of ``telling``.
+
+    ``para`` and ``last`` are line numbers from 0. Every line is a paragraph of its own. Besides, neighbouring lines of at
+    most ``WRAPPED`` characters are joined; a line without a letter or digit (blank, or a bare comment leader) or a longer
+    line ends the paragraph. Comment leaders are no words; ``rem`` and ``dnl`` at the start of a line are removed. Paragraphs
+    are joined within stretches of ``STRETCH`` lines that start every ``STEP`` lines, so whatever spans up to
+    ``STRETCH - STEP + 1`` lines is whole in one of them; parts that the stretch before holds too are left to that one.
+    """
+    has = ", ".join("'" + w.replace("\\", "\\\\").replace("'", "\\'") + "'" for w in telling)
+    hot = f"exists({words_of('l')}, w -> w IN ({has}))" if telling else "false"
+    lines = f"transform(split(text, '\\n'), (l, i) -> struct(i AS line, l AS text, {hot} AS hot))"
+    kind = "array<struct<para:int,last:int,text:string>>"
+    # the paragraphs of one stretch: a line goes to the last paragraph or opens one
+    joined = f"""aggregate(slice(lines, j + 1, {STRETCH}), CAST(array() AS {kind}), (a, s) -> CASE
+        WHEN length(s.text) > {WRAPPED} OR NOT s.text RLIKE '[\\\\p{{L}}\\\\p{{N}}]' THEN a
+        WHEN size(a) > 0 AND try_element_at(a, -1).last = s.line - 1 THEN concat(slice(a, 1, size(a) - 1), array(named_struct(
+            'para', try_element_at(a, -1).para, 'last', s.line, 'text', concat(try_element_at(a, -1).text, '\\n', s.text))))
+        ELSE concat(a, array(named_struct('para', s.line, 'last', s.line, 'text', s.text))) END)"""
+    starts = f"filter(sequence(0, size(lines) - 1, {STEP}), j -> exists(slice(lines, j + 1, {STRETCH}), s -> s.hot))"
+    runs = f"flatten(transform({starts}, j -> filter({joined}, r -> r.last > r.para AND (j = 0 OR r.last >= j + {STEP}))))"
+    alone = "transform(filter(lines, s -> s.hot), s -> named_struct('para', s.line, 'last', s.line, 'text', s.text))"
+    rows = (pick(docs, doc_id=f"{doc_id} bigint", text=f"{text} string").withColumn("row_no", F.monotonically_increasing_id())
+            .select("doc_id", "row_no", F.expr(lines).alias("lines")))
+    # outer, since the plain form would work out all lines twice to drop empty lists beforehand
+    found = rows.select("doc_id", "row_no", F.explode_outer(F.expr(f"concat({alone}, {runs})")).alias("p")).where("p IS NOT NULL")
+    return found.select("doc_id", "row_no", "p.para", "p.last",
+                        F.regexp_replace("p.text", r"(?im)^[ \t]*(?:rem|dnl)[ \t]", " ").alias("text"))
+
+
 def training_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", copies: int = COPIES, plain_docs: int = PLAIN_DOCS, plain: int = PLAIN_PARAGRAPHS) -> DataFrame:
     """(label, fold, grams): copies of every template with about one word in six left out, and plain paragraphs.
 
     Plain ones are from the ``plain_docs`` documents of the least id hash, at most ``plain`` paragraphs without the word
-    license, plus shuffled words of the templates, so that single words of a notice are no notice.
+    license, the sentences of ``PROSE``, and shuffled words of the templates, so that single words of a notice are no notice.
     """
     spark = docs.sparkSession
     base = (templates(spark).select("family", "template", "text", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("copy"))
@@ -125,9 +179,11 @@ def training_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", c
     named = pick(docs, doc_id=f"{doc_id} bigint", text=f"{text} string")
     # at most plain_docs ids
     drawn = named.select("doc_id").distinct().where("doc_id IS NOT NULL").orderBy(F.xxhash64("doc_id")).limit(plain_docs)
-    calm = (paragraphs(named.join(F.broadcast(drawn), "doc_id", "left_semi")).where("NOT lower(text) RLIKE 'licen|copyright|gnu|apache'").orderBy(F.xxhash64("doc_id", "para"), "text").limit(plain)
+    calm = (lines_of(named.join(F.broadcast(drawn), "doc_id", "left_semi")).where("NOT lower(text) RLIKE 'licen|copyright|gnu|apache'").orderBy(F.xxhash64("doc_id", "para"), "text").limit(plain)
             .select(F.lit(UNKNOWN).alias("label"), F.pmod(F.xxhash64("doc_id", "para"), F.lit(5)).cast("int").alias("fold"), F.expr(words_of("text")).alias("words")))
-    rows = notices.union(mixed).union(calm)
+    hard = (spark.createDataFrame(list(enumerate(PROSE)), "k int, text string").select(
+        F.lit(UNKNOWN).alias("label"), (F.col("k") % 5).alias("fold"), F.expr(words_of("text")).alias("words"), F.explode(F.sequence(F.lit(1), F.lit(4)))).drop("col"))
+    rows = notices.union(mixed).union(calm).union(hard)
     return rows.withColumn("grams", F.array_distinct(F.expr(GRAMS))).select("label", "fold", "grams")
 
 
@@ -151,10 +207,38 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int
     grid = [0.5, 0.75, 1.0, 1.5, 2.0, 3.0]
     loss = raw.agg(*[F.avg(F.expr(f"ln(aggregate(s, 0D, (a, v) -> a + exp((v - array_max(s)) / {h}))) - (s[k] - array_max(s)) / {h}")).alias(str(k))
                      for k, h in enumerate(grid)]).first()
-    heat = min(zip([v if v is not None else 0.0 for v in loss], grid))[1]
+    least_loss, heat = min(zip([v if v is not None else 0.0 for v in loss], grid))
     matrix, bias = model.coefficientMatrix.toArray(), model.interceptVector.toArray()
     rows_ = [(g, [float(v) for v in matrix[:, k]]) for k, g in enumerate(vocabulary.vocabulary)]
-    return Model(spark.createDataFrame(rows_, "gram string, w array<double>"), [float(b) for b in bias], classes, heat)
+    # at most one row a word of the vocabulary
+    common = [r.w for r in rows.where(F.col("label") == UNKNOWN).select(F.explode("grams").alias("w")).join(
+        F.broadcast(spark.createDataFrame([(g,) for g in vocabulary.vocabulary if " " not in g], "w string")), "w", "left_semi")
+        .groupBy("w").count().orderBy(F.desc("count"), "w").collect()]
+    return Model(spark.createDataFrame(rows_, "gram string, w array<double>"), [float(b) for b in bias], classes, heat,
+                 float(least_loss), telling_words(vocabulary.vocabulary, matrix, bias, common))
+
+
+def telling_words(grams: list[str], matrix: np.ndarray, bias: np.ndarray, common: list[str]) -> list[str]:
+    """Words without which no family beats the unknown class, the last one: all words of ``grams`` but harmless ones.
+
+    Words that plain text uses most are tried first. They stay harmless while all grams made only of harmless words, taken
+    together, lift no family above the unknown class; a paragraph of no other words is then unknown for certain.
+    """
+    lift, gap = np.maximum(matrix[:-1] - matrix[-1:], 0.0), bias[-1] - bias[:-1]
+    places: dict[str, list[int]] = {}
+    for k, g in enumerate(grams):
+        for w in set(g.split(" ")):
+            places.setdefault(w, []).append(k)
+    harmless: set[str] = set()
+    total = np.zeros(len(gap))
+    if (gap > 0).all():
+        for w in [*common, *sorted(places.keys() - set(common))]:
+            new = [k for k in places.get(w, []) if all(v == w or v in harmless for v in grams[k].split(" "))]
+            more = total + lift[:, new].sum(axis=1)
+            if (more < gap - 1e-9).all():
+                harmless.add(w)
+                total = more
+    return sorted(places.keys() - harmless)
 
 
 def _as_array(column: str):
@@ -164,32 +248,40 @@ def _as_array(column: str):
 
 
 def scan(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text", accept: float = ACCEPT, confirm: float = CONFIRM) -> DataFrame:
-    """(doc_id, row_no, para, family, probability, similarity, confirmed): every paragraph that some licence family claims.
+    """(doc_id, row_no, para, last, family, probability, similarity, confirmed): every paragraph that some licence family claims.
 
-    A paragraph is a line. The family is the likeliest class; paragraphs whose class is unknown, or whose probability is below
-    ``accept``, are left out. ``similarity`` is the largest share of a template's grams that the paragraph has, over
-    templates of that family; a prediction is confirmed from ``confirm`` on. Only grams with a weight matter, so a paragraph
-    without any is unknown and never leaves the first join, which is exact. Null or empty texts give nothing, null ids
-    stay null, repeated rows are told apart by ``row_no``; an empty table gives no rows.
+    Paragraphs are lines and joined wrapped lines (:func:`paragraphs`), ``para`` to ``last`` their line numbers. The family is
+    the likeliest class; paragraphs whose class is unknown, or whose probability is below ``accept``, are left out.
+    ``similarity`` is the largest share of a template's grams that the paragraph has, over templates of that family; a
+    prediction is confirmed from ``confirm`` on. Of overlapping paragraphs of one family the best stays: confirmed ones before
+    others, then single lines, then the more similar, the likelier, the earlier. Families of equal score: the first one named
+    in ``TEMPLATES``. Paragraphs without a telling word cannot be claimed and never leave their document's row, which is
+    exact. Null or empty texts give nothing, null ids stay null, repeated rows are told apart by ``row_no``; an empty table
+    gives no rows; further columns are not read.
 
     Weights are one row per gram of the vocabulary, at most 4000, so they may go to every executor.
     """
     n = len(model.classes)
-    grams = _grams(paragraphs(docs, doc_id, text)).select("doc_id", "row_no", "para", F.explode("grams").alias("gram"))
+    at = ["doc_id", "row_no", "para", "last"]
+    grams = _grams(paragraphs(docs, model.telling, doc_id, text)).select(*at, F.explode("grams").alias("gram"))
     sums = [F.sum(F.col("w")[k]).alias(f"s{k}") for k in range(n)]
-    scored = (grams.join(F.broadcast(model.weights), "gram").groupBy("doc_id", "row_no", "para")
-              .agg(*sums, F.collect_list("gram").alias("grams")))
+    scored = grams.join(F.broadcast(model.weights), "gram").groupBy(*at).agg(*sums, F.collect_list("gram").alias("grams"))
     total = F.array(*[(F.col(f"s{k}") + F.lit(model.bias[k])) / F.lit(model.heat) for k in range(n)])
     top = "array_max(s)"
     labels = F.array(*map(F.lit, model.classes))
-    best = (scored.select("doc_id", "row_no", "para", "grams", total.alias("s"))
+    best = (scored.select(*at, "grams", total.alias("s"))
             .withColumn("probability", F.expr(f"1D / aggregate(s, 0D, (a, v) -> a + exp(v - {top}))"))
             .withColumn("family", F.element_at(labels, F.expr(f"CAST(array_position(s, {top}) AS INT)")))
             .where((F.col("family") != UNKNOWN) & (F.col("probability") >= accept)))
     known = (_grams(templates(docs.sparkSession)).groupBy("family").agg(F.collect_list("grams").alias("texts")))
     alike = F.expr("array_max(transform(texts, t -> CAST(size(array_intersect(t, grams)) AS DOUBLE) / size(t)))")
-    return (best.join(F.broadcast(known), "family").withColumn("similarity", alike)
-            .select("doc_id", "row_no", "para", "family", "probability", "similarity", (F.col("similarity") >= confirm).alias("confirmed")))
+    claims = (best.join(F.broadcast(known), "family").withColumn("similarity", alike)
+              .select(*at, "family", "probability", "similarity", (F.col("similarity") >= confirm).alias("confirmed"))
+              .withColumn("mark", F.expr("struct(confirmed, para = last AS single, similarity, probability, -para AS early, -last AS short, para, last)")))
+    # a paragraph has at most STRETCH lines, so the frame holds few claims however many the document has
+    near = Window.partitionBy("row_no", "family").orderBy("para").rangeBetween(-STRETCH, STRETCH)
+    return (claims.withColumn("near", F.collect_list("mark").over(near))
+            .where("NOT exists(near, x -> x.para <= mark.last AND x.last >= mark.para AND x > mark)").drop("near", "mark"))
 
 
 def by_document(scanned: DataFrame) -> DataFrame:
