@@ -76,6 +76,28 @@ def test_adf_matches_brute_force(spark):
     assert got["ar"].stationary and not got["walk"].stationary
 
 
+def test_adf_by_width_class(spark, monkeypatch):
+    rng = np.random.default_rng(21)
+    named = {f"n{n}": np.cumsum(rng.normal(size=n)) * 0.3 + rng.normal(size=n) for n in (2, 3, 5, 9, 24, 60, 61, 900)}
+    widths = []
+    made = stationarity._lag_gramian
+    monkeypatch.setattr(stationarity, "_lag_gramian", lambda z, s, keys, w: widths.append(w) or made(z, s, keys, w))
+    got = {x.k: x for x in stationarity.adf_test(frame(spark, **named), S, "y").collect()}
+    # bounds 9 // 2 - 2 = 2, 9 for 24 rows, 11 for 60 and 61, 21 for 900; the shortest have none
+    assert widths == [0, 2, 11, 21]
+    for k, y in named.items():
+        (alone,) = stationarity.adf_test(frame(spark, **{k: y}), S, "y").collect()
+        if alone.status == "ok":
+            assert (got[k].used_lag, got[k].n_obs, got[k].stationary) == (alone.used_lag, alone.n_obs, alone.stationary)
+            assert got[k].statistic == pytest.approx(alone.statistic, abs=1e-9)
+            if len(y) > 20:
+                assert got[k].statistic == pytest.approx(adf_by_hand(y)[0], abs=1e-6)
+        else:
+            assert got[k].status == alone.status
+    assert {k for k in got if got[k].status == "ok"} >= {"n24", "n60", "n61", "n900"}
+    assert stationarity.adf_test(frame(spark, n9=named["n9"]).limit(0), S, "y").count() == 0
+
+
 def test_adf_of_unusable_series(spark):
     got = {x.k: x for x in stationarity.adf_test(frame(spark, flat=[2.0] * 30, tiny=[1.0, 2.0]), S, "y").collect()}
     assert got["flat"].status == "singular" and got["tiny"].status == "too_short"

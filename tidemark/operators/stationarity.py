@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -13,6 +14,7 @@ from pyspark.sql import types as T
 
 from tidemark.operators.gram import gramian, solve
 from tidemark.operators.ordered import Series, attach, framed, join_keys
+from tidemark.sources.shared import as_table
 
 # Fixed published values, regression with constant, one series.
 # P-value: normal distribution of a polynomial in the statistic (MacKinnon 1994).
@@ -110,43 +112,68 @@ def _adf_row(n_max: int, gram: np.ndarray, head: np.ndarray, n_obs: int, autolag
     return float(beta[1] / math.sqrt(sigma2 * inverse[1, 1])), lag, n_obs
 
 
+# classes double in width; bounds of 0 and below are class 0
+WIDTH_CLASS = "CAST(ceil(log2(greatest(_bound, 1))) AS INT)"
+
+
+def width_classes(stats: DataFrame) -> dict[int, int]:
+    """Class and largest lag bound in it, of series with ``_bound``: one row per class comes back, some ten at most."""
+    rows = stats.groupBy(F.expr(WIDTH_CLASS).alias("c")).agg(F.max("_bound").alias("w")).collect()
+    return {r.c: max(0, r.w) for r in rows}
+
+
+def _lag_gramian(z: DataFrame, s: Series, keys: list[str], width: int) -> DataFrame:
+    """Cross products of constant, level before, ``width`` differences before, and difference, per series."""
+    def made(w: WindowSpec) -> dict[str, Column]:
+        return {f"_z{i}": F.lag("_z", i).over(w) for i in range(1, width + 2)}
+
+    usable = framed(z, s, width + 1, 0, made).filter(
+        "rn >= _bound + 2 AND _z IS NOT NULL AND _z1 IS NOT NULL").selectExpr(
+        *[f"`{k}`" for k in keys], "1.0D AS _one", "_z1 AS _level", "_z - _z1 AS _x",
+        *[f"coalesce(_z{i} - _z{i + 1}, 0.0D) AS _dz{i}" for i in range(1, width + 1)])
+    return gramian(usable, keys, ["_one", "_level", *[f"_dz{i}" for i in range(1, width + 1)], "_x"])
+
+
 def adf_test(df: DataFrame, s: Series, col: str, max_lag: int | None = None, autolag: bool = True,
              longest: int | None = None, alpha: float = 0.05) -> DataFrame:
     """One row per series: statistic, p-value, critical values, used lag, decision.
 
     ``df`` has ``rn`` and ``n`` and no missing ``col``. The lag is chosen by AIC up to
     the bound for the series length, or is ``max_lag`` itself without ``autolag``.
-    Neither ``max_lag`` nor ``longest`` (an upper bound of the series length) given,
-    one aggregate job looks up the longest series.
+    Neither ``max_lag`` nor ``longest`` (an upper bound of the series length) given, the
+    series are put in classes by their bound (:func:`width_classes`), each with a matrix of
+    its own width, so a short series never gets the lag columns of the longest one. The
+    means of the series are then written, and so are the scaled rows if there are several classes.
     """
     keys = list(s.keys)
-    if max_lag is None:
-        if longest is None:
-            longest = df.agg(F.max("n")).first()[0] or 1
+    if max_lag is not None:
+        width, bound = max_lag, F.least(F.lit(max_lag), F.floor(F.col("n") / 2) - 2).cast("int")
+    elif longest is not None:
         width = max(0, min(math.ceil(12 * (longest / 100) ** 0.25), longest // 2 - 2))
         bound = F.least(lag_bound(F.col("n")), F.lit(width))
     else:
-        width = max_lag
-        bound = F.least(F.lit(max_lag), F.floor(F.col("n") / 2) - 2).cast("int")
+        width, bound = None, lag_bound(F.col("n"))
     stats = df.groupBy(*keys).agg(
         F.avg(col).alias("_mean"), F.stddev_pop(col).alias("_sd"), F.max("n").alias("n")).withColumn(
         "_bound", bound)
+    classes = {}
+    if width is None:
+        stats = as_table(stats, "adf-series")
+        classes = width_classes(stats)
+        width = max(classes.values(), default=0)
     z = attach(df.select(*keys, "rn", col), stats, keys, ["rn"], how="inner").withColumn(
         "_z", (F.col(col) - F.col("_mean")) / F.nullif(F.col("_sd"), F.lit(0.0)))
     by_rn = Series(s.keys, ("rn",), s.block_rows)
-
-    def made(w: WindowSpec) -> dict[str, Column]:
-        return {f"_z{i}": F.lag("_z", i).over(w) for i in range(1, width + 2)}
-
-    usable = framed(z, by_rn, width + 1, 0, made).filter(
-        "rn >= _bound + 2 AND _z IS NOT NULL AND _z1 IS NOT NULL").selectExpr(
-        *[f"`{k}`" for k in keys], "1.0D AS _one", "_z1 AS _level", "_z - _z1 AS _x",
-        *[f"coalesce(_z{i} - _z{i + 1}, 0.0D) AS _dz{i}" for i in range(1, width + 1)])
-    names = ["_one", "_level", *[f"_dz{i}" for i in range(1, width + 1)], "_x"]
+    if len(classes) > 1:
+        z = as_table(z, "adf-rows")
+        grams = reduce(DataFrame.union, [_lag_gramian(z.filter(f"{WIDTH_CLASS} = {c}"), by_rn, keys, w)
+                                         for c, w in sorted(classes.items())])
+    else:
+        grams = _lag_gramian(z, by_rn, keys, width)
     heads = z.filter(F.col("rn") <= F.col("_bound") + 1).groupBy(*keys).agg(
         F.transform(F.sort_array(F.collect_list(F.struct("rn", "_z"))), lambda v: v["_z"]).alias("head"))
     inputs = join_keys(join_keys(stats.select(*keys, "n", F.col("_bound").alias("bound")),
-                                 gramian(usable, keys, names), keys, "left"), heads, keys, "left")
+                                 grams, keys, "left"), heads, keys, "left")
 
     crit = list(CRITICAL)
     schema = T.StructType([df.schema[k] for k in keys] + [
