@@ -15,6 +15,7 @@ from tidemark.sources.shared import as_table
 # rows of a block of vectors, and the most bytes of query blocks sent to every executor at once
 BLOCK, SENT_BYTES = 1024, 8 << 20
 BINS = 256
+HALF = 1 << 63
 
 
 def quantize(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", factor: int = 256) -> DataFrame:
@@ -55,9 +56,19 @@ def _matrix(values: bytes, n: int, dim: int, wide: bool) -> np.ndarray:
     return m if wide else m.astype(np.float64)
 
 
-def _scores(q: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """Integer inner products, exact: by floating point where all sums stay below 2^53, else by integers."""
-    return (q @ c.T).astype(np.int64)
+def _scores(q: np.ndarray, c: np.ndarray, own: np.ndarray, bound: int) -> np.ndarray:
+    """Integer inner products plus ``bound``, unsigned: by floating point where all sums stay below 2^52, else by integers.
+
+    Integers wrap around, so a score that fits 64 bits is right whatever its terms are. Where the bound allows larger
+    ones, scores near the limit are worked out in whole; a score beyond it, but for that of a vector with itself, raises.
+    """
+    score = (q @ c.T).astype(np.int64)
+    if bound == HALF:
+        near = (np.abs(q.astype(np.float64) @ c.T.astype(np.float64)) > 0.99 * HALF) & ~own
+        for i, j in zip(*np.nonzero(near)):
+            if not -HALF <= sum(int(a) * int(b) for a, b in zip(q[i], c[j])) < HALF:
+                raise OverflowError("a score does not fit 64 bits")
+    return score.view(np.uint64) + np.uint64(bound)
 
 
 def top_k(vectors: DataFrame, k: int = 5, every: int = 50, vec_id: str = "vec_id", embedding: str = "embedding",
@@ -66,8 +77,8 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, vec_id: str = "vec_id
 
     Queries are the rows whose id is divisible by ``every``; candidates all rows of another id and the same length;
     fewer than k candidates: all of them. Rows with nulls or non-finite components take no part (:func:`quantize`).
-    Of rows alike in id one is the query (the smallest vector), all are candidates. Empty table: no rows. Integer
-    sums beyond 64 bits are not supported.
+    Of rows alike in id one is the query (the smallest vector), all are candidates. Empty table: no rows. A score that
+    does not fit 64 bits raises an error, and so does a component of 2^63 or more after scaling.
 
     Queries go to the executors in groups of blocks of at most ``sent_bytes``, and candidates stream by in blocks.
     Every pass scores everything. The first passes count scores in ``BINS`` bins of each query's open range, which
@@ -85,10 +96,12 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, vec_id: str = "vec_id
                           F.max(F.size("v")).alias("d")).first()
     if not sizes or largest.m is None:
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint")
+    if largest.m == HALF - 1:
+        raise OverflowError("a component does not fit 64 bits")
+    # no score is beyond the bound in either direction; from 2^62 on all 64 bits are searched
     bound = int(largest.m) ** 2 * int(largest.d)
-    if bound >= 2 ** 62:
-        raise ValueError("inner products exceed 64 bits")
     wide = bound >= 2 ** 52
+    bound = HALF if bound >= 2 ** 62 else bound
     groups, held = [[]], 0
     for r in sizes:
         if groups[-1] and held + r.b > sent_bytes:
@@ -106,7 +119,7 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, vec_id: str = "vec_id
 def _group(cands: DataFrame, queries: DataFrame, k: int, bound: int, wide: bool) -> DataFrame:
     """:func:`top_k` for one group of query blocks, whose size the caller has bounded."""
     span = 1
-    while span < 2 * bound + 1:
+    while span < min(2 * bound + 1, 1 << 64):
         span *= BINS
     # per query: the open range [low, low + span) and the number of candidates still wanted inside it
     state = queries.withColumn("low", F.lit(None).cast("binary")).withColumn("want", F.lit(None).cast("binary"))
@@ -123,10 +136,11 @@ def _pairs(cands: DataFrame, state: DataFrame, columns: list[str]) -> DataFrame:
     return cands.join(F.broadcast(sent), F.col("dim") == F.col("q_dim"))
 
 
-def _ranges(low: bytes | None, want: bytes | None, n: int, k: int, bound: int) -> tuple[np.ndarray, np.ndarray]:
+def _ranges(low: bytes | None, want: bytes | None, n: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where each query's open range starts, counted from the least possible score, and how many are wanted from it."""
     if low is None:
-        return np.full(n, -bound, np.int64), np.full(n, k, np.int64)
-    return np.frombuffer(low, "<i8"), np.frombuffer(want, "<i8")
+        return np.zeros(n, np.uint64), np.full(n, k, np.int64)
+    return np.frombuffer(low, "<u8"), np.frombuffer(want, "<i8")
 
 
 def _narrow(cands: DataFrame, state: DataFrame, k: int, bound: int, span: int, wide: bool) -> DataFrame:
@@ -136,12 +150,12 @@ def _narrow(cands: DataFrame, state: DataFrame, k: int, bound: int, span: int, w
         seen: dict[int, np.ndarray] = {}
         for b in batches:
             for ids, values, n, dim, qb, q_ids, q_values, q_n, low, want in zip(*(c.to_pylist() for c in b.columns)):
-                low, _ = _ranges(low, want, q_n, k, bound)
-                score = _scores(_matrix(q_values, q_n, dim, wide), _matrix(values, n, dim, wide))
+                low, _ = _ranges(low, want, q_n, k)
                 own = np.frombuffer(q_ids, "<i8")[:, None] == np.frombuffer(ids, "<i8")[None, :]
+                score = _scores(_matrix(q_values, q_n, dim, wide), _matrix(values, n, dim, wide), own, bound)
                 at = score - low[:, None]
-                inside = (at >= 0) & (at < span) & ~own
-                cell = (at // step + BINS * np.arange(q_n)[:, None])[inside]
+                inside = (score >= low[:, None]) & (at <= np.uint64(span - 1)) & ~own
+                cell = ((at // np.uint64(step)).astype(np.int64) + BINS * np.arange(q_n)[:, None])[inside]
                 add = np.bincount(cell, minlength=BINS * q_n)
                 seen[qb] = seen[qb] + add if qb in seen else add
         for qb, total in seen.items():
@@ -153,7 +167,7 @@ def _narrow(cands: DataFrame, state: DataFrame, k: int, bound: int, span: int, w
         for b in batches:
             lows, wants = [], []
             for n, low, want, cells, counts in zip(*(b.column(c).to_pylist() for c in ("n", "low", "want", "cells", "counts"))):
-                low, want = _ranges(low, want, n, k, bound)
+                low, want = _ranges(low, want, n, k)
                 table = np.zeros(BINS * n, np.int64)
                 if cells:
                     table[cells] = counts
@@ -162,7 +176,7 @@ def _narrow(cands: DataFrame, state: DataFrame, k: int, bound: int, span: int, w
                 short = down[:, -1] < want  # fewer candidates than wanted: the lowest bin, all are taken
                 pick_ = np.where(short, BINS - 1, np.argmax(down >= want[:, None], axis=1))
                 before = np.where(pick_ > 0, down[np.arange(n), np.maximum(pick_ - 1, 0)], 0)
-                lows.append((low + (BINS - 1 - pick_) * step).astype("<i8").tobytes())
+                lows.append((low + (BINS - 1 - pick_).astype(np.uint64) * np.uint64(step)).astype("<u8").tobytes())
                 wants.append((want - before).astype("<i8").tobytes())
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in ("qb", "ids", "vals", "n", "dim")],
                                               pa.array(lows, pa.binary()), pa.array(wants, pa.binary())],
@@ -183,26 +197,29 @@ def _take(cands: DataFrame, state: DataFrame, k: int, bound: int, wide: bool) ->
         best: dict[int, np.ndarray] = {}
         for b in batches:
             for ids, values, n, dim, q_ids, q_values, q_n, low, want in zip(*(c.to_pylist() for c in b.columns)):
-                low, _ = _ranges(low, want, q_n, k, bound)
+                low, _ = _ranges(low, want, q_n, k)
                 ids, q_ids = np.frombuffer(ids, "<i8"), np.frombuffer(q_ids, "<i8")
-                score = _scores(_matrix(q_values, q_n, dim, wide), _matrix(values, n, dim, wide))
-                qi, ci = np.nonzero((score >= low[:, None]) & (q_ids[:, None] != ids[None, :]))
+                own = q_ids[:, None] == ids[None, :]
+                score = _scores(_matrix(q_values, q_n, dim, wide), _matrix(values, n, dim, wide), own, bound)
+                qi, ci = np.nonzero((score >= low[:, None]) & ~own)
+                score = (score - np.uint64(bound)).view(np.int64)
                 for q, c in _runs(qi, ci):
-                    new = np.stack([-score[q, c], ids[c]])
+                    # not the negative, which the least integer lacks
+                    new = np.stack([~score[q, c], ids[c]])
                     old = best.get(int(q_ids[q]))
                     new = new if old is None else np.concatenate([old, new], axis=1)
                     best[int(q_ids[q])] = new[:, np.lexsort((new[1], new[0]))[:k]]
         for q, kept in best.items():
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(kept.shape[1], q)), pa.array(kept[1]), pa.array(-kept[0])],
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(kept.shape[1], q)), pa.array(kept[1]), pa.array(~kept[0])],
                                              names=["query_id", "vec_id", "score"])
 
     pairs = _pairs(cands, state, ["ids", "vals", "n", "dim", "low", "want"])
     kept = (pairs.select("ids", "vals", "n", "dim", "q_ids", "q_vals", "q_n", "q_low", "q_want")
             .mapInArrow(keep, "query_id bigint, vec_id bigint, score bigint"))
     # each task gives at most k rows of a query
-    best = kept.groupBy("query_id").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("m"), "vec_id"))), 1, k).alias("b"))
+    best = kept.groupBy("query_id").agg(F.slice(F.sort_array(F.collect_list(F.struct(F.bitwise_not("score").alias("m"), "vec_id"))), 1, k).alias("b"))
     return best.select("query_id", F.posexplode("b").alias("p", "x")).select(
-        "query_id", (F.col("p") + 1).cast("int").alias("rank"), F.col("x.vec_id").alias("vec_id"), (-F.col("x.m")).alias("score"))
+        "query_id", (F.col("p") + 1).cast("int").alias("rank"), F.col("x.vec_id").alias("vec_id"), F.bitwise_not("x.m").alias("score"))
 
 
 def _runs(q: np.ndarray, c: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
