@@ -37,6 +37,22 @@ def test_top_k_of_large_values_and_of_nothing(spark):
     assert topk.top_k(df.limit(0)).count() == 0
 
 
+def test_top_k_with_one_large_component(spark):
+    """No refusal while every score but that of a vector with itself fits 64 bits."""
+    rows = [(0, [9e6, 0.0]), (1, [1.0, -2.0]), (2, [-3.0, 1.0]), (3, [2.5, 2.0]), (100, [0.0, 1e9]), (101, [0.0, 4.0]), (150, [-2.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    assert sorted(map(tuple, topk.top_k(df, 4, 50).collect())) == brute_top(rows, 4, 50)
+    # 2^63 itself is one too many, -2^63 is not
+    edge = [(0, [2.0 ** 23 / 2, 0.0]), (1, [2.0 ** 24, 0.0]), (2, [-2.0 ** 24, 0.0])]
+    near = [(0, [2.0 ** 24, 0.0]), (1, [-2.0 ** 23, 0.0]), (2, [2.0 ** 23 - 1, 5.0])]
+    for part in (edge, near):
+        df = spark.createDataFrame(part, "vec_id bigint, embedding array<double>")
+        assert sorted(map(tuple, topk.top_k(df, 4, 50).collect())) == brute_top(part, 4, 50)
+    for bad in ([(0, [2.0 ** 24, 0.0]), (1, [2.0 ** 23, 0.0])], [(0, [1e300]), (1, [1.0])]):
+        with pytest.raises(Exception, match="fit 64 bits"):
+            topk.top_k(spark.createDataFrame(bad, "vec_id bigint, embedding array<double>")).collect()
+
+
 @pytest.mark.parametrize("text", ["", "\\", "<|end|>\n", "\\<|turn x|>", "<|>", "<\\|", "a<", "|", "|>|>", "\\\\|", "### Assistant: </turn>"])
 def test_escape(text):
     assert chat.unescape(chat.escape(text)) == text
@@ -97,6 +113,32 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.write(pages.limit(0), str(tmp_path / "e")).count() == 0
 
 
+def test_record_ids_are_unique_and_referred_to(spark, tmp_path):
+    pages = spark.createDataFrame([(*p, "k") for p in PAGES], "page_id bigint, url string, html string, frame string").repartition(2).cache()
+    index = warc.write(pages, str(tmp_path)).collect()
+    ids = {r.record_id for r in index}
+    assert len(ids) == len(index) == len(PAGES)
+    seen = {}
+    for r in index:
+        with fs.LocalFileSystem().open_input_file(str(tmp_path / r.bundle)) as file:
+            head, block, _ = warc.parse(warc.read_frame(file, warc.seek_table(file), r.frame), r.offset)
+        assert head["WARC-Record-ID"] == r.record_id
+        seen[r.record_id] = head
+    referred = [h["WARC-Refers-To"] for h in seen.values() if h["WARC-Type"] == "revisit"]
+    assert referred and all(seen[i]["WARC-Type"] == "response" for i in referred)
+    assert all(seen[h["WARC-Refers-To"]]["X-Page-Id"] == h["X-Refers-To-Page"] for h in seen.values() if "WARC-Refers-To" in h)
+
+
+def test_reading_takes_tasks_by_frames(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "TASK_FRAMES", 2)
+    monkeypatch.setattr(warc, "FRAME_BYTES", 2000)
+    pages = spark.range(60).selectExpr("id AS page_id", "'u' AS url", "concat(id, repeat('x', 900)) AS html")
+    index = warc.write(pages, str(tmp_path))
+    frames = index.select("bundle", "frame").distinct().count()
+    got = warc.read(index, str(tmp_path))
+    assert got.rdd.getNumPartitions() == -(-frames // 2) and got.count() == 60
+
+
 def test_small_payloads_are_responses(spark, tmp_path):
     pages = spark.createDataFrame([(1, "u", "ab"), (2, "u", "ab"), (3, "u", "abc"), (4, "u", "abc")], "page_id bigint, url string, html string")
     got = {r.page_id: r.record_type for r in warc.read(warc.write(pages, str(tmp_path), least=3), str(tmp_path)).collect()}

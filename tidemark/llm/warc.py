@@ -21,24 +21,27 @@ from tidemark.sources.shared import as_table, fresh_path
 # records of a frame, and frames of a bundle, before compression
 FRAME_BYTES, BUNDLE_BYTES = 1 << 20, 128 << 20
 LEVEL = 3
+# frames that a task reads, and the most tasks
+TASK_FRAMES, MOST_TASKS = 16, 8192
 # fixed values of the seekable format: a skippable frame with the table, and its closing number
 _SKIPPABLE, _SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 _REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _SPACE = uuid.UUID("6f0c1c1e-5f0e-5b7a-9d1a-7f4f9e0c5a11")
 
 
-def record_id(page_id: int | None) -> str:
-    """The same page has the same record id in every run; pages without an id share one."""
-    return f"<urn:uuid:{uuid.uuid5(_SPACE, str(page_id))}>"
+def record_id(page_id: int | None, sha1: bytes, row_no: int | None = None) -> str:
+    """Of a page and its payload, so the same in every run; ``row_no`` tells further rows of a payload apart."""
+    return f"<urn:uuid:{uuid.uuid5(_SPACE, f'{page_id}/{_b32(sha1)}' + ('' if row_no is None else f'/{row_no}'))}>"
 
 
 def _b32(sha1: bytes) -> str:
     return base64.b32encode(sha1).decode()
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, sha1: bytes, refers_to: int | None, revisit: bool) -> bytes:
+def record(page_id: int | None, url: str | None, payload: bytes, sha1: bytes, refers_to: int | None, revisit: bool,
+           row_no: int | None = None) -> bytes:
     """One WARC/1.1 record. A revisit holds no payload; its length stays in a header."""
-    head = [("WARC-Type", "revisit" if revisit else "response"), ("WARC-Record-ID", record_id(page_id)),
+    head = [("WARC-Type", "revisit" if revisit else "response"), ("WARC-Record-ID", record_id(page_id, sha1, row_no)),
             ("WARC-Date", "1970-01-01T00:00:00Z"), ("WARC-Payload-Digest", f"sha1:{_b32(sha1)}"),
             ("X-Payload-Length", str(len(payload)))]
     if page_id is not None:
@@ -47,7 +50,7 @@ def record(page_id: int | None, url: str | None, payload: bytes, sha1: bytes, re
         # control signs, blanks and non-ASCII letters are not allowed in a header's URI
         head.append(("WARC-Target-URI", urllib.parse.quote(url, safe="%/:=&?~#+!$,;'@()*[]-._")))
     if revisit:
-        head += [("WARC-Profile", _REVISIT), ("WARC-Refers-To", record_id(refers_to)), ("X-Refers-To-Page", str(refers_to))]
+        head += [("WARC-Profile", _REVISIT), ("WARC-Refers-To", record_id(refers_to, sha1)), ("X-Refers-To-Page", str(refers_to))]
     body = b"" if revisit else payload
     head += [("Content-Type", "text/html; charset=utf-8"), ("Content-Length", str(len(body)))]
     lines = "".join(f"{k}: {v}\r\n" for k, v in head).encode()
@@ -125,7 +128,10 @@ def read_frame(file, table: list[tuple[int, int, int]], frame: int) -> bytes:
 
 
 def _open(folder: str) -> tuple[fs.FileSystem, str]:
-    """The folder's file system: local or mounted paths, and what pyarrow reaches by URI."""
+    """The folder's file system: local or mounted paths, and what pyarrow reaches by URI; Spark's names of S3 are S3."""
+    for name in ("s3a://", "s3n://"):
+        if folder.startswith(name):
+            folder = "s3://" + folder[len(name):]
     return fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
 
 
@@ -134,20 +140,24 @@ def _uri(folder: str) -> str:
 
 
 def with_revisits(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", least: int = 0) -> DataFrame:
-    """(page_id, url, payload binary, sha1 binary, refers_to, revisit): what each page is to be written as.
+    """(page_id, url, payload binary, sha1 binary, refers_to, revisit, row_no): what each page is to be written as.
 
     Of equal payloads of at least ``least`` bytes the one with the smallest page_id is the response; further rows of
-    that same id are responses too. Null ids come last. Copies are counted by digest in the map tasks, and only the
+    that same id are responses too. Null ids come last. ``row_no`` is null for the first row of a payload, which gives the
+    record that others refer to, and tells the further ones apart; for that the rows must come in the same order when they
+    are read again, as those of files do. Copies are counted by digest in the map tasks, and only the
     digests of several pages are joined back, so a payload that very many pages share never meets in one task.
     """
     named = (pick(pages, page_id=f"{page_id} bigint", url=f"{url} string", html=f"{html} string")
              .select("page_id", "url", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload"))
-             .withColumn("sha1", F.unhex(F.sha1("payload"))))
-    firsts = (named.where(F.octet_length("payload") >= least).groupBy("sha1").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
-              .where("n > 1 AND first IS NOT NULL").select(F.col("sha1").alias("same"), "first"))
-    joined = named.join(as_table(firsts, "warc-firsts"), (F.col("sha1") == F.col("same")) & (F.octet_length("payload") >= least), "left")
-    again = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
-    return joined.select("page_id", "url", "payload", "sha1", F.when(again, F.col("first")).alias("refers_to"), again.alias("revisit"))
+             .withColumn("sha1", F.unhex(F.sha1("payload"))).withColumn("row_no", F.monotonically_increasing_id()))
+    # a null id is larger than any other here
+    firsts = (named.groupBy("sha1").agg(F.min(F.struct(F.col("page_id").isNull().alias("z"), "page_id", "row_no")).alias("f"), F.count("*").alias("n"))
+              .where("n > 1").select(F.col("sha1").alias("same"), F.col("f.page_id").alias("first"), F.col("f.row_no").alias("first_row")))
+    joined = named.join(as_table(firsts, "warc-firsts"), F.col("sha1") == F.col("same"), "left")
+    again = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")) & (F.octet_length("payload") >= least)
+    return joined.select("page_id", "url", "payload", "sha1", F.when(again, F.col("first")).alias("refers_to"), again.alias("revisit"),
+                         F.when(F.col("row_no") != F.col("first_row"), F.col("row_no")).alias("row_no"))
 
 
 def write(pages: DataFrame, folder: str, page_id: str = "page_id", url: str = "url", html: str = "html", least: int = 0) -> DataFrame:
@@ -156,8 +166,8 @@ def write(pages: DataFrame, folder: str, page_id: str = "page_id", url: str = "u
     Index: (page_id, record_id, bundle, frame, offset, length), the offset within the plain frame. A task streams its
     rows into one bundle after the other and holds one frame at most. File names are fresh for each attempt, and only
     those of the attempts that Spark counts are in the index; files of lost attempts are left over, unread.
-    Null html is an empty payload, null url no header; repeated rows are records of their own under one record id;
-    an empty table gives an empty index. ``folder`` must be one that all executors share.
+    Null html is an empty payload, null url no header; repeated rows and rows without an id are records of their own,
+    each under its own record id; an empty table gives an empty index. ``folder`` must be one that all executors share.
     """
     rows = with_revisits(pages, page_id, url, html, least)
     folder = _uri(folder)
@@ -170,11 +180,11 @@ def write(pages: DataFrame, folder: str, page_id: str = "page_id", url: str = "u
         bundle = None
         for b in batches:
             index = []
-            for page, link, payload, sha1, first, again in zip(*(c.to_pylist() for c in b.columns)):
+            for page, link, payload, sha1, first, again, row_no in zip(*(c.to_pylist() for c in b.columns)):
                 if bundle is None:
                     bundle = Bundle(files, f"{root}/{uuid.uuid4().hex}.warc.zst")
-                place = bundle.add(record(page, link, payload, sha1, first, again))
-                index.append((page, record_id(page), bundle.path[len(root) + 1:], *place))
+                place = bundle.add(record(page, link, payload, sha1, first, again, row_no))
+                index.append((page, record_id(page, sha1, row_no), bundle.path[len(root) + 1:], *place))
                 if bundle.total >= BUNDLE_BYTES:
                     bundle.close()
                     bundle = None
@@ -190,9 +200,11 @@ def read(index: DataFrame, folder: str) -> DataFrame:
     """(page_id, record_type, refers_to, payload_digest, payload_bytes, url, payload): the records the index points to.
 
     Rows are dealt by frame, so each frame is opened once and only frames that hold a wanted record are read; give a
-    filtered index to look up single records.
+    filtered index to look up single records. A task reads about ``TASK_FRAMES`` frames, more from ``MOST_TASKS`` tasks on.
     """
     folder = _uri(folder)
+    # the number is set, as adaptive execution would merge tasks by the bytes of the index, a small part of what they read
+    tasks = max(1, min(MOST_TASKS, -(-index.select("bundle", "frame").distinct().count() // TASK_FRAMES)))
     kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.binary()]
     names = ["page_id", "record_type", "refers_to", "payload_digest", "payload_bytes", "url", "payload"]
 
@@ -224,7 +236,7 @@ def read(index: DataFrame, folder: str) -> DataFrame:
             if rows:
                 yield out(rows)
 
-    return (index.select("bundle", "frame", "offset").repartition("bundle", "frame")
+    return (index.select("bundle", "frame", "offset").repartition(tasks, "bundle", "frame")
             .sortWithinPartitions("bundle", "frame", "offset").mapInArrow(
                 run, "page_id bigint, record_type string, refers_to bigint, payload_digest string, "
                      "payload_bytes bigint, url string, payload binary"))
