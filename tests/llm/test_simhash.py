@@ -73,6 +73,24 @@ def test_components_against_all_pairs(spark, bits, blocks, dense):
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, ours.values()))
 
 
+def test_blocks_stay_whole_where_joins_are_split(spark, tmp_path):
+    # two files, tied to one another only in the four large blocks, whose partitions of the join are skewed
+    for top in (0, 1):
+        spark.range(1024).selectExpr(f"shiftleft(id + {top * 1024}, 52) AS fp").coalesce(1).write.mode("append").parquet(f"{tmp_path}/fps")
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "40",
+            "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k",
+            "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5"}
+    before = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        roots = graph.components(simhash.links(spark.read.parquet(f"{tmp_path}/fps"), 4, 5))
+        assert roots.count() == 2048 and roots.where("root != 0").count() == 0
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def test_long_chain_is_one_component(spark):
     edges = spark.range(3000).selectExpr("id AS u", "id + 1 AS v")
     got = graph.components(edges)

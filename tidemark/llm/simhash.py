@@ -106,28 +106,16 @@ def links(fps: DataFrame, bits: int = BITS, blocks: int | None = None, dense: in
     twos = full.where(f"n = 2 AND bit_count(u ^ v) <= {bits}").select("u", "v")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(block: list[np.ndarray]) -> pa.RecordBatch:
-            u, v = _forest(np.concatenate(block).view(np.uint64), bits)
-            pair = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (u, v)]
-            return pa.RecordBatch.from_arrays(pair, names=["u", "v"])
-
-        open_key, block = None, []
         for b in batches:
-            k, key, fp = (b.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-            cuts = np.flatnonzero((k[1:] != k[:-1]) | (key[1:] != key[:-1])) + 1
-            for part in np.split(np.arange(len(fp)), cuts) if len(fp) else []:
-                now = (k[part[0]], key[part[0]])
-                if now != open_key and block:
-                    yield out(block)
-                    block = []
-                open_key = now
-                block.append(fp[part])
-        if block:
-            yield out(block)
+            for block in b.column(0):
+                u, v = _forest(block.values.to_numpy(zero_copy_only=False).view(np.uint64), bits)
+                pair = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (u, v)]
+                yield pa.RecordBatch.from_arrays(pair, names=["u", "v"])
 
+    # a block is one row: adaptive execution may split a partition of the join, and with it a block, but not a group
     some = full.where(f"n BETWEEN 3 AND {dense}").select("k", "key")
-    near = (keyed.join(some, ["k", "key"]).select("k", "key", "fp").repartition("k", "key")
-            .sortWithinPartitions("k", "key", "fp").mapInArrow(run, "u bigint, v bigint"))
+    near = (keyed.join(some, ["k", "key"]).groupBy("k", "key").agg(F.collect_list("fp").alias("block")).select("block")
+            .mapInArrow(run, "u bigint, v bigint"))
     pairs = twos.union(near)
     if full.where(f"n > {dense}").limit(1).count():
         hot = keyed.join(full.where(f"n > {dense}").select("k", "key"), ["k", "key"]).select("fp").distinct()
