@@ -218,6 +218,37 @@ def test_order_search_in_blocks(spark):
     assert a.score == pytest.approx(b.score) and a.candidate == b.candidate
 
 
+@pytest.mark.parametrize("bounds", [Bounds(), Bounds(1, 1, 0, 0, 0, 0)])
+def test_order_search_shuffles_values_once(spark, bounds):
+    # lagged rows were shuffled four times over, a row for each differencing; now matrices are made where the blocks lie
+    df = frame(spark, a=ar(150, 0.6, 11), b=ar(40, 0.5, 3))
+    scored = seasonal.order_search(df, Series(("k",), ("t",), 64), "y", 7, bounds)
+    plan = scored._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "_a1" not in plan
+
+
+def test_order_search_equals_fits_of_design_rows(spark):
+    # equal lengths, very short ones, a missing value, a constant; whole and in blocks
+    gaps = [None if t in (5, 60) else v for t, v in enumerate(ar(120, 0.4, 21))]
+    named = {"a": ar(40, 0.6, 9), "b": ar(40, 0.4, 10), "c": [1.0], "d": [2.0, 3.0], "e": [5.0] * 30, "f": gaps, "g": [None] * 25}
+    rows = [(k, t, v, t + 1, len(y)) for k, y in named.items() for t, v in enumerate([None if v is None else float(v) for v in y])]
+    df = spark.createDataFrame(rows, "k string, t bigint, y double, rn bigint, n bigint")
+    for s, bounds in ((S, Bounds()), (Series(("k",), ("t",), 32), Bounds()), (Series(("k",), ("t",), 32), Bounds(1, 1, 1, 0, 1, 0))):
+        lengths = df.groupBy("k").agg(F.max("n").alias("n"))
+        wanted = seasonal.prune_candidates(seasonal.order_candidates(lengths, 7, bounds)).withColumn("stage", F.lit(0)).unionByName(
+            seasonal._fallback_candidates(lengths).withColumn("stage", F.lit(1)))
+        want = {(x.k, x.stage, x.candidate): x for x in seasonal.fit_orders(
+            seasonal.design_rows(df, s, "y", 7, bounds), s.keys, wanted, 7, bounds).collect()}
+        got = {(x.k, x.stage, x.candidate): x for x in seasonal.order_search(df, s, "y", 7, bounds).filter("stage < 2").collect()}
+        assert set(got) == set(want)
+        for at, x in want.items():
+            assert (got[at].status, got[at].n_obs, got[at].terms) == (x.status, x.n_obs, x.terms), at
+            for c in ("aic", "bic", "llf", "sigma2", "coefs", "params"):
+                assert (got[at][c] is None) == (x[c] is None), (at, c)
+                if x[c] is not None:
+                    assert got[at][c] == pytest.approx(x[c], rel=1e-6, abs=1e-8), (at, c)
+
+
 def test_recovers_simulated_models(spark):
     rng = np.random.default_rng(12)
     e = rng.normal(size=3000)

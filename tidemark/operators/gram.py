@@ -57,7 +57,11 @@ def gramian(df: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> DataFram
         if held:
             yield flush(held)
 
-    parts = rows.mapInPandas(partial, schema)
+    return summed(rows.mapInPandas(partial, schema), keys)
+
+
+def summed(parts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``(keys, n_obs, gram)`` from partial matrices ``(keys, _n, _g)``."""
     cells = parts.select(*keys, "_n", F.posexplode("_g").alias("_i", "_v")).groupBy(*keys, "_i").agg(
         F.sum("_v").alias("_v"), F.sum("_n").alias("_n"))
     return cells.groupBy(*keys).agg(
@@ -84,3 +88,23 @@ def solve(gram: np.ndarray, inputs: Sequence[int], target: int) -> tuple[np.ndar
     inverse = np.linalg.inv(scaled) / np.outer(length, length)
     beta = np.linalg.solve(scaled, b / length) / length
     return beta, max(total - float(beta @ b), 0.0), inverse
+
+
+def solve_many(grams: np.ndarray, inputs: Sequence[int], target: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """:func:`solve` for a stack of matrices: coefficients, RSS, and False where ``solve`` would raise."""
+    idx, total = list(inputs), grams[:, target, target]
+    if not idx:
+        return np.empty((len(grams), 0)), total, np.ones(len(grams), bool)
+    a, b = grams[:, idx][:, :, idx], grams[:, idx, target]
+    length = np.sqrt(np.diagonal(a, axis1=1, axis2=2))
+    good = np.all(length > 0, axis=1) & np.isfinite(a).all(axis=(1, 2)) & np.isfinite(b).all(axis=1)
+    beta, at = np.zeros((len(grams), len(idx))), np.flatnonzero(good)
+    a, b, length = a[at], b[at], length[at]
+    scaled = a / (length[:, :, None] * length[:, None, :])
+    if len(idx) > 1 and len(at):
+        clear = ~(np.linalg.cond(scaled) > 1e12)
+        good[at[~clear]] = False
+        at, b, length, scaled = at[clear], b[clear], length[clear], scaled[clear]
+    if len(at):
+        beta[at] = np.linalg.solve(scaled, (b / length)[:, :, None])[:, :, 0] / length
+    return beta, np.maximum(total - (beta * grams[:, idx, target]).sum(axis=1), 0.0), good

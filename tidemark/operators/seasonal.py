@@ -22,12 +22,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tidemark.operators.folds import expanding_folds
-from tidemark.operators.gram import gramian, solve
+from tidemark.operators.gram import gramian, solve, solve_many, summed
 from tidemark.operators.metrics import fold_summary, regression_metrics
 from tidemark.operators.ordered import Series, attach, framed, join_keys
 from tidemark.operators.ranking import best_rows
@@ -43,6 +45,8 @@ FALLBACK_SCORE = 999999.0
 ORDER = ["p", "d", "q", "sp", "sd", "sq"]
 # steps of a forecast that one task makes at once
 STEP_BLOCK = 4096
+# values of equally long series that a task works on at once
+STACK_CELLS = 200_000
 # orders up to 1023 in each place of a candidate's number
 CANDIDATE_BASE = 1024
 
@@ -285,6 +289,22 @@ def _score_schema(candidates: DataFrame) -> T.StructType:
         T.StructField("status", T.StringType())])
 
 
+def _fitted(order: dict, gram: np.ndarray | None, n: int, season: int, names: list[str], multiplied: bool) -> dict:
+    """Columns of one candidate, fitted from the matrix of its series."""
+    terms = _terms(order, season, multiplied)
+    k = sum(order[c] for c in ("p", "q", "sp", "sq")) + 1
+    rec = {"terms": terms, "status": "too_short", "n_obs": None, "coefs": None, "params": None}
+    if gram is None or n <= k:
+        return rec
+    try:
+        theta, rss = _gauss_newton(gram, order, season, names, multiplied)
+        return rec | _result(theta, rss, n, order, season, names, multiplied)
+    except (np.linalg.LinAlgError, ValueError):
+        return rec | {"status": "singular"}
+    except ArithmeticError:
+        return rec | {"status": "not_converged"}
+
+
 def fit_orders(design: DataFrame, keys: Sequence[str], candidates: DataFrame, season: int,
                bounds: Bounds) -> DataFrame:
     """Fit every candidate row ``(keys, p, d, q, sp, sd, sq, ...)`` from the design rows.
@@ -303,20 +323,6 @@ def fit_orders(design: DataFrame, keys: Sequence[str], candidates: DataFrame, se
     # one matrix a series and differencing beside the list of its candidates, of which the bounds allow so many
     lists = candidates.groupBy(*group).agg(F.collect_list(F.struct(*own)).alias("_own"))
 
-    def fitted(order: dict, gram: np.ndarray | None, n: int) -> dict:
-        terms = _terms(order, season, multiplied)
-        k = sum(order[c] for c in ("p", "q", "sp", "sq")) + 1
-        rec = {"terms": terms, "status": "too_short", "n_obs": None, "coefs": None, "params": None}
-        if gram is None or n <= k:
-            return rec
-        try:
-            theta, rss = _gauss_newton(gram, order, season, names, multiplied)
-            return rec | _result(theta, rss, n, order, season, names, multiplied)
-        except (np.linalg.LinAlgError, ValueError):
-            return rec | {"status": "singular"}
-        except ArithmeticError:
-            return rec | {"status": "not_converged"}
-
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
@@ -324,7 +330,7 @@ def fit_orders(design: DataFrame, keys: Sequence[str], candidates: DataFrame, se
                 whole = None if gram is None else np.reshape(np.asarray(gram, float), (width, width))
                 for one in found:
                     one = one if isinstance(one, dict) else one.asDict()
-                    rows.append(one | fitted({c: int(one[c]) for c in ORDER}, whole, 0 if gram is None else int(n)))
+                    rows.append(one | _fitted({c: int(one[c]) for c in ORDER}, whole, 0 if gram is None else int(n), season, names, multiplied))
             out = pd.DataFrame(rows, columns=[*own, "n_obs", "sigma2", "llf", "aic", "bic", "terms", "coefs", "params", "status"])
             base = pdf[key_list].loc[pdf.index.repeat([len(x) for x in pdf["_own"]])].reset_index(drop=True)
             yield pd.concat([base, out.astype({"n_obs": "Int64"})], axis=1)[schema.names]
@@ -332,6 +338,263 @@ def fit_orders(design: DataFrame, keys: Sequence[str], candidates: DataFrame, se
     return join_keys(lists, grams, group, "left").select(*keys, "_own", "n_obs", "gram").mapInPandas(score, schema)
 
 
+# ---- many short series -------------------------------------------------------------------------
+
+def _stretches(df: DataFrame, s: Series, col: str, reach: int) -> DataFrame:
+    """(keys, _block, n, _at, _y): the values of each series in order, in blocks after the ``reach`` values before them.
+
+    ``_at`` is the position of the first value. Without ``block_rows`` a series is one block. Rows are shuffled once.
+    """
+    size = s.block_rows
+    if size is not None and reach > size:
+        raise ValueError(f"frame of {reach} rows exceeds the block of {size}")
+    rows = df.select(*s.keys, "rn", "n", F.col(col).cast("double").alias("_v"))
+    own = F.lit(0).cast("long") if size is None else F.floor((F.col("rn") - 1) / F.lit(size)).cast("long")
+    rows = rows.withColumn("_block", own)
+    if size is not None:
+        late = F.pmod(F.col("rn") - 1, F.lit(size)) >= size - reach
+        rows = rows.withColumn("_block", F.explode(F.array_compact(F.array("_block", F.when(late & (F.col("rn") < F.col("n")), F.col("_block") + 1)))))
+    found = rows.repartition(*s.keys, "_block").groupBy(*s.keys, "_block").agg(
+        F.max("n").alias("n"), F.min("rn").alias("_at"), F.max("rn").alias("_last"),
+        F.sort_array(F.collect_list(F.struct("rn", "_v"))).alias("_y"))
+    return found.filter(F.col("_last") > F.col("_block") * (size or 0)).drop("_last").withColumn("_y", F.col("_y._v"))
+
+
+class _Stack:
+    """Equally long and equally placed blocks of values, one a row, and the matrices of one differencing.
+
+    The columns are those of :func:`design_rows`: lags before the start are 0, missing values and lags too. Only the
+    rows from ``first`` on, those after what a block repeats, count.
+    """
+
+    def __init__(self, y: np.ndarray, missing: np.ndarray, at: int, first: int, n: int, d: int, sd: int, season: int, m: int):
+        skip, size = d + season * sd, y.shape[1]
+        w, gap = np.zeros((len(y), max(size - skip, 0))), np.zeros((len(y), max(size - skip, 0)), bool)
+        for i, weight in enumerate(difference_weights(d, sd, season)):
+            if weight and size > skip:
+                w += y[:, skip - i:size - i] * weight
+                gap |= missing[:, skip - i:size - i]
+        w[gap] = 0.0
+        self.m, self.w, self.gap = min(m, max(n - skip, 0) // 3), w, gap
+        self.rn = np.arange(w.shape[1]) + at
+        self.use = (self.rn > self.m) & (self.rn + skip >= first)
+        self.back = [self._lag(w, i) for i in range(1, m + 1)]
+
+    @staticmethod
+    def _lag(v: np.ndarray, i: int) -> np.ndarray:
+        out = np.zeros_like(v)
+        out[:, i:] = v[:, :-i]
+        return out
+
+    def _gram(self, columns: list[np.ndarray]) -> np.ndarray:
+        x = np.stack([c[:, self.use] for c in columns], axis=2)
+        return np.matmul(x.transpose(0, 2, 1), x)
+
+    def long_gram(self) -> np.ndarray:
+        return self._gram([*self.back, self.w])
+
+    def order_gram(self, ar: np.ndarray, values: Sequence[int], shocks: Sequence[int]) -> tuple[np.ndarray, int]:
+        """The matrix that candidates are fitted from and its number of rows."""
+        expected = ar[:, 0, None] * self.back[0]
+        for i in range(1, len(self.back)):
+            expected += ar[:, i, None] * self.back[i]
+        shock = np.where((self.rn > self.m) & ~self.gap, self.w - expected, 0.0)
+        gram = self._gram([*[self.back[i - 1] for i in values], *[self._lag(shock, i) for i in shocks], self.w])
+        return gram, int(self.use.sum())
+
+
+def _long_fit(grams: np.ndarray, own: int) -> np.ndarray:
+    """Coefficients of the long autoregressions; none where they are collinear, as in :func:`_long_coefficients`."""
+    m = grams.shape[1] - 1
+    coef = np.zeros((len(grams), m))
+    beta, _, good = solve_many(grams, range(own), m)
+    coef[good, :own] = beta[good]
+    return coef
+
+
+def _fit_many(order: dict, grams: np.ndarray | None, n: int, count: int, season: int, names: list[str], multiplied: bool) -> dict:
+    """Columns of one candidate for ``count`` series: those of :func:`_fitted`, a row a series."""
+    p, sp, q, sq = (order[c] for c in ("p", "sp", "q", "sq"))
+    terms, size, width = _terms(order, season, multiplied), p + sp + q + sq, len(names)
+    out = {c: np.full(count, np.nan) for c in ("sigma2", "llf", "aic", "bic")}
+    out |= {"terms": terms, "status": np.full(count, "too_short", object), "coefs": None, "params": None, "n": n}
+    if grams is None or n <= size + 1:
+        return out
+    if multiplied and (p and sp or q and sq):
+        made = [_fitted(order, g, n, season, names, multiplied) for g in grams]
+        good = [x["status"] == "ok" for x in made]
+        for c in ("sigma2", "llf", "aic", "bic"):
+            out[c][good] = [x[c] for x, g in zip(made, good) if g]
+        for c, long in (("coefs", len(terms)), ("params", size)):
+            out[c] = np.array([x[c] if g else [0.0] * long for x, g in zip(made, good)], float)
+        return out | {"status": np.array([x["status"] for x in made], object)}
+    out["status"][:] = "singular"
+    try:
+        _, slope = _model(np.zeros(size), order, season, names, multiplied)
+    except ValueError:  # a lag beyond the bounds
+        return out
+    turn = np.zeros((width + 1, size + 1))
+    turn[:width, :size], turn[width, size] = slope, 1.0
+    theta, rss, good = solve_many(turn.T @ grams @ turn, range(size), size)
+    good = good & (rss != 0)
+    sigma2 = rss[good] / n
+    llf = -n / 2 * (np.log(2 * math.pi * sigma2) + 1)
+    out["sigma2"][good], out["llf"][good] = sigma2, llf
+    out["aic"][good], out["bic"][good] = 2 * (size + 1) - 2 * llf, (size + 1) * math.log(n) - 2 * llf
+    out["status"][good] = "ok"
+    return out | {"coefs": theta @ slope[[names.index(t) for t in terms]].T, "params": theta}
+
+
+def _search(stretches: DataFrame, s: Series, lists: DataFrame, schema: T.StructType, season: int, bounds: Bounds) -> DataFrame:
+    """Every candidate of ``lists (n, _own)`` fitted to every series of :func:`_stretches`.
+
+    A series of one block is fitted in the task that reads it, with others of its length. Blocks of longer ones give
+    partial matrices, which are summed: first those of the long autoregression, then those with its residuals.
+    """
+    value_lags, shock_lags = _lag_names(bounds, season)
+    names, multiplied, m = [*value_lags, *shock_lags], bounds.multiplied, _long_order(season, bounds)
+    values, shocks = list(value_lags.values()), list(shock_lags.values())
+    pairs = [(d, b) for b in range(bounds.sd + 1) for d in range(bounds.d + 1)]
+    keys, size, width, out_schema = list(s.keys), s.block_rows, len(names) + 1, to_arrow_schema(schema)
+
+    def stacks(b: pa.RecordBatch) -> Iterator[tuple[np.ndarray, tuple[int, int, int], np.ndarray, np.ndarray]]:
+        """Rows of a batch with as many values at the same place: their numbers, (n, at, first), values and gaps."""
+        y = b.column("_y")
+        n, at, block = (b.column(c).to_numpy(zero_copy_only=False) for c in ("n", "_at", "_block"))
+        long, flat = np.diff(y.offsets.to_numpy()), y.flatten()
+        start = np.r_[0, np.cumsum(long)]
+        missing = flat.is_null().to_numpy(zero_copy_only=False)
+        number = flat.fill_null(0.0).to_numpy(zero_copy_only=False)
+        alike, which = np.unique(np.stack([n, at, block, long], axis=1), axis=0, return_inverse=True)
+        which = which.ravel()
+        order = np.argsort(which, kind="stable")
+        cuts = np.searchsorted(which[order], np.arange(len(alike) + 1))
+        for (n_, at_, block_, long_), a, z in zip(alike.tolist(), cuts[:-1], cuts[1:]):
+            step = max(1, STACK_CELLS // max(long_, 1))
+            for i in range(a, z, step):
+                rows = order[i:min(i + step, z)]
+                cells = start[rows][:, None] + np.arange(long_)
+                yield rows, (n_, at_, block_ * (size or 0) + 1), number[cells], missing[cells]
+
+    def blanked(grams: np.ndarray, have: np.ndarray) -> np.ndarray:
+        # without any value the sums of the target are unknown, not 0
+        grams[have == 0, -1, :] = np.nan
+        grams[have == 0, :, -1] = np.nan
+        return grams
+
+    def scored(b: pa.RecordBatch, made: list[tuple[np.ndarray, int, list[dict], dict]]) -> Iterator[pa.RecordBatch]:
+        """Output rows of groups of series: their numbers, n, candidates and matrices by differencing."""
+        for rows, n, wanted, grams in made:
+            parts = []
+            for one in wanted:
+                order = {c: int(one[c]) for c in ORDER}
+                gram, n_obs = grams.get((order["d"], order["sd"]), (None, 0))
+                parts.append((one, _fit_many(order, gram, n_obs, len(rows), season, names, multiplied)))
+            yield _rows(b, rows, n, parts, out_schema, keys)
+
+    def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for rows, (n, at, first), y, missing in stacks(b):
+                wanted, grams = b.column("_own")[int(rows[0])].as_py(), {}
+                for d, sd in pairs:
+                    if n > d + season * sd:
+                        st = _Stack(y, missing, at, first, n, d, sd, season, m)
+                        gram, n_obs = st.order_gram(_long_fit(st.long_gram(), st.m), values, shocks)
+                        grams[d, sd] = blanked(gram, (~st.gap[:, st.use]).sum(axis=1)), n_obs
+                yield from scored(b, [(rows, n, wanted, grams)])
+
+    single = stretches if size is None else stretches.filter(F.col("n") <= size)
+    found = single.join(lists, "n").select(*keys, "n", "_at", "_block", "_y", "_own").mapInArrow(alone, schema)
+    if size is None or not stretches.filter(F.col("n") > size).limit(1).count():
+        return found
+
+    many = stretches.filter(F.col("n") > size)
+    group = [*keys, "d", "sd"]
+    fields = [stretches.schema[k] for k in keys] + [T.StructField("d", T.IntegerType()), T.StructField("sd", T.IntegerType())]
+    part = T.StructType([*fields, T.StructField("_n", T.LongType()), T.StructField("_g", T.ArrayType(T.DoubleType()))])
+
+    def partial(b: pa.RecordBatch, row: int, d: int, sd: int, n: int, g: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*[b.column(k).slice(row, 1) for k in keys], pa.array([d], pa.int32()), pa.array([sd], pa.int32()),
+                                           pa.array([n], pa.int64()), pa.array([g.ravel()], pa.list_(pa.float64()))], names=part.names)
+
+    def first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for rows, (n, at, first), y, missing in stacks(b):
+                for d, sd in pairs:
+                    st = _Stack(y, missing, at, first, n, d, sd, season, m)
+                    for row, g in zip(rows.tolist(), st.long_gram()):
+                        yield partial(b, row, d, sd, int(st.use.sum()), g)
+
+    def second_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for rows, (n, at, first), y, missing in stacks(b):
+                for i, row in enumerate(rows.tolist()):
+                    for fit in b.column("_fits")[row].as_py():
+                        st = _Stack(y[i:i + 1], missing[i:i + 1], at, first, n, fit["d"], fit["sd"], season, m)
+                        gram, n_obs = st.order_gram(np.array([fit["_ar"]]), values, shocks)
+                        have = float((~st.gap[:, st.use]).sum())
+                        yield partial(b, row, fit["d"], fit["sd"], n_obs, np.r_[gram.ravel(), have])
+
+    def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row, (n, wanted, made) in enumerate(zip(*(b.column(c).to_pylist() for c in ("n", "_own", "_grams")))):
+                grams = {}
+                for x in made:
+                    gram = np.array(x["gram"])
+                    grams[x["d"], x["sd"]] = blanked(gram[:-1].reshape(1, width, width), gram[-1:]), x["n_obs"]
+                yield from scored(b, [(np.array([row]), n, wanted, grams)])
+
+    lengths = many.filter("_block = 0").select(*keys, "n")
+    skip = F.col("d") + F.lit(season) * F.col("sd")
+    grams = join_keys(summed(many.mapInArrow(first_pass, part), group), lengths, keys)
+    grams = grams.withColumn("n", F.col("n") - skip).withColumn("_m", _own_order(m))
+    fits = _long_coefficients(grams, group, m).groupBy(*keys).agg(F.collect_list(F.struct("d", "sd", "_ar")).alias("_fits"))
+    again = summed(attach(many, fits, keys, ["_block"], how="inner").mapInArrow(second_pass, part), group)
+    whole = again.groupBy(*keys).agg(F.collect_list(F.struct("d", "sd", "n_obs", "gram")).alias("_grams"))
+    whole = join_keys(whole, lengths, keys).join(lists, "n").select(*keys, "n", "_own", "_grams")
+    return found.union(whole.mapInArrow(together, schema))
+
+
+def _rows(b: pa.RecordBatch, rows: np.ndarray, n: int, parts: list[tuple[dict, dict]], schema: pa.Schema, keys: list[str]) -> pa.RecordBatch:
+    """Output rows of the series ``rows`` of a batch, candidate by candidate."""
+    count, times = len(rows), len(parts)
+    good = [fit["status"] == "ok" for _, fit in parts]
+    all_good = np.concatenate(good) if parts else np.empty(0, bool)
+
+    def lists(cells: list[np.ndarray], some: np.ndarray, kind: pa.DataType) -> pa.Array:
+        """Rows of equally long lists for each candidate; null where not ``some``."""
+        long = np.repeat([c.shape[1] for c in cells], count)
+        offsets = np.r_[0, np.cumsum(long)].astype(np.int32)
+        flat = pa.array(np.concatenate([c.ravel() for c in cells]) if cells else [], kind)
+        return pa.ListArray.from_arrays(pa.array(offsets), flat, mask=pa.array(~some))
+
+    def numbers(name: str) -> np.ndarray:
+        return np.concatenate([fit[name] for _, fit in parts]) if parts else np.empty(0)
+
+    made = {}
+    for name in schema.names:
+        kind = schema.field(name).type
+        if name in keys:
+            made[name] = b.column(name).take(pa.array(np.tile(rows, times)))
+        elif name == "n":
+            made[name] = pa.array(np.full(count * times, n), kind)
+        elif name == "n_obs":
+            made[name] = pa.array(np.repeat([fit["n"] for _, fit in parts], count), kind, mask=~all_good)
+        elif name in ("sigma2", "llf", "aic", "bic"):
+            v = numbers(name)
+            made[name] = pa.array(v, kind, mask=np.isnan(v))
+        elif name == "terms":
+            made[name] = lists([np.tile(np.array(fit["terms"], object), (count, 1)).reshape(count, -1) for _, fit in parts],
+                               np.ones(count * times, bool), pa.string())
+        elif name in ("coefs", "params"):
+            made[name] = lists([np.zeros((count, 0)) if fit[name] is None else fit[name] for _, fit in parts], all_good, pa.float64())
+        elif name == "status":
+            made[name] = pa.array(numbers(name), kind)
+        else:
+            made[name] = pa.array(np.repeat([one[name] for one, _ in parts], count), kind)
+    return pa.RecordBatch.from_arrays([made[c].cast(schema.field(c).type) for c in schema.names], schema=schema)
+
+
 # ---- order search ------------------------------------------------------------------------------
 
 def _fallback_candidates(lengths: DataFrame) -> DataFrame:
@@ -349,13 +612,18 @@ def order_search(df: DataFrame, s: Series, col: str, season: int, bounds: Bounds
     ``df`` has ``rn`` and ``n`` and no missing ``col``. The best order per series is
     :func:`best_orders` of this.
     """
-    lengths = df.groupBy(*s.keys).agg(F.max("n").alias("n"))
-    wanted = prune_candidates(order_candidates(lengths, season, bounds)).withColumn("stage", F.lit(0))
+    # the values a block needs before it: of a shock's lag, its autoregression and the differences
+    reach = 2 * _long_order(season, bounds) + bounds.d + season * bounds.sd
+    stretches = as_table(_stretches(df, s, col, reach), "stretches")
+    lengths = stretches.filter("_block = 0").select(*s.keys, "n")
+    # candidates depend on the length alone: one list for each length
+    different = lengths.select("n").distinct()
+    wanted = prune_candidates(order_candidates(different, season, bounds)).withColumn("stage", F.lit(0))
     if fallback:
-        simple = _fallback_candidates(lengths).withColumn("stage", F.lit(1))
-        wanted = wanted.unionByName(simple)
-    design = design_rows(df, s, col, season, bounds)
-    fitted = fit_orders(design, s.keys, wanted, season, bounds)
+        wanted = wanted.unionByName(_fallback_candidates(different).withColumn("stage", F.lit(1)))
+    lists = wanted.groupBy("n").agg(F.collect_list(F.struct(*[c for c in wanted.columns if c != "n"])).alias("_own"))
+    schema = _score_schema(lengths.limit(0).join(wanted.limit(0), "n").select(*s.keys, *wanted.columns))
+    fitted = _search(stretches, s, lists, schema, season, bounds)
     score = F.col("bic" if criterion.lower() == "bic" else "aic")
     finite = (F.col("status") == "ok") & ~F.isnan(score) & (F.abs(score) != F.lit(float("inf")))
     fitted = fitted.withColumn("score", F.when(finite, score))
