@@ -53,6 +53,20 @@ def test_positions(rows):
     same(*both(rows, lambda df, s: df))
 
 
+@pytest.mark.parametrize("size", [8, 16, 37, 1000])
+def test_positions_in_buckets(rows, size):
+    # all series long, some, one (the null key and the hot one), none; rows of one time are one bucket
+    named = rows.unionByName(rows.filter("k = 'mid'").withColumn("k", F.lit(None).cast("string")))
+    bucketed = Series(("k",), ("t", "i"), size, "t")
+    same(positions(named, PLAIN).fillna("null", ["k"]), positions(named, bucketed).fillna("null", ["k"]))
+
+
+def test_positions_of_short_series_shuffle_once(rows):
+    # counts of every (key, bucket) were shuffled twice besides the rows
+    text = positions(rows, Series(("k",), ("t", "i"), 1000, "t"))._jdf.queryExecution().executedPlan().toString()
+    assert text.count("Exchange hashpartitioning") == 1 and "_bucket" not in text
+
+
 def test_running(rows):
     same(*both(rows, lambda df, s: ordered.running(df, s, sums={"total": "v"}, fills={"last": "v"})))
 

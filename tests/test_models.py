@@ -227,6 +227,19 @@ def test_order_search_shuffles_values_once(spark, bounds):
     assert "Window" not in plan and "_a1" not in plan
 
 
+def test_order_search_leaves_short_series_where_they_are_numbered(spark):
+    # the values were shuffled again by key and block, and once more by length to the lists of candidates
+    df = frame(spark, a=ar(50, 0.6, 11), b=ar(40, 0.5, 3)).drop("rn", "n")
+    s = Series(("k",), ("t",), 64, "t")
+    at = positions(df, s)
+    assert seasonal._stretches(at, s, "y", 5)._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    found = seasonal.order_search(at, s, "y", 7, Bounds(1, 1, 0, 0, 0, 0))
+    assert "Exchange hashpartitioning" not in found._jdf.queryExecution().executedPlan().toString()
+    whole = seasonal.order_search(positions(df, S), S, "y", 7, Bounds(1, 1, 0, 0, 0, 0))
+    columns = ["k", "stage", "candidate", "status", "score"]
+    assert sorted(map(str, found.select(columns).collect())) == sorted(map(str, whole.select(columns).collect()))
+
+
 def test_order_search_equals_fits_of_design_rows(spark):
     # equal lengths, very short ones, a missing value, a constant; whole and in blocks
     gaps = [None if t in (5, 60) else v for t, v in enumerate(ar(120, 0.4, 21))]

@@ -107,6 +107,20 @@ def _offsets(sizes: DataFrame, keys: Sequence[str], part: str, *more: str) -> Da
 
 
 def _bucket_positions(df: DataFrame, s: Series) -> DataFrame:
+    """Series of at most ``block_rows`` rows are one window each; longer ones are numbered bucket by bucket.
+
+    The keys of longer series, of which there is at most one for ``block_rows`` rows, are counted first and written.
+    Rows are shuffled once, those of a short series by its keys, where a later grouping by key finds them.
+    """
+    sizes = df.groupBy(*s.keys).agg(F.count(F.lit(1)).alias("n"))
+    long = as_table(sizes.filter(F.col("n") > s.block_rows).select(*s.keys), "long-series")
+    if not long.limit(1).count():
+        return positions(df, replace(s, block_rows=None))
+    short = positions(join_keys(df, long, s.keys, "left_anti"), replace(s, block_rows=None))
+    return short.union(_inside_buckets(join_keys(df, long, s.keys, "left_semi"), s))
+
+
+def _inside_buckets(df: DataFrame, s: Series) -> DataFrame:
     """Numbers inside each (key, bucket), then what comes before the bucket is added.
 
     Rows are shuffled once; the counts are summed in the map tasks, one row per key and bucket.

@@ -343,7 +343,8 @@ def fit_orders(design: DataFrame, keys: Sequence[str], candidates: DataFrame, se
 def _stretches(df: DataFrame, s: Series, col: str, reach: int) -> DataFrame:
     """(keys, _block, n, _at, _y): the values of each series in order, in blocks after the ``reach`` values before them.
 
-    ``_at`` is the position of the first value. Without ``block_rows`` a series is one block. Rows are shuffled once.
+    ``_at`` is the position of the first value. Without ``block_rows`` a series is one block. Rows are shuffled once,
+    and not again where they lie by key, as after :func:`positions` of short series.
     """
     size = s.block_rows
     if size is not None and reach > size:
@@ -354,7 +355,7 @@ def _stretches(df: DataFrame, s: Series, col: str, reach: int) -> DataFrame:
     if size is not None:
         late = F.pmod(F.col("rn") - 1, F.lit(size)) >= size - reach
         rows = rows.withColumn("_block", F.explode(F.array_compact(F.array("_block", F.when(late & (F.col("rn") < F.col("n")), F.col("_block") + 1)))))
-    found = rows.repartition(*s.keys, "_block").groupBy(*s.keys, "_block").agg(
+    found = rows.groupBy(*s.keys, "_block").agg(
         F.max("n").alias("n"), F.min("rn").alias("_at"), F.max("rn").alias("_last"),
         F.sort_array(F.collect_list(F.struct("rn", "_v"))).alias("_y"))
     return found.filter(F.col("_last") > F.col("_block") * (size or 0)).drop("_last").withColumn("_y", F.col("_y._v"))
@@ -621,7 +622,8 @@ def order_search(df: DataFrame, s: Series, col: str, season: int, bounds: Bounds
     wanted = prune_candidates(order_candidates(different, season, bounds)).withColumn("stage", F.lit(0))
     if fallback:
         wanted = wanted.unionByName(_fallback_candidates(different).withColumn("stage", F.lit(1)))
-    lists = wanted.groupBy("n").agg(F.collect_list(F.struct(*[c for c in wanted.columns if c != "n"])).alias("_own"))
+    # written, so that Spark knows their size before it would deal the series out by length
+    lists = as_table(wanted.groupBy("n").agg(F.collect_list(F.struct(*[c for c in wanted.columns if c != "n"])).alias("_own")), "candidates")
     schema = _score_schema(lengths.limit(0).join(wanted.limit(0), "n").select(*s.keys, *wanted.columns))
     fitted = _search(stretches, s, lists, schema, season, bounds)
     score = F.col("bic" if criterion.lower() == "bic" else "aic")
